@@ -97,56 +97,61 @@ def _terms(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"\P{L}+"), lambda w: F.length(w) >= 3)
 
 
-def _entity_lines(marked: DataFrame) -> DataFrame:
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc, print, text, spans); spans come out of a generator, so that no filter computes them again."""
+    lone = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("string").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    )
+    return lone.select("row", "doc", F.xxhash64("text").alias("print"), "text", F.explode(F.array(base_spans(F.col("text")))).alias("spans"))
+
+
+def _entity_lines(held: DataFrame) -> DataFrame:
     """(key, line start, line, spans in it) of the lines that hold base spans."""
-    lines = marked.where(F.size("spans") > 0).select("doc", "print", "spans", F.explode(find_all(F.col("text"), r"[^\n]+")).alias("line"))
+    lines = held.select("doc", "print", "spans", F.explode(find_all(F.col("text"), r"[^\n]+")).alias("line"))
     inside = F.filter("spans", lambda s: (s["start"] >= F.col("line.start")) & (s["start"] < F.col("line.end")))
-    return lines.select("doc", "print", "line", inside.alias("spans"))
+    return lines.select("doc", "print", "line", F.explode(F.array(inside)).alias("spans")).where(F.size("spans") > 0)
 
 
 def disclosing_terms(
-    marked: DataFrame, disclosure: float = DISCLOSURE, removal: float = REMOVAL, min_entities: int = MIN_ENTITIES, min_lines: int = MIN_LINES
+    texts: DataFrame, lines: DataFrame, disclosure: float = DISCLOSURE, removal: float = REMOVAL, min_entities: int = MIN_ENTITIES, min_lines: int = MIN_LINES
 ) -> DataFrame:
-    """(term, kind, remove) of the terms that disclose too much, from the lines of the whole corpus."""
-    flag = lambda k: F.exists("spans", lambda s: s["kind"] == k)
-    zero = [F.lit(0).alias(k) for k in KINDS]
-    # A row for the empty term counts each line once.
-    clean = marked.where(F.size("spans") == 0).select(F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("line"))
-    clean = clean.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), _terms(F.col("line"))))).alias("term"), *zero)
-    held = _entity_lines(marked)
-    blanked = F.regexp_replace("line.hit", EMAIL, " ")
-    held = held.select(
-        F.explode(F.array_distinct(F.concat(F.array(F.lit("")), _terms(blanked)))).alias("term"), "spans", *[flag(k).cast("int").alias(k) for k in KINDS]
-    )
-    seen = (
-        clean.union(held.drop("spans"))
-        .groupBy("term")
-        .agg(F.count("*").alias("lines"), *[F.sum(k).alias(k) for k in KINDS])
-        .where(reduce(lambda a, b: a | b, [F.col(k) > 0 for k in KINDS]))
-    )
-    seen = materialise(seen)
-    total = seen.where("term = ''").first()
-    if total is None:
-        return seen.select("term", F.lit("").alias("kind"), F.lit(False).alias("remove")).limit(0)
-    pairs = held.where("term <> ''").select("term", F.explode("spans").alias("s"))
+    """(term, kind, remove) of the terms that disclose too much.
+
+    texts (text) is the whole corpus, whose lines give each term's frequency; lines are those of
+    _entity_lines, which give what it is seen beside.
+    """
+
+    def flag(k: str) -> Column:
+        return F.exists("spans", lambda s: s["kind"] == k).cast("int").alias(k)
+
+    blank = lambda c: F.regexp_replace(c, EMAIL, " ")
+    beside = lines.select(F.explode(F.array_distinct(_terms(blank(F.col("line.hit"))))).alias("term"), "spans", *[flag(k) for k in KINDS])
+    pairs = beside.select("term", F.explode("spans").alias("s"))
     entities = pairs.groupBy("term", F.col("s.kind").alias("kind")).agg(F.countDistinct("s.hit").alias("entities")).where(F.col("entities") >= min_entities)
+    by_kind = beside.groupBy("term").agg(*[F.sum(k).alias(k) for k in KINDS]).where(F.greatest(*KINDS) >= min_lines)
+    totals = lines.select(*[flag(k) for k in KINDS]).agg(*[F.sum(k).alias(k) for k in KINDS]).first()
+    every = texts.select(F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("line"))
+    # A row for the empty term counts each line once.
+    words = every.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), _terms(blank(F.col("line")))))).alias("term"))
+    seen = words.groupBy("term").agg(F.count("*").alias("lines"))
+    near = materialise(seen.join(by_kind, "term", "left").where(F.col(KINDS[0]).isNotNull() | (F.col("term") == "")))
+    whole = near.where("term = ''").first()
+    none = near.select("term", F.lit("").alias("kind"), F.lit(False).alias("remove")).limit(0)
     each = []
     for k in KINDS:
-        if total[k] and total[k] < total["lines"]:
-            p = F.lit(total[k] / total["lines"])
+        if whole and totals[k] and totals[k] < whole["lines"]:
+            p = F.lit(totals[k] / whole["lines"])
             pmi = F.log2(F.col(k) / F.col("lines")) - F.log2(p)
-            each.append(
-                seen.where((F.col("term") != "") & (F.col(k) >= min_lines)).select("term", F.lit(k).alias("kind"), (pmi / -F.log2(p)).alias("disclosed"))
-            )
+            each.append(near.where((F.col("term") != "") & (F.col(k) >= min_lines)).select("term", F.lit(k).alias("kind"), (pmi / -F.log2(p)).alias("disclosed")))
     if not each:
-        return seen.select("term", F.lit("").alias("kind"), F.lit(False).alias("remove")).limit(0)
+        return none
     rated = reduce(DataFrame.union, each).where(F.col("disclosed") >= disclosure)
     return rated.join(entities, ["term", "kind"]).select("term", "kind", (F.col("disclosed") >= removal).alias("remove"))
 
 
-def _term_spans(marked: DataFrame, terms: DataFrame) -> DataFrame:
+def _term_spans(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """Per document its term spans, outside the base spans: (doc, print, more)."""
-    words = _entity_lines(marked).select("doc", "print", "spans", F.col("line.start").alias("at"), F.explode(find_all(F.col("line.hit"), TERM)).alias("w"))
+    words = lines.select("doc", "print", "spans", F.col("line.start").alias("at"), F.explode(find_all(F.col("line.hit"), TERM)).alias("w"))
     free = ~F.exists("spans", lambda s: (s["start"] < F.col("at") + F.col("w.end")) & (s["end"] > F.col("at") + F.col("w.start")))
     words = words.where(free).select(
         "doc", "print", F.lower("w.hit").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), F.explode(F.array_distinct("spans.kind")).alias("kind")
@@ -160,20 +165,19 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text reads as empty and has no spans. Rows are told apart by id and text, so a null id or
     repeated rows are served like any others, and every column of the input stays in `row`. Only
-    documents with base spans can gain term spans; the others never move.
+    lines with base spans can gain term spans. Repeated
+    documents count as often as they are there.
     """
-    marked = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("string").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
-    ).withColumn("spans", base_spans(F.col("text")))
-    marked = marked.withColumn("print", F.xxhash64("text"))
-    terms = materialise(disclosing_terms(marked, **thresholds))
+    marked = _marked(docs, id_col, text_col)
+    held = materialise(marked.where(F.size("spans") > 0).select("doc", "print", "text", "spans"))
+    lines = materialise(_entity_lines(held))
+    terms = materialise(disclosing_terms(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), lines, **thresholds))
     none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
     if terms.isEmpty():
         return marked.select("row", "text", "spans", none.alias("more"))
-    more = _term_spans(marked, terms).select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), "more")
+    more = materialise(_term_spans(lines, terms).select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), "more"))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("print") == F.col("_print"))
-    held = marked.where(F.size("spans") > 0).join(more, same, "left").select("row", "text", "spans", F.coalesce("more", none).alias("more"))
-    return marked.where(F.size("spans") == 0).select("row", "text", "spans", none.alias("more")).union(held)
+    return marked.join(more, same, "left").select("row", "text", "spans", F.coalesce("more", none).alias("more"))
 
 
 def _named(kind: Column, s: Column) -> Column:
@@ -219,7 +223,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     Rows without spans stay as they are, nulls included.
     """
-    found = find_private(docs, id_col, text_col, **thresholds).withColumn("clean", sanitised_text())
+    found = find_private(docs, id_col, text_col, **thresholds).select("row", "spans", "more", F.explode(F.array(sanitised_text())).alias("clean"))
     touched = (F.size("spans") + F.size("more")) > 0
     out = []
     for c in docs.columns:

@@ -121,8 +121,10 @@ def judge(docs: DataFrame, text_col: str = "text", base=BASE_RULES, method=METHO
     and repeated rows are judged one by one.
     """
     lone = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("_text"))
-    measured = with_metrics(lone, "_text").drop("_text")
-    return measured.withColumn("base_failed", compile_rules(base)).withColumn("kept", ~F.col("base_failed") & ~compile_rules(method))
+    measured = with_metrics(lone, "_text").select("row", F.struct(*METRICS).alias("m"))
+    # A generator between counts and verdict, so that a filter on the verdict does not count again.
+    once = measured.select("row", F.explode(F.array("m")).alias("m")).select("row", "m.*")
+    return once.withColumn("base_failed", compile_rules(base)).withColumn("kept", ~F.col("base_failed") & ~compile_rules(method))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
