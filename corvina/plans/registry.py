@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corvina.session import table
+from corvina.plans import analytics, relational
+from corvina.session import TABLES, register
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+
+def _sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir, used)
+        return spark.sql(text)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _sql_query(pair[0]) for name, pair in {**relational.SQL, **analytics.SQL}.items()}
+ORACLE: dict[str, str] = {name: pair[1] for name, pair in {**relational.SQL, **analytics.SQL}.items()}
+QUERIES.update(analytics.QUERIES)
+ORACLE.update(analytics.ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword search over part names, sorted by a specification, first hundred."""
-    part = table(spark, sf_dir, "part")
-    return part.where(F.contains(F.lower("p_name"), F.lit("a"))).orderBy(F.col("p_size").desc(), "p_partkey").limit(100)
+    """Keyword search over parts, ordered by a sort specification, first hundred."""
+    return QUERIES["txt1_keyword_search"](spark, sf_dir)
