@@ -46,3 +46,24 @@ def landmarks(edges: DataFrame, first: int, count: int) -> list[int]:
             break
         chosen.append(far["node"])
     return chosen
+
+
+def all_pairs(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(a, b, cost) of the cheapest paths between all nodes of (a, b, cost) that one can reach from the other.
+
+    Each round joins the paths found so far with themselves, which doubles their length; the result has as many rows
+    as there are reachable pairs. Rounds are cut from their history as in shortest_paths.
+    """
+    folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+    nodes = edges.select("a").union(edges.select("b")).distinct()
+    paths = edges.select("a", "b", "cost").union(nodes.select("a", F.col("a").alias("b"), F.lit(0.0).alias("cost"))).groupBy("a", "b").agg(F.min("cost").alias("cost"))
+    total = None
+    for _ in range(max_rounds):
+        second = paths.select(F.col("a").alias("_mid"), F.col("b").alias("_end"), F.col("cost").alias("_more"))
+        longer = paths.join(second, F.col("b") == F.col("_mid")).groupBy("a", F.col("_end").alias("b")).agg(F.min(F.col("cost") + F.col("_more")).alias("cost"))
+        paths = longer.checkpoint() if folder else longer.cache()
+        now = tuple(paths.agg(F.count("*"), F.sum("cost")).first())
+        if now == total:
+            break
+        total = now
+    return paths

@@ -72,14 +72,14 @@ def both(name: str, body: str) -> None:
 
 
 both("ml1_class_means", " SELECT label, pos, round(avg(x), 8) AS mean FROM x GROUP BY label, pos")
-both("ml4_covariance", " SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id WHERE a.pos <= b.pos AND b.pos < 6 GROUP BY a.pos, b.pos")
-both("ml6_normalise", ", s AS (SELECT pos AS p, avg(x) AS m, stddev_samp(x) AS sd FROM x GROUP BY pos) SELECT vec_id, pos, round((x - m) / sd, 6) AS z FROM x JOIN s ON p = pos WHERE sd > 0 AND pos < 8")
-both("ml7_products", " SELECT a.vec_id, a.pos AS i, b.pos AS j, round(a.x * b.x, 8) AS xy FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.pos <= a.pos WHERE a.pos < 5")
+both("ml4_covariance", " SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id WHERE a.pos <= b.pos GROUP BY a.pos, b.pos")
+both("ml6_normalise", ", s AS (SELECT pos AS p, avg(x) AS m, stddev_samp(x) AS sd FROM x GROUP BY pos) SELECT vec_id, pos, round((x - m) / sd, 6) AS z FROM x JOIN s ON p = pos WHERE sd > 0")
+both("ml7_products", " SELECT a.vec_id, a.pos AS i, b.pos AS j, round(a.x * b.x, 8) AS xy FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.pos <= a.pos")
 add("ml8_folds", "SELECT vec_id, CAST(floor((r - 1) * 5.0 / n) AS INT) AS fold FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, count(*) OVER () AS n FROM embeddings) t")
 _PROTO = ", m AS (SELECT label AS l, pos AS p, avg(x) AS m FROM x GROUP BY label, pos), d AS (SELECT vec_id, label, l, sum((x - m) * (x - m)) AS d FROM x JOIN m ON p = pos GROUP BY vec_id, label, l)"
 both("ml9_prototype_features", f"{_PROTO} SELECT vec_id, l, round(ln(d + 1.0E-10), 6) AS log_d, round(1 / (sqrt(d) + 0.01), 6) AS inv_d FROM d")
 both("ml10_good_bad", f"{_PROTO}, g AS (SELECT vec_id, min(CASE WHEN label = l THEN d END) AS dg, min(CASE WHEN label <> l THEN d END) AS db FROM d GROUP BY vec_id) SELECT vec_id, round((dg - db) / (dg + db), 6) AS cost, dg >= db AS error FROM g")
-both("ml20_rescale", ", b AS (SELECT pos AS p, min(x) AS lo, max(x) AS hi FROM x GROUP BY pos) SELECT vec_id, pos, round((x - lo) / (hi - lo), 6) AS r FROM x JOIN b ON p = pos WHERE pos < 2")
+both("ml20_rescale", ", b AS (SELECT pos AS p, min(x) AS lo, max(x) AS hi FROM x GROUP BY pos) SELECT vec_id, pos, round((x - lo) / (hi - lo), 6) AS r FROM x JOIN b ON p = pos WHERE hi > lo")
 both("ml16_embedding_quality", """, d AS (SELECT a.vec_id AS i, b.vec_id AS j, sum((a.x - b.x) * (a.x - b.x)) AS d1, sum(CASE WHEN a.pos < 2 THEN (a.x - b.x) * (a.x - b.x) ELSE 0 END) AS d2
 FROM x a JOIN x b ON a.pos = b.pos AND a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.vec_id, b.vec_id) SELECT round(abs(corr(sqrt(d1), sqrt(d2))), 6) AS r FROM d""")
 add("ml19_finite_distances", "SELECT event_id, CASE WHEN value > 50 THEN 10 * m ELSE value END AS d FROM events CROSS JOIN (SELECT max(value) AS m FROM events WHERE value <= 50) t")
@@ -111,7 +111,7 @@ def jn12_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jn13_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).where("user_id < 60")
+    days = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
     other = days.select(F.col("user_id").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     return days.join(other, (F.col("lo") <= F.col("hi2")) & (F.col("lo2") <= F.col("hi")) & (F.col("user_id") < F.col("other"))).select("user_id", "other")
 
@@ -176,7 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "txt1_keyword_search": "SELECT p_partkey, p_name, p_brand, p_size FROM part WHERE contains(lower(p_name), 'a') AND contains(lower(p_name), 'e') AND NOT contains(lower(p_name), 'zz') ORDER BY p_size DESC, p_name = '', p_name, p_partkey LIMIT 100",
     "jn12_range": "SELECT event_id, min(s.range) AS span FROM events JOIN range(0, 20) s ON value >= s.range * 7 AND value < s.range * 7 + 10 GROUP BY event_id",
-    "jn13_overlap": "WITH d AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events WHERE user_id < 60 GROUP BY user_id) SELECT a.user_id, b.user_id AS other FROM d a JOIN d b ON a.lo <= b.hi AND b.lo <= a.hi AND a.user_id < b.user_id",
+    "jn13_overlap": "WITH d AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events GROUP BY user_id) SELECT a.user_id, b.user_id AS other FROM d a JOIN d b ON a.lo <= b.hi AND b.lo <= a.hi AND a.user_id < b.user_id",
     "txt8_trigrams": "SELECT p_partkey, CAST(len(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3)))) AS INTEGER) AS n FROM (SELECT p_partkey, CASE WHEN length(p_name) < 3 THEN lpad(lower(p_name), 3, chr(65533)) ELSE lower(p_name) END AS s FROM part)",
     "gr8_shortest_paths": """WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b, n_nationkey % 4 + 1.0 AS cost FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 1) % 25, 3.0 FROM nation),
 p(node, distance) AS (SELECT 0, CAST(0 AS DOUBLE) UNION SELECT e.b, CAST(p.distance + e.cost AS DOUBLE) FROM p JOIN e ON e.a = p.node WHERE p.distance + e.cost <= 60) SELECT CAST(node AS BIGINT) AS node, min(distance) AS distance FROM p GROUP BY node""",

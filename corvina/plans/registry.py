@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvina.plans import analytics, relational
+from corvina.plans import analytics, models, relational
 from corvina.session import TABLES, register
 
 
@@ -21,10 +21,12 @@ def _sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _sql_query(pair[0]) for name, pair in {**relational.SQL, **analytics.SQL}.items()}
-ORACLE: dict[str, str] = {name: pair[1] for name, pair in {**relational.SQL, **analytics.SQL}.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _sql_query(pair[0]) for name, pair in {**relational.SQL, **analytics.SQL, **models.SQL}.items()}
+ORACLE: dict[str, str] = {name: pair[1] for name, pair in {**relational.SQL, **analytics.SQL, **models.SQL}.items()}
 QUERIES.update(analytics.QUERIES)
 ORACLE.update(analytics.ORACLE)
+QUERIES.update(models.QUERIES)
+ORACLE.update(models.ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

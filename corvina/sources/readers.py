@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +67,45 @@ def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """(path, rank, gram, n) of language-model files: one `gram<TAB>count` per line, ranked by line."""
     lines = _whole_lines(spark, path).where("line <> ''")
     return lines.select("path", F.col("no").alias("rank"), F.split("line", "\t")[0].alias("gram"), F.split("line", "\t")[1].cast("long").alias("n"))
+
+
+# Fixed values of the IDX format: the third byte names the type of an element.
+IDX_TYPES = {8: ">u1", 9: ">i1", 11: ">i2", 12: ">i4", 13: ">f4", 14: ">f8"}
+
+
+def read_idx(spark: SparkSession, path: str, rows_per_batch: int = 10_000) -> DataFrame:
+    """(path, pos, v) from IDX files, gzipped or not: one flat vector per item of the first dimension.
+
+    A file is one task, as gzip cannot be split; its items leave in batches.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf.path, pdf.content, strict=True):
+                raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+                kind, sizes = np.dtype(IDX_TYPES[raw[2]]), np.frombuffer(raw, ">u4", count=raw[3], offset=4).astype(int)
+                items = np.frombuffer(raw, kind, count=int(sizes.prod()), offset=4 + 4 * raw[3]).reshape(sizes[0], -1)
+                for at in range(0, len(items), rows_per_batch):
+                    part = items[at : at + rows_per_batch].astype(float)
+                    yield pd.DataFrame({"path": name, "pos": np.arange(at, at + len(part)), "v": list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, pos long, v array<double>")
+
+
+def read_column_lists(spark: SparkSession, path: str, language: str) -> DataFrame:
+    """(path, set, card) of ragged comma-separated files whose columns are lists under a set and a language.
+
+    Blank cells at the end of a column are left out; others stay. A row that ends before a column has no cell in it.
+    """
+    cells = _whole_lines(spark, path).select("path", "no", F.posexplode(F.split("line", ",")).alias("col", "cell"))
+    column = Window.partitionBy("path", "col")
+    head = lambda n: F.max(F.when(F.col("no") == n, F.col("cell"))).over(column)
+    last = F.max(F.when(F.trim("cell") != "", F.col("no"))).over(column)
+    told = cells.select("path", "no", "cell", head(0).alias("set"), head(1).alias("language"), last.alias("last"))
+    return told.where((F.col("language") == language) & F.col("no").between(2, F.col("last"))).select("path", "set", F.col("cell").alias("card"))
+
+
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modified) of all files below a folder; contents are not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("pathGlobFilter", pattern)
+    return reader.load(folder).select("path", "length", F.col("modificationTime").alias("modified"))
