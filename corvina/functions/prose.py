@@ -16,9 +16,11 @@ MARKUP_REPLACED = (
     r"|</?[a-zA-Z]+(?: [^>]*?)?/?>"
 )
 ABBREVIATIONS = r"(?:[Ss]t|Mrs?|dr|ed|c|v(?:s|ol)?|[nN]o(?=\s{1,8}[0-9])|et al)\."
+# Text in which a full stop ends nothing is taken in possessive runs, as the regex engine recurses once per step otherwise.
+PLAIN = r"(?:[^.\n?! (A-Z]|[A-Z](?!\. )| (?!" + ABBREVIATIONS + r")|\((?!\w+\.)|\.\w)++"
 SENTENCE = (
     r"(?sm)(?:(?<=[.?!]\s{1,8})|^)"
-    r"([(\"]?[A-Z](?: " + ABBREVIATIONS + r"|\(\w+\.|[A-Z]\. |\.(?:\w| (?:\w\.(?: \w\.)*|[a-z]))|[^.\n?! (A-Z]++|[^.\n?!])+[.?!\n][)\"]?)(?=\s|$)"
+    r"([(\"]?(?=[A-Z])(?:" + PLAIN + r"| " + ABBREVIATIONS + r"|\(\w+\.|[A-Z]\. |\. (?:\w\.(?: \w\.){0,20}|[a-z])|[^.\n?!]){1,200}[.?!\n][)\"]?)(?=\s|$)"
 )
 WORD_CHARACTER = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
 CAPITAL_WORD = r"(^| )[^ a-zA-Z_0-9]*[A-Z]\S*"
@@ -30,7 +32,10 @@ def strip_markup(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """The English sentences of a text, in order; white space of over 8 characters before one hides it."""
+    """The English sentences of a text, in order.
+
+    White space of over 8 characters before a sentence, or over 200 abbreviations in it, hides it.
+    """
     return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(1))
 
 

@@ -38,6 +38,8 @@ def test_prose(spark):
     assert one(prose.strip_markup, "''A'' [[B|c]] [[d]] [http://x y z] {{t}} <ref>q</ref><b>e</b> &amp; f") == "A c d y z  e & f"
     assert one(prose.sentences, "He met Dr. no one. She left! then lower. \"Quoted one.\" End") == ["He met Dr. no one.", "She left!", '"Quoted one."']
     assert one(prose.sentences, "A " * 20_000 + "b.") == ["A " * 20_000 + "b."]
+    for junk in ("A. ", "a.b", "(x. ", " Dr.", ". x. "):
+        assert isinstance(one(prose.sentences, junk * 20_000), list)
     assert one(prose.sentences, None) is None and one(prose.sentences, "") == []
     assert round(one(prose.grade, "The cat sat."), 6) == round(8 / 12 + 0.3 * 2 - 0, 6) and one(prose.grade, "") is None
     assert one(prose.escape_path, "C:\\a b\\100%!\u0007é") == "C!3a/a b/100!25!21!07é"
