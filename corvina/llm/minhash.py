@@ -277,10 +277,10 @@ def near_duplicates(
     mixed = crowd.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     open_rows = materialise(crowd.join(mixed, "key").select("key", "members", "doc", "n", "component"))
     small = open_rows.where(F.col("members") <= SMALL_BUCKET)
-    rest = _cross_pairs(small, ["key"], num, den)
+    rest = _cross_pairs(small, num, den)
     large = open_rows.where(F.col("members") > SMALL_BUCKET)
     if not large.isEmpty():
-        rest = rest.union(_cross_pairs(_prefix_rows(base, large, k, num, den), ["key", "shingle"], num, den))
+        rest = rest.union(_prefix_pairs(base, large, k, num, den))
     rest = rest.distinct()
     more = materialise(_verified(base, rest, k, num, den)) if not rest.isEmpty() else None
     if more is not None and not more.isEmpty():
@@ -297,10 +297,10 @@ def near_duplicates(
     )
 
 
-def _cross_pairs(rows: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    other = rows.select(*keys, F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
+def _cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    other = rows.select("key", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
     return (
-        rows.join(other, keys)
+        rows.join(other, "key")
         .where((F.col("doc") > F.col("b")) & (F.col("component") != F.col("c_b")) & _size_fits(F.col("n"), F.col("n_b"), num, den))
         .select(F.col("doc").alias("a"), "b")
     )
@@ -321,21 +321,33 @@ def _verified(base: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
     return with_b.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "a long, b long")
 
 
-def _prefix_rows(base: DataFrame, large: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The rows of large buckets under the rarest shingles of their sets.
+def _prefix_pairs(base: DataFrame, large: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of documents of large buckets, in different components, that may reach the similarity.
 
     Two sets of n shingles with the similarity asked for share one of the n - ceil(n * num / den) + 1
-    rarest in any common order; within a bucket the order is by frequency there, then hash. What many
-    members have in common comes last and brings nobody together.
+    first in any common order. The order is by the number of components that hold a shingle, then its
+    hash: what only one component has comes first and brings nobody together, a passage that many share
+    comes last. Each document is expanded once, however many buckets hold it. The first shingle that
+    two sets share, at positions p and q, leaves room for min(n - p, m - q) in common, so a
+    pair with the similarity keeps at least that row.
     """
-    sets = _needed_sets(base, large.select(F.col("doc").alias("id")), k).mapInArrow(_exploded, "doc long, shingle long")
-    rows = materialise(large.join(sets, "doc"))
-    seen = rows.groupBy("key", "shingle").agg(F.count("*").alias("seen")).where("seen > 1")
-    alone = rows.join(seen, ["key", "shingle"], "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
-    ranked = alone.groupBy("key", "members", "doc", "n", "component").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("order"))
+    docs = materialise(large.select("doc", "n", "component").distinct())
+    sets = _needed_sets(base, docs.select(F.col("doc").alias("id")), k).mapInArrow(_exploded, "doc long, shingle long")
+    rows = materialise(sets.join(docs, "doc"))
+    seen = rows.select("shingle", "component").distinct().groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1")
+    counted = rows.join(seen, "shingle", "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
+    ranked = counted.groupBy("doc", "n", "component").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("order"))
     length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    cut = ranked.select("key", "members", "doc", "n", "component", F.explode(F.slice("order", F.lit(1), length.cast("int"))).alias("x"))
-    return cut.where("x.seen > 1").select("key", "members", "doc", "n", "component", F.col("x.shingle").alias("shingle"))
+    cut = ranked.select("doc", "n", "component", F.posexplode(F.slice("order", F.lit(1), length.cast("int"))).alias("pos", "x"))
+    heads = materialise(cut.where("x.seen > 1").select("doc", "n", "component", "pos", F.col("x.shingle").alias("shingle")))
+    other = heads.select("shingle", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("pos").alias("pos_b"))
+    room = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
+    return (
+        heads.join(other, "shingle")
+        .where((F.col("doc") > F.col("b")) & (F.col("component") != F.col("c_b")) & _size_fits(F.col("n"), F.col("n_b"), num, den))
+        .where(room * (num + den) >= (F.col("n") + F.col("n_b")) * num)
+        .select(F.col("doc").alias("a"), "b")
+    )
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -177,3 +177,25 @@ def test_mixing_meets_margins_and_budget(spark):
     raked = {(r.source, r.lang): r.weight for r in mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"t": 1.0}}, rounds=12).collect()}
     assert abs(raked["a", "x"] + raked["a", "y"] - 50) < 0.1 and abs(raked["a", "x"] + raked["b", "x"] - 50) < 0.1
     assert mixing.mixing_report(docs.limit(0)).count() == 0
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    """Many documents share a long passage and some are near copies; every bucket goes through the prefix filter."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(120))
+    rows = []
+    for i in range(60):
+        own = [f"w{i // 3}x{j}" for j in range(60)]
+        for j in rng.choice(60, size=rng.integers(0, 4), replace=False):
+            own[j] = f"z{i}y{j}"
+        rows.append((i, passage + " " + " ".join(own)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    least = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 1)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == least
