@@ -154,6 +154,15 @@ def test_html_extraction(spark):
     assert set(html.main_slots(html.align(a, b))) == set(html.main_slots(a))
 
 
+def test_html_layouts_and_unlabelled_template(spark):
+    notice, menu = "<div><p>We use biscuits.</p></div>", "<div><a>Home</a> <a>News</a></div>"
+    rows = [(i, f"http://two/{i}", f"<body class='no-sidebar'>{notice}<article><p>Fact {i}.</p><p>Tell a friend</p></article>{menu}</body>") for i in range(4)]
+    rows += [(10 + i, f"http://two/s/{i}", f"<body>{notice}<div class='story'><p>Tale {i}.</p></div>{menu}</body>") for i in range(4)]
+    rows += [(20, "http://two/cut", f"<body>{notice}<div class='story'><p>Cut"), (30, "http://one/a", f"<body>{notice}<div>Alone</div>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Fact {i}." for i in range(4)} | {10 + i: f"Tale {i}." for i in range(4)} | {20: "Cut", 30: "We use biscuits. Alone"}
+
+
 def test_classifier_learns_and_ignores_metadata(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     odd = spark.createDataFrame([(10**9, None, "en", "s", 0), (None, "", "en", "s", 0)], docs.schema)
