@@ -3,7 +3,9 @@
 Everything is built-in functions. A context is a line. For a kind K of protected entity and a term t,
 PMI(t; K) = log2(p(t, K) / (p(t) p(K))) says how many of the IC(K) = -log2 p(K) bits that an entity's
 presence carries the term discloses; a term that discloses DISCLOSURE of them, and does so beside
-MIN_ENTITIES different entities, is generalised, and one that discloses REMOVAL of them removed.
+MIN_ENTITIES different entities, is generalised, and one that discloses REMOVAL of them removed. The
+same is asked of each single entity beside which a term stands in MIN_LINES different texts. A term
+so rated goes wherever it stands, with an entity beside it or not.
 """
 
 from __future__ import annotations
@@ -29,19 +31,19 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-TERM = r"\p{L}{3,}+"
 PLACEHOLDER = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 _SPAN = "array<struct<start:int,end:int,hit:string>>"
 
 
-def find_all(text: Column, pattern: str) -> Column:
+def find_all(text: Column, pattern: str | Column) -> Column:
     """Leftmost non-overlapping matches as (start, end, hit), in code points.
 
     The text between matches and the matches themselves come from the same regular expression, so
     their lengths add up to places.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern)
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
     empty = F.array().cast(_SPAN)
 
     def step(acc: Column, x: Column) -> Column:
@@ -115,7 +117,7 @@ def _entity_lines(held: DataFrame) -> DataFrame:
 def disclosing_terms(
     texts: DataFrame, lines: DataFrame, disclosure: float = DISCLOSURE, removal: float = REMOVAL, min_entities: int = MIN_ENTITIES, min_lines: int = MIN_LINES
 ) -> DataFrame:
-    """(term, kind, remove) of the terms that disclose too much.
+    """(term, remove) of the terms that disclose too much, of a kind of entity or of a single one.
 
     texts (text) is the whole corpus, whose lines give each term's frequency; lines are those of
     _entity_lines, which give what it is seen beside.
@@ -125,7 +127,7 @@ def disclosing_terms(
         return F.exists("spans", lambda s: s["kind"] == k).cast("int").alias(k)
 
     blank = lambda c: F.regexp_replace(c, EMAIL, " ")
-    beside = lines.select(F.explode(F.array_distinct(_terms(blank(F.col("line.hit"))))).alias("term"), "spans", *[flag(k) for k in KINDS])
+    beside = lines.select(F.explode(F.array_distinct(_terms(blank(F.col("line.hit"))))).alias("term"), "print", "spans", *[flag(k) for k in KINDS])
     pairs = beside.select("term", F.explode("spans").alias("s"))
     entities = pairs.groupBy("term", F.col("s.kind").alias("kind")).agg(F.countDistinct("s.hit").alias("entities")).where(F.col("entities") >= min_entities)
     by_kind = beside.groupBy("term").agg(*[F.sum(k).alias(k) for k in KINDS]).where(F.greatest(*KINDS) >= min_lines)
@@ -136,37 +138,45 @@ def disclosing_terms(
     seen = words.groupBy("term").agg(F.count("*").alias("lines"))
     near = materialise(seen.join(by_kind, "term", "left").where(F.col(KINDS[0]).isNotNull() | (F.col("term") == "")))
     whole = near.where("term = ''").first()
-    none = near.select("term", F.lit("").alias("kind"), F.lit(False).alias("remove")).limit(0)
-    each = []
+    each = [near.select("term", F.lit("").alias("kind"), F.lit(0.0).alias("disclosed")).limit(0)]
     for k in KINDS:
         if whole and totals[k] and totals[k] < whole["lines"]:
             p = F.lit(totals[k] / whole["lines"])
             pmi = F.log2(F.col(k) / F.col("lines")) - F.log2(p)
             each.append(near.where((F.col("term") != "") & (F.col(k) >= min_lines)).select("term", F.lit(k).alias("kind"), (pmi / -F.log2(p)).alias("disclosed")))
-    if not each:
-        return none
-    rated = reduce(DataFrame.union, each).where(F.col("disclosed") >= disclosure)
-    return rated.join(entities, ["term", "kind"]).select("term", "kind", (F.col("disclosed") >= removal).alias("remove"))
-
-
-def _term_spans(lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """Per document its term spans, outside the base spans: (doc, print, more)."""
-    words = lines.select("doc", "print", "spans", F.col("line.start").alias("at"), F.explode(find_all(F.col("line.hit"), TERM)).alias("w"))
-    free = ~F.exists("spans", lambda s: (s["start"] < F.col("at") + F.col("w.end")) & (s["end"] > F.col("at") + F.col("w.start")))
-    words = words.where(free).select(
-        "doc", "print", F.lower("w.hit").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"), F.explode(F.array_distinct("spans.kind")).alias("kind")
-    )
-    hit = words.join(terms, ["term", "kind"]).groupBy("doc", "print", "start", "end").agg(F.max("remove").alias("remove"))
-    return hit.groupBy("doc", "print").agg(F.sort_array(F.collect_set(F.struct("start", "end", "remove"))).alias("more"))
+    by = reduce(DataFrame.union, each).where(F.col("disclosed") >= disclosure).join(entities, ["term", "kind"]).select("term", "disclosed")
+    if whole:
+        own = lambda d, *more: d.select(*more, F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["hit"].alias("hit"))))).alias("e"))
+        p = F.col("held") / whole["lines"]
+        held = own(lines).groupBy("e").agg(F.count("*").alias("held")).where((F.col("held") >= min_lines) & (F.col("held") < whole["lines"]))
+        # Copies of one text are one witness.
+        with_one = own(beside, "term", "print").groupBy("term", "e").agg(F.count("*").alias("n"), F.countDistinct("print").alias("texts")).where(F.col("texts") >= min_lines)
+        pmi = F.log2(F.col("n") / F.col("lines")) - F.log2(p)
+        single = with_one.join(held, "e").join(near.select("term", "lines"), "term").select("term", (pmi / -F.log2(p)).alias("disclosed"))
+        by = by.union(single.where(F.col("disclosed") >= disclosure))
+    return by.groupBy("term").agg((F.max("disclosed") >= removal).alias("remove"))
+
+
+def _rated(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Per document the rated terms it holds anywhere: (doc, print, rated)."""
+    words = texts.select("doc", "print", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    return words.join(terms, "term").groupBy("doc", "print").agg(F.collect_set(F.struct("term", "remove")).alias("rated"))
+
+
+def _term_spans() -> Column:
+    """The spans of a row's rated terms in its text, outside its base spans."""
+    words = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.sort_array(F.transform("rated", lambda t: t["term"])), "|"), F.lit(r")(?!\p{L})"))
+    free = F.filter(find_all(F.col("text"), words), lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+    gone = F.transform(F.filter("rated", lambda t: t["remove"]), lambda t: t["term"])
+    return F.transform(free, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.array_contains(gone, F.lower(w["hit"])).alias("remove")))
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
-    """(row, text, spans, more): base spans, and the spans of disclosing terms on lines that hold base spans.
+    """(row, text, spans, more): base spans, and the spans of disclosing terms anywhere in the text.
 
     A null text reads as empty and has no spans. Rows are told apart by id and text, so a null id or
-    repeated rows are served like any others, and every column of the input stays in `row`. Only
-    lines with base spans can gain term spans. Repeated
-    documents count as often as they are there.
+    repeated rows are served like any others, and every column of the input stays in `row`. Repeated
+    documents count as often as they are there, but as one text where a single entity is rated.
     """
     marked = _marked(docs, id_col, text_col)
     held = materialise(marked.where(F.size("spans") > 0).select("doc", "print", "text", "spans"))
@@ -175,9 +185,11 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
     if terms.isEmpty():
         return marked.select("row", "text", "spans", none.alias("more"))
-    more = materialise(_term_spans(lines, terms).select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), "more"))
+    every = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc"), F.col(f"`{text_col}`").alias("text")).withColumn("print", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    rated = materialise(_rated(every, terms).select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), "rated"))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("print") == F.col("_print"))
-    return marked.join(more, same, "left").select("row", "text", "spans", F.coalesce("more", none).alias("more"))
+    more = F.when(F.col("rated").isNotNull(), _term_spans()).otherwise(none)
+    return marked.join(rated, same, "left").select("row", "text", "spans", F.explode(F.array(more)).alias("more"))
 
 
 def _named(kind: Column, s: Column) -> Column:

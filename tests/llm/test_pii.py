@@ -79,6 +79,17 @@ def test_disclosing_terms_are_found_and_masked(spark):
     assert text[None] == " plain [EMAIL]"
 
 
+def test_disclosing_terms_go_wherever_they_stand(spark):
+    rows = corpus() + [(300, "a Mailbox alone, mailboxes not\nmailbox again", "s")]
+    rows += [(400 + i, f"plain words here\nzelda plain item{'abcdef'[i]} z.own@mail.example.com", "s") for i in range(6)]
+    # Copies of one text are no evidence on a single entity.
+    rows += [(500 + i, "plain words here\nquorum plain one@mail.example.com", "s") for i in range(6)]
+    text = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect()}
+    assert text[300] == "a [TERM] alone, mailboxes not\n[TERM] again"
+    assert text[400] == "plain words here\n plain itema [EMAIL]"
+    assert text[500] == "plain words here\nquorum plain [EMAIL]"
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.span_report(docs).count() == 0 and pii.sanitise(docs).count() == 0
