@@ -12,28 +12,34 @@ def symmetrise(edges: DataFrame) -> DataFrame:
     return both.where("a <> b").groupBy("a", "b").agg(F.avg("rating").alias("rating"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 100) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, distance, previous) from the nearest source, over edges (a, b, cost) with costs of zero or more.
 
-    Each round relaxes the edges out of the nodes that came nearer in the last one. Rounds are cut from
-    their history by checkpoint() where the cluster names a folder for it; unreachable nodes are absent.
+    Each round relaxes the edges out of the nodes that came nearer in the last one, until none does; a path of
+    n hops takes n rounds. Where max_rounds is given and nodes still come nearer after it, it raises. Rounds are
+    cut from their history by checkpoints, in the folder that the cluster names; unreachable nodes are absent.
     """
+    if not edges.where("cost < 0").isEmpty():
+        raise ValueError("costs must be zero or more")
     spark = edges.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    cut = lambda d: d.checkpoint() if folder else d.localCheckpoint()
     best = sources.select(F.col("node"), F.lit(0.0).alias("distance"), F.lit(-1).cast("long").alias("previous")).distinct()
     front = best
-    for i in range(max_rounds):
+    done = 0
+    while True:
         step = front.join(edges, front["node"] == edges["a"]).select(F.col("b").alias("node"), (F.col("distance") + F.col("cost")).alias("distance"), F.col("a").cast("long").alias("previous"))
         step = step.groupBy("node").agg(F.min(F.struct("distance", "previous")).alias("x")).select("node", "x.*")
         old = best.select("node", F.col("distance").alias("old"))
-        nearer = step.join(old, "node", "left").where("old IS NULL OR distance < old").drop("old")
-        nearer = nearer.checkpoint() if folder and i % 3 == 2 else nearer.cache()
+        nearer = cut(step.join(old, "node", "left").where("old IS NULL OR distance < old").drop("old"))
         if nearer.isEmpty():
-            break
+            return best
+        if done == max_rounds:
+            raise RuntimeError(f"nodes still come nearer after {max_rounds} rounds")
+        done += 1
         best = best.union(nearer).groupBy("node").agg(F.min(F.struct("distance", "previous")).alias("x")).select("node", "x.*")
-        best = best.checkpoint() if folder and i % 3 == 2 else best.cache()
+        best = cut(best) if done % 3 == 0 else best
         front = nearer
-    return best
 
 
 def landmarks(edges: DataFrame, first: int, count: int) -> list[int]:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corvina.functions import strings
@@ -56,6 +57,14 @@ def test_shortest_paths(spark):
     assert graph.landmarks(edges, 0, 2) == [0, 3]
 
 
+def test_shortest_paths_of_many_hops(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(104)] + [(0, 104, 500.0)], "a long, b long, cost double").coalesce(1).cache()
+    start = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.distance for r in graph.shortest_paths(edges, start).collect()} == {i: float(i) for i in range(105)}
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(edges, start, max_rounds=2)
+
+
 def test_watch(spark, tmp_path):
     folder, target = str(tmp_path / "in"), str(tmp_path / "out")
     for i, rows in enumerate(([(1, 1, "a"), (2, 1, "b")], [(1, 2, "c")])):
