@@ -8,27 +8,83 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (local tests) a temporary folder takes its place.
+    Where the setting is absent, a local session takes a temporary folder; on a cluster that would be a
+    different disk on each machine, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="corvina-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "path" not in _LOCAL:
+        _LOCAL["path"] = "file://" + tempfile.mkdtemp(prefix="corvina-")
+    return _LOCAL["path"]
+
+
+_LOCAL: dict[str, str] = {}
+
+
+class Scratch:
+    """Tables of one computation in the shared folder. Writing one cuts its lineage and survives lost executors."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/corvina-{uuid.uuid4().hex}"
+        self.tables = 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, written and read back."""
+        self.tables += 1
+        path = f"{self.root}/{self.tables}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """Remove the tables; what is still to be read must have been written elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvina-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write df to a table of its own in the shared folder and read it back."""
+    return Scratch(df.sparkSession).keep(df)
+
+
+#: Bits of a filter over ids: 4 MB, whatever the number of ids. With more ids more rows pass that need not.
+FILTER_BITS = 1 << 25
+
+
+def _place(key: Column, bits: int) -> tuple[Column, Column]:
+    at = F.pmod(F.xxhash64(key), F.lit(bits)).cast("int")
+    return F.shiftright(at, 6), at.bitwiseAND(63)
+
+
+def bitmap(ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """A filter over the first column of ids: at most bits / 64 rows (word, bits), so it is safe to broadcast."""
+    word, bit = _place(F.col(f"`{ids.columns[0]}`"), bits)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return ids.select(word.alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("word_bits"))
+
+
+def flagged(df: DataFrame, column: str, table: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """df with `maybe`: false only where the column's value is surely not among the filter's ids."""
+    word, bit = _place(F.col(f"`{column}`"), bits)
+    hit = (word == table["word"]) & (F.call_function("bit_get", table["word_bits"], bit) == 1)
+    return df.join(F.broadcast(table), hit, "left").select(*[df[f"`{c}`"] for c in df.columns], table["word"].isNotNull().alias("maybe"))
+
+
+def possible(df: DataFrame, column: str, table: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of df whose value may be among the filter's ids; nothing is shuffled."""
+    word, bit = _place(F.col(f"`{column}`"), bits)
+    hit = (word == table["word"]) & (F.call_function("bit_get", table["word_bits"], bit) == 1)
+    return df.join(F.broadcast(table), hit).select(*[df[f"`{c}`"] for c in df.columns])
 
 
 # Word characters are everything but space, tab, LF, VT, FF and CR.

@@ -10,14 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import document_chunks, materialise, mix
+from corvina.llm.common import Scratch, bitmap, document_chunks, materialise, mix, possible
 
 #: Banding of the signature. At a similarity of 0.75 a pair shares no band with probability
 #: (1 - 0.75^4)^32 = 5e-6, and less above it.
 BANDS, ROWS = 32, 4
-#: Buckets up to this size have their unresolved pairs listed; larger ones go through the
-#: exact prefix filter instead.
-SMALL_BUCKET = 64
+#: Documents compared with one hub in one group, at most about; more are dealt into several.
+GROUP = 256
+#: Counters of the frequency sketch that orders shingles. Any order gives the same links; a sharper one gives
+#: fewer candidates.
+COUNTERS = 1 << 18
+#: Documents of one shingle that a join group takes from its rarer components, at most about.
+SPLIT = 1024
 
 _COEFF = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
@@ -139,33 +143,37 @@ def _sketch(k: int, bands: int, rows: int):
     return run
 
 
-def _sets(k: int):
+def _confirm(k: int, num: int, den: int):
+    """Rows (b, deal, a, text), each group's hub b (a null) before its others, as the pairs (a, b) whose sets are alike."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hubs = None, []
         for batch in batches:
-            for a, b, words in document_chunks(batch.column(1), lower=True):
+            good = []
+            groups = list(zip(batch.column("b").to_pylist(), batch.column("deal").to_pylist(), strict=True))
+            others = batch.column("a").to_pylist()
+            for start, end, words in document_chunks(batch.column("text"), lower=True):
                 flat, first = shingle_sets(words, k)
-                raw = [flat[first[i] : first[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary())], ["doc_id", "set"])
+                for i in range(start, end):
+                    own = flat[first[i - start] : first[i - start + 1]]
+                    if groups[i] != at:
+                        at, hubs = groups[i], []
+                    if others[i] is None:
+                        hubs.append(own.copy())
+                    elif any(alike(own, hub, num, den) for hub in hubs):
+                        good.append((others[i], at[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _confirm(num: int, den: int):
-    """Rows (a, b, set_a, set_b) whose sets' similarity is num/den or more, as (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("set_a"), batch.column("set_b")
-            good = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                x = np.frombuffer(left[i].as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(right[i].as_buffer(), dtype=np.uint64)
-                both = np.sort(np.concatenate((x, y)))
-                common = int((both[1:] == both[:-1]).sum())
-                good[i] = den * common >= num * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
-
-    return run
+def alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets, given as sorted hashes, have the similarity num / den or more."""
+    if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
+        return False
+    both = np.sort(np.concatenate((x, y)))
+    common = int((both[1:] == both[:-1]).sum())
+    return den * common >= num * (len(x) + len(y) - common)
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,24 +199,23 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); component is the smallest node reachable.
 
     Union-find inside each partition leaves a forest of stars; then every node moves to its smallest
     neighbour and links are rewritten to the new ends, until none joins two nodes. Composing the
     moves gives the component: the smallest node never moves.
     """
-    links = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_union_find, "a long, b long"))
+    keep = (scratch or Scratch(edges.sparkSession)).keep
+    links = keep(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_union_find, "a long, b long"))
     moves = []
     while not links.isEmpty():
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        move = materialise(
-            both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to"))
-        )
+        move = keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")))
         moves.append(move)
         ends = move.select(F.col("node").alias("a"), F.col("to").alias("x"))
         other = move.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        links = materialise(
+        links = keep(
             links.join(ends, "a")
             .join(other, "b")
             .where("x <> y")
@@ -222,7 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
     for move in moves[1:]:
         step = move.select(F.col("node").alias("component"), "to")
         out = out.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return materialise(out)
+    return keep(out)
 
 
 def _size_fits(n: Column, other: Column, num: int, den: int) -> Column:
@@ -248,110 +255,158 @@ def near_duplicates(
     reachable and kept tells whether it is the document's own.
 
     Null or blank texts have an empty set and are linked with nothing. A null id cannot be named: its
-    row gets a null component and is kept. Rows repeated as a whole come back as often as given; one
-    doc_id must not stand for different texts. Copies with equal sets are collapsed before banding.
-    In each bucket the smallest id is verified against the rest; what that leaves in different
-    components is then verified pairwise (small buckets) or through a prefix filter (large ones),
-    so that no bucket is expanded into all its pairs.
+    row gets a null component and is kept. Rows repeated as a whole come back as often as given; rows
+    of one doc_id with different texts are one document that holds all their sets, so each text's links
+    are the document's. Very long texts are read whole, a megabyte of documents at a time.
+
+    Copies with equal sets are collapsed before banding. In each bucket the smallest id is verified against
+    the rest; where that leaves a bucket's members in different components, they go through an exact prefix
+    filter, so that no bucket is expanded into all its pairs. Texts are shuffled only for documents of shared
+    buckets, which a filter of fixed size picks where the texts are read.
     """
+    scratch = Scratch(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = materialise(base.mapInArrow(_sketch(k, bands, rows), SKETCH_SCHEMA))
+    sketch = scratch.keep(base.mapInArrow(_sketch(k, bands, rows), SKETCH_SCHEMA))
     live = sketch.where("fp is not null and doc_id is not null")
-    groups = materialise(live.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    reps = live.join(groups, "fp").where("doc_id = rep").select(F.col("doc_id").alias("doc"), "n_shingles", "bands")
-    keyed = reps.select("doc", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("key"))
-    hubs = (
-        keyed.groupBy("key")
-        .agg(F.min(F.struct("doc", "n")).alias("hub"), F.max("doc").alias("top"), F.count("*").alias("members"))
-        .where("hub.doc < top")
-        .select("key", "members", F.col("hub.doc").alias("hub"), F.col("hub.n").alias("hub_n"))
+    reps = scratch.keep(
+        live.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.min_by("bands", "doc_id").alias("bands"))
+    )
+    keyed = reps.select("doc", F.explode("bands").alias("key"))
+    buckets = scratch.keep(
+        keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("top")).where("hub < top").select("key", "hub")
     )
-    shared = materialise(keyed.join(hubs, "key").where("doc > hub"))
-    pairs = shared.where(_size_fits(F.col("n"), F.col("hub_n"), num, den)).select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = materialise(_verified(base, pairs, k, num, den))
-    comp = components(edges)
+    shared = scratch.keep(possible(keyed, "key", bitmap(buckets)).join(buckets, "key").where("doc > hub"))
+    ids = shared.select("doc").union(shared.select("hub"))
+    texts = possible(base.where("text is not null"), "doc_id", bitmap(ids))
+    crowd = scratch.keep(texts.dropDuplicates(["doc_id", "text"]))
+    sizes = reps.select("doc", "n")
+    pairs = (
+        shared.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
+        .join(sizes.select(F.col("doc").alias("a"), F.col("n").alias("n_a")), "a")
+        .join(sizes.select(F.col("doc").alias("b"), F.col("n").alias("n_b")), "b")
+        .where(_size_fits(F.col("n_a"), F.col("n_b"), num, den))
+        .select("a", "b").distinct()
+    )
+    edges = scratch.keep(_confirmed(pairs, crowd, k, num, den, scratch).union(_same_id(live, reps)))
+    comp = components(edges, scratch)
 
     # What is left: members of one bucket, neither its hub, in different components.
     label = comp.select(F.col("node").alias("doc"), "component")
-    crowd = shared.where("members > 2").join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = crowd.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_rows = materialise(crowd.join(mixed, "key").select("key", "members", "doc", "n", "component"))
-    small = open_rows.where(F.col("members") <= SMALL_BUCKET)
-    rest = _cross_pairs(small, num, den)
-    large = open_rows.where(F.col("members") > SMALL_BUCKET)
-    if not large.isEmpty():
-        rest = rest.union(_prefix_pairs(base, large, k, num, den))
-    rest = rest.distinct()
-    more = materialise(_verified(base, rest, k, num, den)) if not rest.isEmpty() else None
-    if more is not None and not more.isEmpty():
-        comp = components(edges.union(more))
-
-    named = groups.join(comp, groups["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    members = shared.join(label, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = scratch.keep(members.join(mixed, "key").select("doc", "component").distinct())
+    if not left.isEmpty():
+        more = scratch.keep(_confirmed(_prefix_pairs(crowd, left, k, num, den, scratch), crowd, k, num, den, scratch))
+        if not more.isEmpty():
+            comp = components(edges.union(more), scratch)
+
+    named = reps.join(comp, reps["doc"] == comp["node"], "left").select("fp", F.coalesce("component", "doc").alias("component"))
     out = sketch.where("fp is not null").join(named, "fp", "left").select("doc_id", "n_shingles", "component")
     blank = sketch.where("fp is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return (
+    result = materialise(
         out.union(blank)
         .select("doc_id", "n_shingles", component.alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+    scratch.release()
+    return result
 
 
-def _cross_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    other = rows.select("key", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    return (
-        rows.join(other, "key")
-        .where((F.col("doc") > F.col("b")) & (F.col("component") != F.col("c_b")) & _size_fits(F.col("n"), F.col("n_b"), num, den))
-        .select(F.col("doc").alias("a"), "b")
+def _same_id(live: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between the copies that one id stands for, where its texts differ."""
+    named = live.select("doc_id", "fp").join(reps.select("fp", "doc"), "fp").select("doc_id", "doc")
+    several = named.groupBy("doc_id").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("doc_id", "lo")
+    return named.join(several, "doc_id").where("doc > lo").select(F.col("doc").alias("a"), F.col("lo").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, crowd: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike.
+
+    A hub's text goes once to each group of about GROUP partners, so a hub with many is dealt over many groups.
+    """
+    pairs = scratch.keep(pairs)
+    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    dealt = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("deal"))
+    asked = dealt.select(F.col("a").alias("doc_id"), "b", "deal", "a").union(
+        dealt.select(F.col("b").alias("doc_id"), "b", "deal", F.lit(None).cast("long").alias("a")).distinct()
     )
+    texts = asked.join(crowd, "doc_id").select("b", "deal", "a", "text")
+    near = texts.repartition("b", "deal").sortWithinPartitions("b", "deal", F.col("a").asc_nulls_first())
+    return near.mapInArrow(_confirm(k, num, den), "a long, b long").distinct()
 
 
-def _needed_sets(base: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, set) of the given documents, from their texts."""
-    texts = base.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    return texts.mapInArrow(_sets(k), "doc_id long, set binary").dropDuplicates(["doc_id"])
+def _slots(shingles: np.ndarray, counters: int) -> np.ndarray:
+    return (shingles % np.uint64(counters)).astype(np.int64)
 
 
-def _verified(base: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    pairs = materialise(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    sets = materialise(_needed_sets(base, ids, k))
-    with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    return with_b.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(num, den), "a long, b long")
+def _count(k: int, counters: int):
+    """How many documents hold a shingle of each counter, summed over one partition."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(counters, dtype=np.int64)
+        for batch in batches:
+            for _, _, words in document_chunks(batch.column("text"), lower=True):
+                total += np.bincount(_slots(shingle_sets(words, k)[0], counters), minlength=counters)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+
+    return run
+
+
+HEADS = "doc long, n long, component long, pos long, shingle long"
 
-def _prefix_pairs(base: DataFrame, large: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of documents of large buckets, in different components, that may reach the similarity.
+
+def _heads(k: int, num: int, den: int, counts: np.ndarray):
+    """The first shingles of each document that another one may hold too, rare ones first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, comps = batch.column("doc").to_pylist(), batch.column("component").to_pylist()
+            for start, end, words in document_chunks(batch.column("text"), lower=True):
+                flat, first = shingle_sets(words, k)
+                often = counts[_slots(flat, len(counts))]
+                parts = []
+                for i in range(end - start):
+                    own, seen = flat[first[i] : first[i + 1]], often[first[i] : first[i + 1]]
+                    n = len(own)
+                    length = n - -(-n * num // den) + 1
+                    order = np.lexsort((own, seen))[:length]
+                    pos = np.flatnonzero(seen[order] > 1)
+                    parts.append((np.full(len(pos), docs[start + i]), np.full(len(pos), n), np.full(len(pos), comps[start + i]), pos, own[order[pos]].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)], HEADS.replace(" long", "").split(", "))
+
+    return run
+
+
+def _prefix_pairs(crowd: DataFrame, left: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of the documents left (doc, component), in different components, that may reach the similarity.
 
     Two sets of n shingles with the similarity asked for share one of the n - ceil(n * num / den) + 1
-    first in any common order. The order is by the number of components that hold a shingle, then its
-    hash: what only one component has comes first and brings nobody together, a passage that many share
-    comes last. Each document is expanded once, however many buckets hold it. The first shingle that
-    two sets share, at positions p and q, leaves room for min(n - p, m - q) in common, so a
-    pair with the similarity keeps at least that row.
+    first in any common order. The order is by an estimate of how many documents hold a shingle, from a table of
+    COUNTERS counts, then by its hash: what nobody shares comes first and is not listed at all, a passage that
+    many share comes last. The first shingle that two sets share, at positions p and q, leaves room for
+    min(n - p, m - q) in common, so a pair with the similarity keeps at least that row. Of a shingle's
+    holders only those outside its smallest component look for partners, so that a large component is not
+    compared with itself, and a shingle with many of them is split.
     """
-    docs = materialise(large.select("doc", "n", "component").distinct())
-    sets = _needed_sets(base, docs.select(F.col("doc").alias("id")), k).mapInArrow(_exploded, "doc long, shingle long")
-    rows = materialise(sets.join(docs, "doc"))
-    seen = rows.select("shingle", "component").distinct().groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1")
-    counted = rows.join(seen, "shingle", "left").withColumn("seen", F.coalesce("seen", F.lit(1)))
-    ranked = counted.groupBy("doc", "n", "component").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("order"))
-    length = F.col("n") - F.ceil(F.col("n") * num / den) + 1
-    cut = ranked.select("doc", "n", "component", F.posexplode(F.slice("order", F.lit(1), length.cast("int"))).alias("pos", "x"))
-    heads = materialise(cut.where("x.seen > 1").select("doc", "n", "component", "pos", F.col("x.shingle").alias("shingle")))
-    other = heads.select("shingle", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), F.col("pos").alias("pos_b"))
+    texts = scratch.keep(left.join(crowd, F.col("doc") == F.col("doc_id")).select("doc", "component", "text"))
+    table = texts.mapInArrow(_count(k, COUNTERS), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[table["slot"].to_numpy()] = table["n"].to_numpy()
+    heads = scratch.keep(texts.mapInArrow(_heads(k, num, den, counts), HEADS))
+    lowest = heads.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("holders")).where("lo < hi")
+    open_heads = scratch.keep(heads.join(lowest.select("shingle", "lo", F.ceil(F.col("holders") / SPLIT).alias("splits")), "shingle"))
+    seeking = open_heads.where("component > lo").withColumn("split", F.pmod(F.xxhash64("doc"), F.col("splits")))
+    other = open_heads.select(
+        "shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("split"), F.col("doc").alias("b"), F.col("n").alias("n_b"),
+        F.col("component").alias("c_b"), F.col("pos").alias("pos_b"),
+    )
     room = F.least(F.col("n") - F.col("pos"), F.col("n_b") - F.col("pos_b"))
     return (
-        heads.join(other, "shingle")
-        .where((F.col("doc") > F.col("b")) & (F.col("component") != F.col("c_b")) & _size_fits(F.col("n"), F.col("n_b"), num, den))
+        seeking.join(other, ["shingle", "split"])
+        .where((F.col("component") > F.col("c_b")) & _size_fits(F.col("n"), F.col("n_b"), num, den))
         .where(room * (num + den) >= (F.col("n") + F.col("n_b")) * num)
         .select(F.col("doc").alias("a"), "b")
+        .distinct()
     )
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            s = np.frombuffer(batch.column("set")[i].as_buffer(), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column("doc_id")[i].as_py())), pa.array(s)], ["doc", "shingle"])

@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from corvina.llm import chat, html, minhash, mixing, quality, rules, topk, urls
+from corvina.llm import chat, common, html, minhash, mixing, quality, rules, topk, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -205,6 +206,29 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
             for b in sets:
                 if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                     least[a] = least[b] = min(least[a], least[b])
-    monkeypatch.setattr(minhash, "SMALL_BUCKET", 1)
+    monkeypatch.setattr(minhash, "GROUP", 2)
+    monkeypatch.setattr(minhash, "SPLIT", 2)
+    monkeypatch.setattr(minhash, "COUNTERS", 64)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == least
+
+
+def test_near_duplicates_of_one_id_and_long_texts(spark):
+    rng = np.random.default_rng(6)
+    text = lambda seed: " ".join(f"{seed}{i}" for i in range(40))
+    rows = [(7, text("a")), (7, text("b")), (3, text("a") + " x"), (9, text("b") + " y"), (2, text("c")), (2, text("c"))]
+    long = [f"v{i}" for i in rng.integers(0, 5000, 200_000)]
+    rows += [(20, " ".join(long)), (21, " ".join(["z", *long[1:]])), (22, "x" * 3_000_000)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kept int")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(2, 2, True), (2, 2, True), (3, 3, True), (7, 3, False), (7, 3, False), (9, 3, False), (20, 20, True), (21, 20, False), (22, 22, True)]
+
+
+def test_id_filter_lets_every_id_pass(spark):
+    ids = spark.range(0, 3000, 3)
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.lit(1).alias("word"))
+    for bits in (64, 1 << 20):
+        table = common.bitmap(ids, bits)
+        passed = {r.k for r in common.possible(rows, "k", table, bits).collect()}
+        assert passed >= set(range(0, 3000, 3)) and (bits == 64) == (len(passed) == 3000)
+        assert common.flagged(rows, "k", table, bits).where("maybe").count() == len(passed)

@@ -14,7 +14,17 @@ def test_stages(spark, sf_dir):
     assert all(d.columns == columns for d in (good, once, clean, mixed))
     verdict = {r.doc_id for r in rules.quality_rules(start).where("kept").collect()}
     assert {r.doc_id for r in good.collect()} == verdict
-    assert once.count() == minhash.near_duplicates(good).where("kept").count()
+    assert once.count() == minhash.near_duplicates(good).where("kept").count()  # no id is repeated there
     assert clean.count() == once.count() and pii.span_report(clean).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
     assert 0 < mixed.count() <= clean.count() and encoded.count() == mixed.count()
     assert encoded.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_dedup_rows_of_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a", None), (1, text, "b", 2), (1, "another one", "a", 3), (2, text + " x", "c", 4), (None, text, "d", 5), (None, None, None, None), (4, None, "e", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, maybe int")
+    got = corpus_pipeline.dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([r for r in rows if r not in (rows[1], rows[3])], key=repr)
+    assert corpus_pipeline.dedup(spark, docs.limit(0), "").count() == 0
