@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm import bpe, minhash, mixing, pii, rules
-from corvina.llm.common import materialise
+from corvina.llm.common import bitmap, flagged, materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,11 +19,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id; rows without an id stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    # The semi-join leaves rows dealt and sorted by id, so that dropping repeated rows moves nothing.
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.union(docs.where("doc_id is null"))
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Rows without an id stay. Rows that repeat an id and a text count once; different texts under one id both
+    stay if it is their group's smallest. Only rows that may go, or be repeated, are shuffled.
+    """
+    found = minhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("stays"), F.count("*").alias("rows"))
+    touched = materialise(found.where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("stays").alias("_stays")))
+    row = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    marked = flagged(row, "doc_id", bitmap(touched))
+    doubtful = marked.where("maybe").join(touched, F.col("doc_id") == F.col("_id"), "left")
+    once = doubtful.where("_stays").groupBy("doc_id", "text").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    alone = marked.where("not maybe").select("row").union(doubtful.where("_stays is null").select("row"))
+    return alone.union(once.select("row")).select("row.*")
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
