@@ -152,7 +152,7 @@ def test_html_extraction(spark):
     whole, cut = "Title & x One two three four five a b", "Title & x One two three four"
     assert got == [(1, whole, len(whole)), (1, whole, len(whole)), (2, cut, len(cut)), (3, "", 0), (4, "", 0)]
     a, b = html.skeleton(page), html.skeleton(page.replace("<p>five", "<p>five<p>six<p>seven"))
-    assert set(html.main_slots(html.align(a, b))) == set(html.main_slots(a))
+    assert {n[0] for n in html.slots(html.align(a, b))} == {n[0] for n in html.slots(a)}
 
 
 def test_html_layouts_and_unlabelled_template(spark):
@@ -232,3 +232,38 @@ def test_id_filter_lets_every_id_pass(spark):
         passed = {r.k for r in common.possible(rows, "k", table, bits).collect()}
         assert passed >= set(range(0, 3000, 3)) and (bits == 64) == (len(passed) == 3000)
         assert common.flagged(rows, "k", table, bits).where("maybe").count() == len(passed)
+
+
+def test_html_wrapper_decides_template(spark):
+    """Pages made from known parts: what a host repeats in plain containers goes, what varies stays."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randrange(1000)) for _ in range(n))
+    rows, want = [], {}
+    for host in range(4):
+        slogan, terms, tags = words(6), words(9), [words(1) for _ in range(3)]
+        for i in range(40):
+            body = [words(rng.randint(3, 20)) for _ in range(rng.randint(1, 6))]
+            tag = tags[i % 3]  # each on a third of the pages: it varies at its place, so it is data although it recurs
+            parts = [f"<div class=x><p>{slogan}</p></div>" * (i % 9 > 0), f"<div class=k>{tag}</div>", f"<div class=y>{''.join(f'<p>{b}</p>' for b in body)}<p>{terms}</p></div>"]
+            rows.append((host * 100 + i, f"http://h{host}/{i}", f"<html><body>{''.join(parts)}</body></html>", "other"))
+            want[host * 100 + i] = " ".join([tag, *body])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert sum(got[i] == want[i] for i in want) == len(want)
+    alone = spark.createDataFrame([(i, f"http://h{i}/", h, t) for i, _, h, t in rows], pages.schema)  # nothing to align with
+    assert all(r.text != want[r.page_id] for r in html.extract(alone).collect() if r.page_id % 100 % 9)
+    assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_html_long_and_deep_pages(spark):
+    blocks = lambda n, s: "".join(f"<{'ph'[i % 7 == 0]}{i % 3 + 1 if i % 7 == 0 else ''}>{s}{i}" for i in range(n))
+    long = [f"<article>{'<section>' * (i % 3)}{blocks(60_000, s)}</article>" for i, s in enumerate("abcd")]
+    deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
+    rows = [(i, "http://long/", h) for i, h in enumerate([*long, deep])]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(f"{s}{j}" for j in range(60_000)) for i, s in enumerate("abcd")} | {4: "deep"}
+    rng = random.Random(1)
+    a, b = ([f"t{rng.randrange(4000)}" for _ in range(9000)] for _ in range(2))
+    ops = html.opcodes(a, b)
+    assert [x for _, i, j, _, _ in ops for x in a[i:j]] == a and [x for *_, k, m in ops for x in b[k:m]] == b
+    assert all(a[i:j] == b[k:m] for op, i, j, k, m in ops if op == "equal")
