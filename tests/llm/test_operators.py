@@ -106,7 +106,7 @@ def test_urls(spark):
 
 def test_url_templates_reject_by_purity(spark):
     paths = [("h.io", f"/a/{i}", 1, 1, 0) for i in range(30)] + [("h.io", f"/b/{i}", 1, 0, 1) for i in range(30)]
-    tree = urls.templates(spark.createDataFrame(paths, "host string, path string, n long, bad long, good long"))
+    tree = urls.templates(spark.createDataFrame(paths, "host string, path string, n long, bad long, good long"), common.Scratch(spark))
     assert {r.template for r in tree.collect()} == {"/a/*", "/b/*"}
 
 
@@ -267,3 +267,75 @@ def test_html_long_and_deep_pages(spark):
     ops = html.opcodes(a, b)
     assert [x for _, i, j, _, _ in ops for x in a[i:j]] == a and [x for *_, k, m in ops for x in b[k:m]] == b
     assert all(a[i:j] == b[k:m] for op, i, j, k, m in ops if op == "equal")
+
+
+def brute_templates(paths):
+    """{(host, path): template}: the tree by plain recursion."""
+    kind = lambda s: bool(s) and bool(re.search(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$|^[0-9a-fA-F-]{12,}$", s))
+    own = lambda s: "*" if kind(s) else s
+    out = {}
+
+    def grow(host, node, rows, d):
+        if len(rows) == 1:
+            segs, path, *_ = rows[0]
+            out[host, path] = node + "".join("/" + own(s) for s in segs[d:])
+            return
+        kids = {}
+        for r in rows:
+            kids.setdefault(own(r[0][d]) if len(r[0]) > d else "", []).append(r)
+        total = lambda rs, i: sum(r[i] for r in rs)
+        end = lambda rs: sum(r[2] for r in rs if len(r[0]) <= d + 1) / total(rs, 2)
+        var = lambda rs: sum(r[2] for r in rs if len(r[0]) > d + 1 and kind(r[0][d + 1])) / total(rs, 2)
+        bad, labelled = total(rows, 3), total(rows, 3) + total(rows, 4)
+        rate = (bad + 0.5) / (labelled + 1)
+        single = sum(total(rs, 2) == 1 for rs in kids.values())
+        merged = {}
+        for child, rs in kids.items():
+            seen = total(rs, 3) + total(rs, 4)
+            reach = (0.5 * np.log(2 / urls.ALPHA)) ** 0.5 * (total(rs, 2) ** -0.5 + total(rows, 2) ** -0.5)
+            if seen:
+                alike = abs(total(rs, 3) / seen - rate) <= urls.SIMILAR * (rate * (1 - rate) / seen) ** 0.5
+            else:
+                alike = labelled > 0 and abs(end(rs) - end(rows)) <= reach and abs(var(rs) - var(rows)) <= reach
+            many = len(kids) > urls.FANOUT or (len(kids) >= urls.FEW and single >= urls.SINGLETONS * len(kids))
+            step = "" if child == "" else "/*" if many or alike else "/" + child
+            for r in rs:
+                if len(r[0]) <= d + 1:
+                    out[host, r[1]] = node + step
+                else:
+                    merged.setdefault(node + step, []).append(r)
+        for deeper, rs in merged.items():
+            grow(host, deeper, rs, d + 1)
+
+    for host in {h for h, _ in paths}:
+        grow(host, "", [([s for s in p.split("/") if s], p, *c) for (h, p), c in paths.items() if h == host], 0)
+    return out
+
+
+def test_url_tree_equals_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(700):
+        depth = rng.choice([0, 1, 1, 2, 2, 3, 12])
+        segs = [rng.choice(["en", "es", "a", "b", "77", "8.html", "0123456789abcdef", f"x{rng.randrange(60)}"]) for _ in range(depth)]
+        rows.append((i, f"http://{rng.choice(['s.org', 'deep.com', 'n.net', 'plain.io'])}/{'/'.join(segs)}{rng.choice(['', '/', '?q=1'])}"))
+    rows += [(1000 + i, "http://only.io/" + "/".join(["q"] * 30 + [str(i)])) for i in range(3)]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    paths = {}
+    for r in got.values():
+        c = paths.setdefault((r.host, r.path), [0, 0, 0])
+        c[0] += 1
+        c[1] += r.rule is not None and r.verdict == "block"
+        c[2] += r.rule is not None and r.verdict == "allow"
+    tree = brute_templates(paths)
+    assert {k: v for k, v in tree.items()} == {(r.host, r.path): r.template for r in got.values()}
+    prior = (sum(c[1] for c in paths.values()) + 1) / (sum(c[1] + c[2] for c in paths.values()) + 2)
+    for r in got.values():
+        same = [c for k, c in paths.items() if k[0] == r.host and tree[k] == r.template]
+        bad, seen = sum(c[1] for c in same), sum(c[1] + c[2] for c in same)
+        purity = (bad + urls.PRIOR * prior) / (seen + urls.PRIOR)
+        assert abs(r.purity - purity) < 1e-5
+        if r.rule is None:
+            assert r.verdict == ("block" if purity >= urls.PURITY and seen >= urls.SUPPORT else "allow")
+    unruled = [r.verdict for r in got.values() if r.rule is None]
+    assert 0 < unruled.count("block") < len(unruled)
