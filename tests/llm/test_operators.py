@@ -184,8 +184,8 @@ def test_mixing_meets_margins_and_budget(spark):
     assert abs(kept / total - mixing.BUDGET) < 0.02
     assert abs(sum(r.tokens for r in got if r.drawn) / total - mixing.BUDGET) < 0.05
     cells = spark.createDataFrame([("a", "x", "t", 10.0), ("a", "y", "t", 30.0), ("b", "x", "t", 40.0), ("b", "y", "t", 20.0)], "source string, lang string, topic string, tokens double")
-    raked = {(r.source, r.lang): r.weight for r in mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"t": 1.0}}, rounds=12).collect()}
-    assert abs(raked["a", "x"] + raked["a", "y"] - 50) < 0.1 and abs(raked["a", "x"] + raked["b", "x"] - 50) < 0.1
+    raked = {(r.source, r.lang): r.weight for r in mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"t": 1.0}}, 0.5).collect()}  # weights are kept tokens, at most what a cell has
+    assert abs(raked["a", "x"] + raked["a", "y"] - 25) < 0.05 and abs(raked["a", "x"] + raked["b", "x"] - 25) < 0.05
     assert mixing.mixing_report(docs.limit(0)).count() == 0
 
 
@@ -339,3 +339,76 @@ def test_url_tree_equals_brute_force(spark):
             assert r.verdict == ("block" if purity >= urls.PURITY and seen >= urls.SUPPORT else "allow")
     unruled = [r.verdict for r in got.values() if r.rule is None]
     assert 0 < unruled.count("block") < len(unruled)
+
+
+def test_raking_equals_brute_force(spark):
+    rng = random.Random(2)
+    cells = {(s, g, t): float(rng.choice([1, 5, 40, 300])) for s in "abc" for g in "xyz" for t in "pq" if rng.random() < 0.9}
+    total, budget = sum(cells.values()), 0.6
+    want = {d: {} for d in range(3)}
+    for d in range(3):  # shares of the tempered cells; what a value cannot take goes to the others
+        have, share = {}, {}
+        for k, n in cells.items():
+            have[k[d]] = have.get(k[d], 0) + n
+            share[k[d]] = share.get(k[d], 0) + n**mixing.TEMPER
+        full = set()
+        while True:
+            rate = (budget * total - sum(have[v] for v in full)) / sum(share[v] for v in share if v not in full)
+            more = {v for v in share if v not in full and share[v] * rate > have[v]}
+            if not more:
+                break
+            full |= more
+        want[d] = {v: have[v] if v in full else share[v] * rate for v in share}
+    raked = mixing.rake(spark.createDataFrame([(*k, n) for k, n in cells.items()], "source string, lang string, topic string, tokens double"), None, budget)
+    got = {(r.source, r.lang, r.topic): r for r in raked.collect()}
+    for k, r in got.items():
+        assert all(abs(r[f"target_{d}"] - want[i][k[i]]) < 1e-6 * total for i, d in enumerate(mixing.DIMENSIONS)) and 0 <= r.weight <= cells[k] + 1e-9
+    weight, gap = {k: n * budget for k, n in cells.items()}, np.inf
+    for done in range(1, mixing.ROUNDS // mixing.STRIDE + 1):
+        for d in list(range(3)) * mixing.STRIDE:
+            for v, t in want[d].items():
+                own = [k for k in cells if k[d] == v]
+                now, held = sum(weight[k] for k in own), sum(weight[k] for k in own if weight[k] >= cells[k] * (1 - 1e-12))
+                for k in own:
+                    limit = weight[k] >= cells[k] * (1 - 1e-12)
+                    f = t / now if now >= t else 1.0 if limit else (t - held) / (now - held) if now > held else 1.0
+                    weight[k] = min(cells[k], weight[k] * f)
+        last, gap = gap, max(abs(t - sum(weight[k] for k in cells if k[d] == v)) for d in range(3) for v, t in want[d].items())
+        if gap <= mixing.TOLERANCE * budget * total or gap > (1 - mixing.PROGRESS) * last:
+            break
+    assert all(abs(got[k].weight - weight[k]) < 1e-6 * total for k in cells) and gap < 0.02 * budget * total
+    assert {(r.dimension, r.value): round(r.target, 3) for r in mixing.margins(raked).collect()} == {(d, v): round(t, 3) for i, d in enumerate(mixing.DIMENSIONS) for v, t in want[i].items()}
+
+
+def test_mixing_topics_and_odd_rows(spark):
+    rng = random.Random(3)
+    words = [[f"{s}{i}" for i in range(80)] for s in "abcdefg"]  # and z below
+    rows = [(i, " ".join(rng.choice(words[i % 7]) for _ in range(60)), "en", "s", "x", 0.5) for i in range(240)]
+    rows += [rows[0], rows[0], (900, None, None, None, "x", None), (901, " ", "en", "s", None, None), (None, "z " * 300_000, "en", "s", "x", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string, keep double")
+    out = mixing.mix(docs).select("row.doc_id", "topic", "tokens", "keep", "drawn").collect()
+    own = {}
+    for r in out:
+        if r.doc_id is not None and r.doc_id < 240:
+            own.setdefault(r.topic, set()).add(r.doc_id % 7)
+    assert len(out) == len(rows) and len(own) == 7 and all(len(v) == 1 for v in own.values())
+    assert {r.topic for r in out if r.doc_id in (900, 901)} == {"none"} and all(r.drawn for r in out if r.doc_id in (900, 901))
+    assert [r.tokens for r in out if r.doc_id is None] == [300_000.0] and len({r.drawn for r in out if r.doc_id == 0}) == 1
+    assert mixing.sample(docs).columns == docs.columns and mixing.sample(docs.limit(0)).count() == 0
+
+
+def test_machine_equals_explicit_pairs_and_odd_rows(spark):
+    rng = np.random.default_rng(9)
+    machine = quality.Machine(0.3, rng.normal(size=quality.WIDTH), rng.normal(size=(quality.WIDTH, quality.FACTORS)))
+    first = np.array([0, 5, 5, 12])
+    feature, value = rng.choice(quality.WIDTH, 12, replace=False), rng.normal(size=12)
+    for row, got in enumerate(machine.margin(first, feature, value)):
+        f, v = feature[first[row] : first[row + 1]], value[first[row] : first[row + 1]]
+        pairs = sum(machine.factor[f[i]] @ machine.factor[f[j]] * v[i] * v[j] for i in range(len(f)) for j in range(i))
+        assert abs(got - (0.3 + machine.weight[f] @ v + pairs)) < 1e-9
+    rows = [(i, ("good word " if i % 2 else "# bad $ ") * (1 + i % 5), 0.5, i % 2) for i in range(60)] + [(61, "x " * 500_000, None, None), (60, None, 1.0, 1), (60, None, 1.0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, label int")
+    labels = docs.select("doc_id", F.col("label").alias("quality"), F.lit(0).alias("text"))
+    got = quality.score_documents(docs, labels).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id < 60)
