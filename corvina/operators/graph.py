@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvina.session import cut
+
 
 def symmetrise(edges: DataFrame) -> DataFrame:
     """(a, b, rating) in both directions, averaged, without self-loops."""
@@ -21,9 +23,6 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None
     """
     if not edges.where("cost < 0").isEmpty():
         raise ValueError("costs must be zero or more")
-    spark = edges.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    cut = lambda d: d.checkpoint() if folder else d.localCheckpoint()
     best = sources.select(F.col("node"), F.lit(0.0).alias("distance"), F.lit(-1).cast("long").alias("previous")).distinct()
     front = best
     done = 0
@@ -60,16 +59,59 @@ def all_pairs(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     Each round joins the paths found so far with themselves, which doubles their length; the result has as many rows
     as there are reachable pairs. Rounds are cut from their history as in shortest_paths.
     """
-    folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
     nodes = edges.select("a").union(edges.select("b")).distinct()
     paths = edges.select("a", "b", "cost").union(nodes.select("a", F.col("a").alias("b"), F.lit(0.0).alias("cost"))).groupBy("a", "b").agg(F.min("cost").alias("cost"))
     total = None
     for _ in range(max_rounds):
         second = paths.select(F.col("a").alias("_mid"), F.col("b").alias("_end"), F.col("cost").alias("_more"))
         longer = paths.join(second, F.col("b") == F.col("_mid")).groupBy("a", F.col("_end").alias("b")).agg(F.min(F.col("cost") + F.col("_more")).alias("cost"))
-        paths = longer.checkpoint() if folder else longer.cache()
+        paths = cut(longer)
         now = tuple(paths.agg(F.count("*"), F.sum("cost")).first())
         if now == total:
             break
         total = now
     return paths
+
+
+def chains(rows: DataFrame) -> DataFrame:
+    """(id, n, root) from (id, parent): the rows on the way to the root, itself included, and the root.
+
+    Pointer doubling: each round every row skips to its ancestor's ancestor, so a chain of n rows takes log2(n)
+    joins. A null parent ends a chain; a parent that is no row does too, without being counted. Rows on a
+    cycle have no root and are left out.
+    """
+    own = rows.select(F.col("id").alias("_id"))
+    linked = rows.join(own, rows["parent"] == F.col("_id"), "left").select("id", F.col("_id").alias("up"))
+    at = cut(linked.select("id", "up", F.lit(1).cast("long").alias("n"), F.coalesce("up", "id").alias("root")))
+    open_rows = at.where("up is not null").count()
+    done = 1
+    while open_rows and done <= 2 * at.count():
+        above = at.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("n").alias("_n"), F.col("root").alias("_root"))
+        at = cut(at.join(above, "up", "left").select("id", F.col("_up").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("_root", "root").alias("root")))
+        open_rows, done = at.where("up is not null").count(), done * 2
+    return at.where("up is null").select("id", "n", "root")
+
+
+def split_edges(edges: DataFrame) -> DataFrame:
+    """Edges with `part`: test, verify or train for a tenth, a tenth and the rest, by a digest of the unordered pair."""
+    name = F.concat_ws("-", F.least("a", "b"), F.greatest("a", "b"))
+    tenth = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % 10
+    return edges.withColumn("part", F.when(tenth == 0, "test").when(tenth == 1, "verify").otherwise("train"))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """One row (triangles, violations) of undirected (a, b, d): a violation is a triangle with a side longer than the others.
+
+    Each edge points from the node of fewer edges to that of more, so a node of many edges starts few pairs.
+    """
+    lone = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
+    degree = lone.select("a").union(lone.select("b")).groupBy("a").agg(F.count("*").alias("deg"))
+    ranked = lone.join(degree, "a").withColumnRenamed("deg", "deg_a").join(degree.select(F.col("a").alias("b"), F.col("deg").alias("deg_b")), "b")
+    forward = F.struct("deg_a", "a") < F.struct("deg_b", "b")
+    out = ranked.select(F.when(forward, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("y"), "d")
+    second = out.select("x", F.col("y").alias("z"), F.col("d").alias("d2"))
+    pairs = out.join(second, "x").where("y < z")
+    third = lone.select(F.col("a").alias("y"), F.col("b").alias("z"), F.col("d").alias("d3"))
+    longest = F.greatest("d", "d2", "d3")
+    found = pairs.join(third, ["y", "z"])
+    return found.agg(F.count("*").alias("triangles"), F.coalesce(F.sum((2 * longest > F.col("d") + F.col("d2") + F.col("d3")).cast("long")), F.lit(0)).alias("violations"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvina.session import cut
+
 
 def greedy_suppress(rows: DataFrame, label: str, length: str, order: list[str], within: float) -> DataFrame:
     """Keep a row unless a row kept before it has the same label and a length within `within`.
@@ -37,7 +40,8 @@ def adaptive_histogram(rows: DataFrame, group: str, value: str, min_size: int, r
             if i - start >= min_size and x[i] - x[start] >= width and x[i] > x[start]:
                 out.append((float(x[start:i].mean()), (i - start) / (x[i] - x[start]) / len(x)))
                 start = i
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(out), "mean": [a for a, _ in out], "density": [b for _, b in out]})
+        made = pdf[[group]].iloc[[0] * len(out)].reset_index(drop=True)
+        return made.assign(mean=np.array([a for a, _ in out], dtype=float), density=np.array([b for _, b in out], dtype=float))
 
     finite = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf"))).select(group, value)
     kind = dict(rows.dtypes)[group]
@@ -49,3 +53,17 @@ def range_join(points: DataFrame, at: str, spans: DataFrame, lo: str, hi: str, w
     p = points.withColumn("_cell", F.floor(F.col(at) / width))
     s = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
     return p.join(s, "_cell").where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("_cell")
+
+
+def global_rank(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their position from 0 in the whole order, without a window over all rows.
+
+    Rows are dealt into ranges of the order; a range's positions start after the rows of the ranges before it. Only
+    the ranges' sizes, one number each, meet in one task. Rows that tie in the order get any of their positions.
+    """
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + local).drop("_part", "_start")  # one row a range

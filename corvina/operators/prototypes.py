@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Prototypes times dimensions that may be sent with a task.
@@ -110,3 +110,34 @@ def classify(rows: DataFrame, labels: np.ndarray, prototypes: np.ndarray) -> Dat
                 yield pd.DataFrame({"id": pdf.id, "predicted": labels[near]})
 
     return rows.where("v is not null").select("id", "v").mapInPandas(run, "id long, predicted long")
+
+
+def separable_share(spark: SparkSession, sizes: list[tuple[int, int]], trials: int, epochs: int, seed: int) -> DataFrame:
+    """(p, n, trials, share, epochs): of random labellings of p normal points in n dimensions, how many a perceptron separates.
+
+    Every trial is a row of its own, drawn from its own seed, so trials spread over the executors; epochs is the
+    mean number that the separated ones took.
+    """
+    rows = [(p, n, t, seed * 1_000_003 + i * 10_007 + t) for i, (p, n) in enumerate(sizes) for t in range(trials)]
+
+    def run(batches):
+        for pdf in batches:
+            taken = []
+            for p, n, own in zip(pdf["p"], pdf["n"], pdf["seed"], strict=True):
+                rng = np.random.default_rng(own)
+                x = rng.normal(size=(p, n)) * rng.choice([-1.0, 1.0], size=(p, 1))  # points times labels: all must be on one side
+                w, done = np.zeros(n), 0
+                for epoch in range(1, epochs + 1):
+                    wrong = 0
+                    for v in x:
+                        if v @ w <= 0:
+                            w, wrong = w + v, wrong + 1
+                    if not wrong:
+                        done = epoch
+                        break
+                taken.append(done)
+            yield pdf[["p", "n"]].assign(taken=taken)
+
+    out = spark.createDataFrame(rows, "p int, n int, t int, seed long").repartition("p", "t").mapInPandas(run, "p int, n int, taken int")
+    good = F.col("taken") > 0
+    return out.groupBy("p", "n").agg(F.count("*").alias("trials"), F.round(F.avg(good.cast("double")), 6).alias("share"), F.round(F.avg(F.when(good, F.col("taken"))), 6).alias("epochs"))

@@ -42,18 +42,19 @@ def canonicalise(text: pd.Series) -> pd.Series:
 
 
 def indel(s: str, t: str) -> int:
-    """Insertions and deletions that turn s into t; a substitution is one of each."""
-    if len(s) < len(t):
-        s, t = t, s
-    row = list(range(len(t) + 1))
-    for i, a in enumerate(s, 1):
-        left = i
-        diagonal, row[0] = row[0], i
-        for j, b in enumerate(t, 1):
-            best = diagonal if a == b else 1 + min(row[j], left)
-            diagonal, row[j] = row[j], best
-            left = best
-    return row[-1]
+    """Insertions and deletions that turn s into t; a substitution is one of each.
+
+    The longest common subsequence, all of s at once in the bits of one integer: a bit is cleared where it grows.
+    """
+    places: dict[str, int] = {}
+    for i, c in enumerate(s):
+        places[c] = places.get(c, 0) | 1 << i
+    every = (1 << len(s)) - 1
+    bits = every
+    for c in t:
+        hit = bits & places.get(c, 0)
+        bits = ((bits + hit) | (bits - hit)) & every
+    return len(t) - len(s) + 2 * bits.bit_count()
 
 
 @F.pandas_udf(T.IntegerType())
@@ -92,3 +93,79 @@ def fuzzy_match(queries: DataFrame, catalogue: DataFrame, accept: float = 1.45)
     cost = (1 - F.col("shared") / F.col("n")) + scaled_indel(F.col("q"), F.col("c"))
     order = Window.partitionBy("q_id").orderBy("cost", "c_id")
     return pairs.withColumn("cost", F.round(cost, 6)).where(F.col("cost") < accept).withColumn("r", F.row_number().over(order)).where("r = 1").select("q_id", "c_id", "cost")
+
+
+def grams_of(artist: Column, title: Column) -> Column:
+    """Distinct trigrams of the canonical artist and title."""
+    return F.array_distinct(F.concat(trigrams(artist), trigrams(title)))
+
+
+def song_matches(queries: DataFrame, songs: DataFrame, best: int = 50, quality: str | None = None) -> DataFrame:
+    """(q_id, c_id, cost) of the songs like each query, both given as (id, artist, title).
+
+    Candidates share (6 n + 9) div 10 of the query's n trigrams, and the best few by shared ones stay. The cost is the
+    share of trigrams missed, of the larger count, plus the scaled edit distances of artist and of title, as they
+    are in lower case and in canonical form; with a quality column, plus a tenth of it. Nulls read as empty.
+    """
+
+    def prepared(df: DataFrame, side: str) -> DataFrame:
+        artist, title = (F.coalesce(F.col(c), F.lit("")) for c in ("artist", "title"))
+        out = df.select(
+            F.col("id").alias(f"{side}_id"), F.lower(artist).alias(f"{side}_artist"), F.lower(title).alias(f"{side}_title"),
+            canonicalise(artist).alias(f"{side}_artist_c"), canonicalise(title).alias(f"{side}_title_c"),
+            (F.col(quality) if quality and side == "c" else F.lit(0.0)).alias(f"{side}_quality"),
+        )
+        return out.withColumn(f"{side}_grams", grams_of(F.col(f"{side}_artist_c"), F.col(f"{side}_title_c")))
+
+    q, c = prepared(queries, "q"), prepared(songs, "c")
+    size = lambda side: F.size(f"{side}_grams").alias(f"{side}_n")
+    hits = q.select("q_id", size("q"), F.explode("q_grams").alias("gram")).join(c.select("c_id", size("c"), F.explode("c_grams").alias("gram")), "gram")
+    shared = hits.groupBy("q_id", "c_id", "q_n", "c_n").agg(F.count("*").alias("shared")).where("shared >= (q_n * 6 + 9) div 10")
+    order = Window.partitionBy("q_id").orderBy(F.col("shared").desc(), F.col("c_id"))
+    kept = shared.withColumn("r", F.row_number().over(order)).where(F.col("r") <= best)
+    pairs = kept.join(q, "q_id").join(c, "c_id")
+    far = [scaled_indel(F.col(f"q_{part}"), F.col(f"c_{part}")) for part in ("artist", "title", "artist_c", "title_c")]
+    missed = 1 - F.col("shared") / F.greatest("q_n", "c_n")
+    return pairs.select("q_id", "c_id", (missed + sum(far, F.lit(0.0)) + 0.1 * F.col("c_quality")).alias("cost"))
+
+
+def label_splits(label: Column) -> Column:
+    """(artist, title) at every " - " of a label."""
+    parts = F.split(label, " - ", -1)
+    join = lambda start, n: F.array_join(F.slice(parts, start, n), " - ")
+    whole = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(join(F.lit(1), i).alias("artist"), join(i + 1, F.size(parts) - i).alias("title")))
+    return F.when(F.size(parts) > 1, whole).otherwise(F.array().cast("array<struct<artist:string,title:string>>"))
+
+
+def file_name(path: Column) -> Column:
+    """What follows the last slash of either kind, with %-escapes resolved where they are sound."""
+    last = F.regexp_extract(path, r"([^/\\]*)\z", 1)
+    sound = F.replace(F.replace(last, F.lit("100%"), F.lit("100%25")), F.lit("%%"), F.lit("%25%"))
+    return F.coalesce(F.try_url_decode(F.replace(sound, F.lit("+"), F.lit("%2B"))), last)
+
+
+#: Seconds by which lengths may differ, the cost up to which a song is accepted, and below which it is a good match.
+LENGTH_TOLERANCE, ACCEPTABLE, GOOD = 15.0, 7.5, 6.0
+
+
+def repair_playlist(entries: DataFrame, songs: DataFrame) -> DataFrame:
+    """Per entry (id, uri, label, length): id, song_id, cost, verdict (good, iffy, bad or none).
+
+    songs are (id, uri, artist, title, label, length). The label's splits are looked up by song_matches; a
+    candidate whose length is too different is out, where an entry's length of 0 tells nothing and counts 7.5. Its
+    cost is the length's difference / 5 plus sqrt(50 min(name, label)) plus sqrt(50 label), of edit distances over
+    summed lengths of file names and canonical labels. A good match also has a split in common. Ties go to
+    the smaller song id.
+    """
+    canon = lambda c: F.transform(label_splits(c), lambda x: F.concat_ws("\n", F.lower(x["artist"]), F.lower(x["title"])))
+    asked = entries.select("id", F.posexplode(label_splits(F.col("label"))).alias("pos", "x")).select(F.struct("id", "pos").alias("id"), "x.artist", "x.title")
+    found = song_matches(asked, songs.select("id", "artist", "title")).select(F.col("q_id.id").alias("id"), F.col("c_id").alias("song_id")).distinct()
+    of = lambda df, p: df.select(F.col("id").alias("id" if p == "q" else "song_id"), file_name(F.col("uri")).alias(f"{p}_name"), canonicalise(F.col("label")).alias(f"{p}_label"), F.col("length").cast("double").alias(f"{p}_length"), canon(F.col("label")).alias(f"{p}_splits"))
+    pairs = found.join(of(entries, "q"), "id").join(of(songs, "c"), "song_id")
+    length = F.when(F.col("q_length") == 0, 7.5).otherwise(F.abs(F.col("q_length") - F.col("c_length")))
+    over = lambda part: F.coalesce(indel_distance(f"q_{part}", f"c_{part}") / F.nullif(F.length(f"q_{part}") + F.length(f"c_{part}"), F.lit(0)), F.lit(0.0))
+    scored = pairs.withColumn("far", length).where(F.col("far") <= LENGTH_TOLERANCE).withColumn("name_cost", over("name")).withColumn("label_cost", over("label"))
+    cost = F.col("far") / 5 + F.sqrt(50 * F.least("name_cost", "label_cost")) + F.sqrt(50 * F.col("label_cost"))
+    best = scored.withColumn("cost", cost).groupBy("id").agg(F.min(F.struct("cost", "song_id", F.arrays_overlap("q_splits", "c_splits").alias("common"))).alias("b"))
+    verdict = F.when(F.col("b").isNull(), "none").when((F.col("b.cost") < GOOD) & F.col("b.common"), "good").when(F.col("b.cost") <= ACCEPTABLE, "iffy").otherwise("bad")
+    return entries.select("id").join(best, "id", "left").select("id", F.col("b.song_id").alias("song_id"), F.round("b.cost", 6).alias("cost"), verdict.alias("verdict"))

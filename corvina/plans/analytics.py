@@ -25,41 +25,44 @@ SELECT a.s AS x, b.s AS y FROM g a JOIN g b ON a.g = b.g JOIN c ON c.s = a.s JOI
 WITH n AS (SELECT DISTINCT lower(p_name) AS s FROM part WHERE length(p_name) > 2), g AS (SELECT s, unnest(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3)))) AS g FROM n),
 c AS (SELECT s, count(*) AS n FROM g GROUP BY s)
 SELECT a.s AS x, b.s AS y FROM g a JOIN g b ON a.g = b.g JOIN c ON c.s = a.s JOIN c d ON d.s = b.s WHERE c.n = d.n GROUP BY a.s, b.s, c.n HAVING count(*) = c.n""")
-_PROFILE = """
-w AS (SELECT lang, lower(w) AS w FROM documents {unnest} WHERE length(w) BETWEEN 2 AND 12), c AS (SELECT lang, w, count(*) AS n FROM w GROUP BY lang, w),
-g AS (SELECT lang, {gram} AS g, n FROM c), p AS (SELECT lang, g, sum(n) AS n FROM g GROUP BY lang, g),
-r AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS r FROM p)"""
-_SPARK_PROFILE = _PROFILE.format(unnest="LATERAL VIEW explode(split(text, '[^a-zA-Z]+')) t AS w", gram="explode(transform(sequence(0, length(w) - 1), i -> substring(concat('_', w, '_'), i + 1, 3)))")
-_DUCK_PROFILE = _PROFILE.replace("SELECT lang, lower(w) AS w FROM documents {unnest}", "SELECT lang, lower(w) AS w FROM (SELECT lang, unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS w FROM documents)").format(
-    gram="unnest(list_transform(range(0, length(w)), lambda i: substring('_' || w || '_', i + 1, 3)))")
-add("txt14_language_profile", f"WITH {_SPARK_PROFILE} SELECT lang, g, CAST(r AS BIGINT) AS r FROM r WHERE r <= 400", f"WITH {_DUCK_PROFILE} SELECT lang, g, r FROM r WHERE r <= 400")
-_DISTANCE = """, p400 AS (SELECT * FROM r WHERE r <= 400)
+# Words are runs of anything but digits and white space; grams are the 1- to 5-grams of _word_.
+SPARK_WORDS = "SELECT {key}, w FROM documents LATERAL VIEW explode(split(text, '[0-9\\\\s]+')) t AS w WHERE w <> ''"
+DUCK_WORDS = "SELECT {key}, w FROM (SELECT {key}, unnest(regexp_split_to_array(text, '[0-9\\s\\x0B]+')) AS w FROM documents) WHERE w <> ''"
+SPARK_GRAMS = "explode(flatten(transform(sequence(1, size(k)), i -> transform(sequence(1, least(5, size(k) - i + 1)), j -> array_join(slice(k, i, j), '')))))"
+DUCK_GRAMS = "unnest(flatten(list_transform(range(1, len(k) + 1), lambda i: list_transform(range(1, least(5, len(k) - i + 1) + 1), lambda j: array_to_string(list_slice(k, i, i + j - 1), '')))))"
+SPARK_LETTERS, DUCK_LETTERS = "split(concat('_', w, '_'), '')", "string_split('_' || w || '_', '')"
+
+
+def profile(key: str, p: str, spark: bool) -> str:
+    """Common table {p}r (key, g, r): each key's 400 most frequent grams, ties in order of the gram."""
+    words, letters, grams = (SPARK_WORDS, SPARK_LETTERS, SPARK_GRAMS) if spark else (DUCK_WORDS, DUCK_LETTERS, DUCK_GRAMS)
+    return f"""{p}w AS ({words.format(key=key)}), {p}c AS (SELECT {key}, w, count(*) AS n FROM {p}w GROUP BY {key}, w), {p}k AS (SELECT {key}, {letters} AS k, n FROM {p}c),
+{p}g AS (SELECT {key}, {grams} AS g, n FROM {p}k), {p}n AS (SELECT {key}, g, sum(n) AS n FROM {p}g GROUP BY {key}, g),
+{p}r AS (SELECT * FROM (SELECT {key}, g, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, g) AS r FROM {p}n) t WHERE r <= 400)"""
+
+
+add("txt14_language_profile", f"WITH {profile('lang', '', True)} SELECT lang, g, CAST(r AS BIGINT) AS r FROM r", f"WITH {profile('lang', '', False)} SELECT lang, g, r FROM r")
+_DISTANCE = """, p400 AS (SELECT * FROM r)
 SELECT a.lang AS x, l.lang AS y, CAST(sum(coalesce(abs(a.r - b.r), 400)) AS BIGINT) AS damage FROM p400 a CROSS JOIN (SELECT DISTINCT lang FROM p400) l
 LEFT JOIN p400 b ON b.lang = l.lang AND b.g = a.g GROUP BY a.lang, l.lang"""
-add("txt15_profile_distance", f"WITH {_SPARK_PROFILE}{_DISTANCE}", f"WITH {_DUCK_PROFILE}{_DISTANCE}")
+add("txt15_profile_distance", f"WITH {profile('lang', '', True)}{_DISTANCE}", f"WITH {profile('lang', '', False)}{_DISTANCE}")
 add("txt18_longest_prefix", """
 WITH t AS (SELECT 'th' AS p, 'a' AS c UNION ALL SELECT 'the', 'b' UNION ALL SELECT 'on', 'c' UNION ALL SELECT 'one', 'd' UNION ALL SELECT 'e', 'e'),
 w AS (SELECT DISTINCT lower(w) AS w FROM documents LATERAL VIEW explode(split(text, '[^a-zA-Z]+')) x AS w WHERE w <> '')
-SELECT w, c FROM (SELECT w, c, row_number() OVER (PARTITION BY w ORDER BY length(p) DESC) AS r FROM w JOIN t ON startswith(w, p)) q WHERE r = 1""", """
+SELECT w, c FROM (SELECT w, c, row_number() OVER (PARTITION BY w ORDER BY length(p) DESC) AS r FROM (SELECT w, explode(transform(sequence(1, length(w)), i -> substring(w, 1, i))) AS q FROM w) x JOIN t ON q = p) y WHERE r = 1""", """
 WITH t AS (SELECT 'th' AS p, 'a' AS c UNION ALL SELECT 'the', 'b' UNION ALL SELECT 'on', 'c' UNION ALL SELECT 'one', 'd' UNION ALL SELECT 'e', 'e'),
 w AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS w FROM documents) WHERE w <> '')
 SELECT w, c FROM (SELECT w, c, row_number() OVER (PARTITION BY w ORDER BY length(p) DESC) AS r FROM w JOIN t ON starts_with(w, p)) q WHERE r = 1""")
 
 # Graph: ratings between customers and nations from orders stand for similarity edges.
-_EDGES = "WITH e AS (SELECT c_nationkey AS a, s_nationkey AS b, avg(l_discount) AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40 GROUP BY c_nationkey, s_nationkey),\n" \
+EDGES = "WITH e AS (SELECT c_nationkey AS a, s_nationkey AS b, avg(l_discount) AS rating FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY c_nationkey, s_nationkey),\n" \
     "s AS (SELECT a, b, round(avg(rating), 6) AS rating FROM (SELECT a, b, rating FROM e UNION ALL SELECT b, a, rating FROM e) t WHERE a <> b GROUP BY a, b)"
-add("gr1_symmetrise", f"{_EDGES} SELECT a, b, rating FROM s")
-add("gr2_distance", f"{_EDGES} SELECT a, b, round(ln(200) - ln(rating), 6) AS d FROM s WHERE rating > 0")
-add("gr3_dense_ids", f"{_EDGES} SELECT id, CAST(dense_rank() OVER (ORDER BY id) - 1 AS INT) AS dense FROM (SELECT a AS id FROM s WHERE rating > 0.05 UNION SELECT b FROM s WHERE rating > 0.05) t")
-add("gr5_triangles", f"{_EDGES} SELECT count(*) AS triangles, 2 * count(*) AS visits FROM s x JOIN s y ON x.b = y.a JOIN s z ON x.a = z.a AND y.b = z.b WHERE x.a < x.b AND y.a < y.b AND x.rating > 0.05 AND y.rating > 0.05 AND z.rating > 0.05")
-add("gr6_unique_edges", f"{_EDGES} SELECT DISTINCT least(a, b) AS lo, greatest(a, b) AS hi FROM s")
-add("wn2_symmetric_rank", f"{_EDGES}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY rating DESC, b) AS r FROM s) SELECT x.a, x.b, (x.r + y.r) / 2.0E0 + 99 AS avg_rank FROM r x JOIN r y ON x.a = y.b AND x.b = y.a")
-_CHAIN = """WITH RECURSIVE v AS (SELECT o_orderkey AS id, o_custkey AS owner, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS last_id FROM orders),
-c(id, n) AS (SELECT id, 1 AS n FROM v WHERE last_id IS NULL UNION ALL SELECT v.id, c.n + 1 FROM v JOIN c ON v.last_id = c.id) """
-add("gr7_chain_count", _CHAIN + "SELECT id, n FROM c")
-add("gr13_alias", """WITH RECURSIVE a AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey - 1 END AS alias_of FROM nation),
-r(id, root) AS (SELECT id, id AS root FROM a WHERE alias_of IS NULL UNION ALL SELECT a.id, r.root FROM a JOIN r ON a.alias_of = r.id) SELECT id, root FROM r""")
-add("gr12_reachable", f"{_EDGES} SELECT b AS node FROM s WHERE a = 3 AND NOT (b IN (1, 2))")
+add("gr1_symmetrise", f"{EDGES} SELECT a, b, rating FROM s")
+add("gr2_distance", f"{EDGES} SELECT a, b, round(ln(200) - ln(rating), 6) AS d FROM s WHERE rating > 0")
+add("gr5_triangles", f"{EDGES} SELECT count(*) AS triangles, 2 * count(*) AS visits FROM s x JOIN s y ON x.b = y.a JOIN s z ON x.a = z.a AND y.b = z.b WHERE x.a < x.b AND y.a < y.b AND x.rating > 0.05 AND y.rating > 0.05 AND z.rating > 0.05")
+add("gr6_unique_edges", f"{EDGES} SELECT DISTINCT least(a, b) AS lo, greatest(a, b) AS hi FROM s")
+add("wn2_symmetric_rank", f"{EDGES}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY rating DESC, b) AS r FROM s) SELECT x.a, x.b, (x.r + y.r) / 2.0E0 + 99 AS avg_rank FROM r x JOIN r y ON x.a = y.b AND x.b = y.a")
+add("gr12_reachable", f"{EDGES} SELECT b AS node FROM s WHERE a = 3 AND NOT (b IN (1, 2))")
 add("gr14_reach", "SELECT o_custkey, round(sum(l_extendedprice), 2) AS reach FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey ORDER BY reach DESC, o_custkey LIMIT 1000")
 
 # Vectors
@@ -75,7 +78,6 @@ both("ml1_class_means", " SELECT label, pos, round(avg(x), 8) AS mean FROM x GRO
 both("ml4_covariance", " SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id WHERE a.pos <= b.pos GROUP BY a.pos, b.pos")
 both("ml6_normalise", ", s AS (SELECT pos AS p, avg(x) AS m, stddev_samp(x) AS sd FROM x GROUP BY pos) SELECT vec_id, pos, round((x - m) / sd, 6) AS z FROM x JOIN s ON p = pos WHERE sd > 0")
 both("ml7_products", " SELECT a.vec_id, a.pos AS i, b.pos AS j, round(a.x * b.x, 8) AS xy FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.pos <= a.pos")
-add("ml8_folds", "SELECT vec_id, CAST(floor((r - 1) * 5.0 / n) AS INT) AS fold FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, count(*) OVER () AS n FROM embeddings) t")
 _PROTO = ", m AS (SELECT label AS l, pos AS p, avg(x) AS m FROM x GROUP BY label, pos), d AS (SELECT vec_id, label, l, sum((x - m) * (x - m)) AS d FROM x JOIN m ON p = pos GROUP BY vec_id, label, l)"
 both("ml9_prototype_features", f"{_PROTO} SELECT vec_id, l, round(ln(d + 1.0E-10), 6) AS log_d, round(1 / (sqrt(d) + 0.01), 6) AS inv_d FROM d")
 both("ml10_good_bad", f"{_PROTO}, g AS (SELECT vec_id, min(CASE WHEN label = l THEN d END) AS dg, min(CASE WHEN label <> l THEN d END) AS db FROM d GROUP BY vec_id) SELECT vec_id, round((dg - db) / (dg + db), 6) AS cost, dg >= db AS error FROM g")

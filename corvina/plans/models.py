@@ -10,19 +10,13 @@ from pyspark.sql import functions as F
 
 from corvina.functions import prose
 from corvina.operators import catalogue, embedding, graph, inference, prototypes, sampling, vectors
+from corvina.plans.analytics import profile
 from corvina.session import table
 
 SQL: dict[str, tuple[str, str]] = {}
 
-_SPARK_WORDS = "SELECT {key}, lower(w) AS w FROM documents LATERAL VIEW explode(split(text, '[^a-zA-Z]+')) t AS w WHERE length(w) BETWEEN {short} AND {long}"
-_DUCK_WORDS = "SELECT {key}, lower(w) AS w FROM (SELECT {key}, unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS w FROM documents) WHERE length(w) BETWEEN {short} AND {long}"
-_SPARK_GRAMS = "explode(transform(sequence(0, length(w) - 1), i -> substring(concat('_', w, '_'), i + 1, 3)))"
-_DUCK_GRAMS = "unnest(list_transform(range(0, length(w)), lambda i: substring('_' || w || '_', i + 1, 3)))"
-
-
-def _profile(key: str, p: str, words: str, grams: str) -> str:
-    return f"""{p}w AS ({words.format(key=key, short=2, long=12)}), {p}c AS (SELECT {key}, w, count(*) AS n FROM {p}w GROUP BY {key}, w), {p}g AS (SELECT {key}, {grams} AS g, n FROM {p}c),
-{p}n AS (SELECT {key}, g, sum(n) AS n FROM {p}g GROUP BY {key}, g), {p}r AS (SELECT * FROM (SELECT {key}, g, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, g) AS r FROM {p}n) t WHERE r <= 400)"""
+_SPARK_WORDS = "SELECT lower(w) AS w FROM documents LATERAL VIEW explode(split(text, '[^a-zA-Z]+')) t AS w WHERE w <> ''"
+_DUCK_WORDS = "SELECT lower(w) AS w FROM (SELECT unnest(regexp_split_to_array(text, '[^a-zA-Z]+')) AS w FROM documents) WHERE w <> ''"
 
 
 # A gram that a language lacks costs 400, so damage is 400 a gram less what the shared ones save.
@@ -32,15 +26,14 @@ d AS (SELECT m.doc_id, m.lang, CAST(m.saved + k.most AS BIGINT) AS damage, k.mos
 b AS (SELECT doc_id, min(damage) AS best, coalesce(min(CASE WHEN lang = 'en' THEN damage END), max(most)) AS english FROM d GROUP BY doc_id)
 SELECT d.doc_id, d.lang, d.damage FROM d JOIN b ON d.doc_id = b.doc_id WHERE best < english AND damage * 105 < english * 100 AND damage * 100 < best * 105"""
 SQL["txt17_least_damage"] = (
-    _LEAST_DAMAGE.format(docs=_profile("doc_id", "d", _SPARK_WORDS, _SPARK_GRAMS), langs=_profile("lang", "l", _SPARK_WORDS, _SPARK_GRAMS)),
-    _LEAST_DAMAGE.format(docs=_profile("doc_id", "d", _DUCK_WORDS, _DUCK_GRAMS), langs=_profile("lang", "l", _DUCK_WORDS, _DUCK_GRAMS)),
+    *[_LEAST_DAMAGE.format(docs=profile("doc_id", "d", spark), langs=profile("lang", "l", spark)) for spark in (True, False)],
 )
 _TRIE = """WITH w AS ({words}), c AS (SELECT w, count(*) AS n FROM w GROUP BY w), x AS (SELECT {prefixes} AS prefix, n FROM c),
 t AS (SELECT prefix, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY prefix)
 SELECT t.prefix, t.n, round(CAST(t.n AS DOUBLE) / p.n, 8) AS probability FROM t JOIN t p ON p.prefix = substring(t.prefix, 1, length(t.prefix) - 1) WHERE t.prefix <> ''"""
 SQL["txt19_word_trie"] = (
-    _TRIE.format(words=_SPARK_WORDS.format(key="lang", short=1, long=40), prefixes="explode(transform(sequence(0, length(w)), k -> substring(w, 1, k)))"),
-    _TRIE.format(words=_DUCK_WORDS.format(key="lang", short=1, long=40), prefixes="unnest(list_transform(range(0, length(w) + 1), lambda k: substring(w, 1, k)))"),
+    _TRIE.format(words=_SPARK_WORDS, prefixes="explode(transform(sequence(0, length(w)), k -> substring(w, 1, k)))"),
+    _TRIE.format(words=_DUCK_WORDS, prefixes="unnest(list_transform(range(0, length(w) + 1), lambda k: substring(w, 1, k)))"),
 )
 SQL["ml14_report_epochs"] = (
     "SELECT id AS epoch FROM range(1, 2001) WHERE id % CAST(power(2, greatest(0, length(bin(id)) - 8)) AS BIGINT) = 0",

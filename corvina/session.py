@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -37,3 +39,18 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
     """Register input tables as temporary views under their own names."""
     for name in names or TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that driver and executors share, which spark.checkpoint.dir names.
+
+    Where that is unset, a local session takes a temporary folder; on a cluster it is an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvina-"))
+    return df.checkpoint()

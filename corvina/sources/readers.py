@@ -44,6 +44,12 @@ def read_vectors(spark: SparkSession, path: str, separator: str = ",", label: st
     return cells.select(sound.alias("_ok"), tagged.cast("int").alias("label"), F.transform(rest, lambda x: x.cast("double")).alias("v")).where("_ok IS NULL").drop("_ok")
 
 
+def read_xpath(spark: SparkSession, path: str, expression: str) -> DataFrame:
+    """(path, pos, value): what an XPath expression selects from each XML file, in order; a document is one value."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return files.select("path", F.posexplode(F.xpath("value", F.lit(expression))).alias("pos", "value"))
+
+
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     """(strand, position, read) from tab-separated lines; a malformed line fails the read."""
     return spark.read.csv(path, sep="\t", schema="strand string, position long, read string", mode="FAILFAST")
@@ -60,7 +66,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     lines = _whole_lines(spark, path)
     section = F.sum(F.startswith("line", F.lit(">")).cast("int")).over(Window.partitionBy("path").orderBy("no"))
     grouped = lines.withColumn("s", section).where("s > 0").groupBy("path", "s").agg(F.sort_array(F.collect_list(F.struct("no", "line"))).alias("x"))
-    return grouped.select("path", F.substring(F.col("x")[0]["line"], 2, 1_000_000).alias("name"), F.upper(F.array_join(F.slice("x.line", F.lit(2), F.size("x")), "")).alias("sequence"))
+    return grouped.select("path", F.expr("substring(x[0].line, 2)").alias("name"), F.upper(F.array_join(F.slice("x.line", F.lit(2), F.size("x")), "")).alias("sequence"))
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:

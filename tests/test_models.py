@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corvina.functions import prose
-from corvina.operators import catalogue, embedding, graph, inference, prototypes, sampling
-from corvina.sources import readers
+from corvina.operators import catalogue, embedding, graph, inference, ordered, prototypes, sampling, text, vectors
+from corvina.sources import generators, readers, writers
 
 
 def test_tail_probabilities(spark):
@@ -108,3 +108,130 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text("S1,,S2\nEnglish,Dutch,English\na,b,c\n,x,\nd,,\n")
     cards = readers.read_column_lists(spark, str(tmp_path / "c.csv"), "English").collect()
     assert sorted((r["set"], r.card) for r in cards) == [("S1", ""), ("S1", "a"), ("S1", "d"), ("S2", "c")]
+
+
+def test_chains_and_ranks(spark):
+    rows = [(i, i - 1 if i % 300 else None) for i in range(900)] + [(5000, 777), (6000, 9999), (7000, 7001), (7001, 7000)]
+    got = {r.id: (r.n, r.root) for r in graph.chains(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert got == {i: (i % 300 + 1, i - i % 300) for i in range(900)} | {5000: (179, 600), 6000: (1, 6000)}
+    ranked = ordered.global_rank(spark.range(1000).select((F.col("id") * 37 % 1000).alias("k")).repartition(7), [F.col("k").desc()], "pos").collect()
+    assert all(r.pos == 999 - r.k for r in ranked) and len(ranked) == 1000
+    assert ordered.global_rank(spark.range(0), [F.col("id")], "pos").count() == 0
+
+
+def test_edge_split_and_triangles(spark):
+    edges = spark.createDataFrame([(a, b, float((a * b) % 11 + 1)) for a in range(30) for b in range(30) if (a * 7 + b * 3) % 4 == 0], "a long, b long, d double")
+    side = {}
+    for a, b, d in ((r.a, r.b, r.d) for r in edges.collect()):
+        if a != b:
+            k = (min(a, b), max(a, b))
+            side[k] = min(side.get(k, d), d)
+    found = [(side[x, y], side[y, z], side[x, z]) for x in range(30) for y in range(x + 1, 30) for z in range(y + 1, 30) if (x, y) in side and (y, z) in side and (x, z) in side]
+    assert tuple(graph.triangles(edges).first()) == (len(found), sum(2 * max(t) > sum(t) for t in found))
+    parts = graph.split_edges(spark.range(200).select(F.col("id").alias("a"), (F.col("id") * 3 + 1).alias("b"))).groupBy("part").count().collect()
+    sizes = {r.part: r["count"] for r in parts}
+    assert sum(sizes.values()) == 200 and sizes["train"] > 130 and min(sizes.values()) > 5
+
+
+def brute_cost(q, s):
+    def far(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last if x == y else 1 + min(row[j], row[j - 1])
+        return row[-1]
+
+    def grams(t):
+        t = t if len(t) >= 3 else t.rjust(3, "\ufffd")
+        return {t[i : i + 3] for i in range(len(t) - 2)}
+
+    (qa, qt), (sa, st) = q, s
+    g = [grams(text.canonical(a)) | grams(text.canonical(t)) for a, t in (q, s)]
+    shared = len(g[0] & g[1])
+    if shared < (len(g[0]) * 6 + 9) // 10:
+        return None
+    scaled = lambda a, b: far(a, b) / max(1, len(a), len(b))
+    pairs = [(qa.lower(), sa.lower()), (qt.lower(), st.lower()), (text.canonical(qa), text.canonical(sa)), (text.canonical(qt), text.canonical(st))]
+    return 1 - shared / max(map(len, g)) + sum(scaled(a, b) for a, b in pairs)
+
+
+def test_song_matches_and_repair(spark):
+    names = [("Ann Lee", "Two Times"), ("Anne Lee", "2 Times"), ("Björk", "Hyper-Ballad"), ("Bjork", "Hyperballad"), ("A - B", "C"), ("", "xy"), ("The Who", "Who Are You")]
+    songs = [(i, f"http://s/{a}/{t.replace(' ', '%20')}.mp3", a, t, f"{a} - {t}", 200 + i) for i, (a, t) in enumerate(names)]
+    table = spark.createDataFrame(songs, "id long, uri string, artist string, title string, label string, length int")
+    asked = [(10 + i, a, t + "s") for i, (a, t) in enumerate(names)] + [(99, None, None)]
+    got = {(r.q_id, r.c_id): r.cost for r in text.song_matches(spark.createDataFrame(asked, "id long, artist string, title string"), table).collect()}
+    want = {(q, i): brute_cost((a or "", t or ""), n) for q, a, t in asked for i, n in enumerate(names)}
+    want = {k: v for k, v in want.items() if v is not None}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+    entries = [(1, "C:\\m\\Two%20Times.mp3", "Ann Lee - Two Times", 201), (2, "x", "Bjork - Hyperballad", 0), (3, "x", "The Who - Who Are You", 300), (4, "x", "no dash", 5), (5, "100%.mp3", "A - B - C", 204)]
+    fixed = {r.id: r for r in text.repair_playlist(spark.createDataFrame(entries, "id long, uri string, label string, length int"), table).collect()}
+    assert {i: (r.song_id, r.verdict) for i, r in fixed.items()} == {1: (0, "good"), 2: (3, "good"), 3: (None, "none"), 4: (None, "none"), 5: (4, "good")}
+    assert abs(fixed[1].cost - 0.2) < 1e-6 and abs(fixed[2].cost - 1.5) < 1e-6
+    splits = table.select(text.label_splits(F.lit("a - b - c")).alias("x")).first().x
+    assert [tuple(s) for s in splits] == [("a", "b - c"), ("a - b", "c")]
+    assert [text.indel(a, b) for a, b in (("", ""), ("abc", ""), ("kitten", "sitting"), ("abc", "xbz"))] == [0, 3, 5, 4]
+
+
+def test_separable_share(spark):
+    got = {r.p: r for r in prototypes.separable_share(spark, [(5, 20), (80, 10)], trials=12, epochs=100, seed=1).collect()}
+    assert got[5].share == 1.0 and got[80].share == 0.0 and got[5].trials == 12
+    again = {r.p: r for r in prototypes.separable_share(spark, [(5, 20)], trials=12, epochs=100, seed=1).collect()}
+    assert again[5].epochs == got[5].epochs
+
+
+def test_generators(spark):
+    rows = generators.gaussian_clouds(spark, 3, 400, 4, 6.0, 9)
+    points = {}
+    for r in rows.collect():
+        points.setdefault(r.label, []).append(r.v)
+    assert all(len(v) == 400 and np.allclose(np.std(v, axis=0), 1, atol=0.15) for v in points.values())
+    assert sorted(map(tuple, rows.repartition(5).select("id", F.xxhash64("v")).collect())) == sorted(map(tuple, rows.select("id", F.xxhash64("v")).collect()))
+    arms = generators.stars(spark, 2, 3, 50, 3, 5).groupBy("label", "arm").count().collect()
+    assert len(arms) == 6 and {r["count"] for r in arms} == {50}
+    cube = generators.uniform_points(spark, 500, 2, 4, 1).collect()
+    assert all(0 <= x < 1 for r in cube for x in r.v) and {r.label for r in cube} == {0, 1, 2, 3}
+
+
+def test_sinks_and_xpath(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "+", "A"), (1, "-", "C"), (2, "+", "A"), (1, "+", "A")], "pos long, strand string, base string")
+    writers.write_count_blocks(rows, str(tmp_path / "c"), "pos", "strand", "base", ["A", "C"])
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "c"), header=True).orderBy("pos").collect()] == [("1", "2", "0", "0", "1"), ("2", "1", "0", "0", "0")]
+    writers.write_json(rows, str(tmp_path / "j"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "j")).select("pos", "strand", "base").collect())) == sorted(map(tuple, rows.collect()))
+    (tmp_path / "d.xml").write_text("<r><div spell='a'>x</div><p>no</p><div>none</div><div spell='b'>y</div></r>")
+    assert [(r.pos, r.value) for r in readers.read_xpath(spark, str(tmp_path / "d.xml"), "//div[@spell]/text()").collect()] == [(0, "x"), (1, "y")]
+    (tmp_path / "long.fa").write_text(">" + "n" * 1_200_000 + "\nacgt\n")
+    assert [len(r.name) for r in readers.read_fasta(spark, str(tmp_path / "long.fa")).collect()] == [1_200_000]
+
+
+def test_histogram_and_suppression(spark):
+    rng = np.random.default_rng(4)
+    values = [("a", float(x)) for x in rng.normal(size=400)] + [("b", 1.0)] * 30 + [("c", None), (None, 2.0)]
+    got = {}
+    for r in ordered.adaptive_histogram(spark.createDataFrame(values, "g string, x double"), "g", "x", 20, 50).collect():
+        got.setdefault(r.g, []).append((r["mean"], r.density))
+    x, out, start = sorted(v for g, v in values if g == "a"), [], 0
+    for i in range(1, len(x)):
+        if i - start >= 20 and x[i] - x[start] >= (x[-1] - x[0]) / 50 and x[i] > x[start]:
+            out.append((sum(x[start:i]) / (i - start), (i - start) / (x[i] - x[start]) / len(x)))
+            start = i
+    assert set(got) == {"a"} and np.allclose(sorted(got["a"]), out)
+    rows = [(i, f"l{i % 3}", float(rng.integers(0, 100))) for i in range(300)] + [(300, None, 5.0)]
+    kept = {(r.label, r.id) for r in ordered.greedy_suppress(spark.createDataFrame(rows, "id long, label string, len double"), "label", "len", ["id"], 5).collect()}
+    taken = []
+    for i, label, length in rows:
+        if not any(g == label and abs(n - length) <= 5 for _, g, n in taken):
+            taken.append((i, label, length))
+    assert kept == {(g, i) for i, g, _ in taken}
+
+
+def test_principal_components(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 5)) @ np.diag([5, 3, 1, 0.5, 0.1]) @ np.linalg.qr(rng.normal(size=(5, 5)))[0] + 7
+    rows = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    got = np.array([r.projected for r in vectors.pca(rows, "v", 2).orderBy("id").collect()])
+    centred = x - x.mean(axis=0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    assert np.allclose(np.abs(got), np.abs(centred @ axes.T), atol=1e-6)
