@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 from collections.abc import Iterator
 
@@ -14,9 +13,9 @@ from pyspark.sql import functions as F
 #: Vocabulary used when none is named.
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces whose ids a worker remembers before it starts anew.
-CACHE = 200_000
+CACHE = 50_000
 #: Characters encoded before rows are handed on.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -51,7 +50,7 @@ class Codec:
         # White space is Unicode's White_Space, without the ASCII separators that Python adds.
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         back = {c: b for b, c in enumerate(byte_characters())}
-        special = {t["id"] for t in json.loads(self.tokenizer.to_str())["added_tokens"] if t["special"]}
+        special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.bytes: dict[int, bytes] = {}
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes[i] = token.encode() if i in special else bytes(back[c] for c in token)
