@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 from collections.abc import Iterator
@@ -10,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vocabulary used when none is named.
-VOCABULARY = "byte_bpe_50k.json"
+#: Vocabulary used when none is named: ranks, one token a line.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces whose ids a worker remembers before it starts anew.
 CACHE = 50_000
 #: Characters encoded before rows are handed on.
@@ -37,23 +38,61 @@ def byte_characters() -> list[str]:
     return table
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Token -> rank from lines of a token in base64 and its rank."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
+def last_pair(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The two parts whose merge makes the token, once all merges of lower rank are done."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        rank, i = min((ranks.get(x + y, len(ranks)), i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank >= ranks[token]:
+            raise ValueError(f"no merges make the token {token!r}")
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
+def ranked_tokenizer(ranks: dict[bytes, int]):
+    """The tokenizer that merges by ranks; a piece that is a token as a whole is that token."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    table = byte_characters()
+    spell = {token: "".join([table[b] for b in token]) for token in ranks}
+    made = sorted((rank, token) for token, rank in ranks.items() if len(token) > 1)
+    merges = [tuple(spell[part] for part in last_pair(token, ranks)) for _, token in made]
+    tokenizer = Tokenizer(models.BPE({spell[t]: r for t, r in ranks.items()}, merges, ignore_merges=True))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    return tokenizer
+
+
 class Codec:
-    """One vocabulary in one worker: ids of texts with offsets, and bytes of ids."""
+    """One vocabulary in one worker: ids of texts with offsets, and bytes of ids.
+
+    A path that ends in .json is a tokenizer's own file, any other holds ranks.
+    """
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.bytes: dict[int, bytes] = {}
+        if path.endswith(".json"):
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
+            back = {c: b for b, c in enumerate(byte_characters())}
+            special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+                self.bytes[i] = token.encode() if i in special else bytes(back[c] for c in token)
+        else:
+            ranks = read_ranks(path)
+            self.tokenizer = ranked_tokenizer(ranks)
+            self.bytes = {rank: token for token, rank in ranks.items()}
         # White space is Unicode's White_Space, without the ASCII separators that Python adds.
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        back = {c: b for b, c in enumerate(byte_characters())}
-        special = {i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
-        self.bytes: dict[int, bytes] = {}
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.bytes[i] = token.encode() if i in special else bytes(back[c] for c in token)
         self.known: dict[str, list[int]] = {}
 
     def _learn(self, pieces: set[str]) -> None:
@@ -132,26 +171,33 @@ def _pattern(pattern: str | None) -> str:
     return pattern
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, offsets: bool = False) -> DataFrame:
-    """Per document its token ids; with offsets, also each token's first and last + 1 character.
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, offsets: bool = False, decoded: bool = False
+) -> DataFrame:
+    """Per document its token ids; with offsets, also each token's first and last + 1 character; with decoded, also
+    the SHA-256 of the bytes that the ids decode to.
 
     A null text reads as empty and has no ids. The whole text is encoded, each match of the
     pattern separately; strings of special tokens are ordinary text. Repeated rows come back as given.
     """
     path, pattern = path or default_vocabulary(), _pattern(pattern)
+    ints = pa.list_(pa.int32())
+    names, types, schema = ["ids"], [ints], "doc_id long, ids array<int>"
+    if offsets:
+        names, types, schema = [*names, "starts", "ends"], [*types, ints, ints], schema + ", starts array<int>, ends array<int>"
+    if decoded:
+        names, types, schema = [*names, "decoded_sha256"], [*types, pa.string()], schema + ", decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
 
         def make(text: str):
             ids = c.encode(text)
-            return (ids, *c.offsets(text, ids)) if offsets else (ids,)
+            return (ids, *(c.offsets(text, ids) if offsets else ()), *((hashlib.sha256(c.decode(ids)).hexdigest(),) if decoded else ()))
 
-        ints = pa.list_(pa.int32())
-        yield from _rows(batches, make, ["ids", "starts", "ends"] if offsets else ["ids"], [ints] * (3 if offsets else 1))
+        yield from _rows(batches, make, names, types)
 
-    extra = ", starts array<int>, ends array<int>" if offsets else ""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, ids array<int>{extra}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:

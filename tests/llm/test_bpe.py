@@ -24,8 +24,9 @@ def texts():
     return odd + mixed
 
 
-def test_ids_equal_tiktoken(plain):
-    codec = bpe.codec(bpe.default_vocabulary(), public_tokenizers.PATTERN)
+@pytest.mark.parametrize("file", [bpe.VOCABULARY, "byte_bpe_50k.json"])
+def test_ids_equal_tiktoken(plain, file):
+    codec = bpe.codec(public_tokenizers.path(file), public_tokenizers.PATTERN)
     for t in texts():
         ids = codec.encode(t)
         assert ids == plain.encode_ordinary(t), repr(t[:80])
@@ -61,4 +62,6 @@ def test_encode_then_decode(spark):
     assert back == {1: "é😀 hello".encode(), 2: b""}
     spans = bpe.encode(docs, offsets=True).where("doc_id = 1").first()
     assert spans.starts[0] == 0 and spans.ends[-1] == 8
+    digest = {r.doc_id: r.decoded_sha256 for r in bpe.encode(docs, decoded=True).collect()}
+    assert digest == {i: hashlib.sha256(text).hexdigest() for i, text in back.items()}
     assert bpe.encode(docs.limit(0)).count() == 0
