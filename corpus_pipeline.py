@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality rules, near-duplicate removal, personal data, source mixing, BPE encoding.
+"""A corpus pipeline: quality rules, near-duplicate removal, personal data, source mixing, BPE encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared
 folder and hands what it rereads to the next one. All but the last keep the columns of `documents`.
@@ -45,8 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
-    return bpe.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+    """Token ids of each document, their number, and the digest of the bytes that they decode to."""
+    return bpe.encode(docs, decoded=True).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [("quality_rules", quality), ("minhash_near_dedup", dedup), ("pii", private), ("source_mixing", mix), ("byte_bpe", encode)]
