@@ -97,7 +97,7 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -163,7 +163,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_chunks(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, their words), in pieces of about a megabyte; a document stays whole."""
+    """(first row, row after the last, their words), in pieces of about CHUNK bytes; a document stays whole."""
     if not len(column):
         return
     data, off = text_buffers(column)

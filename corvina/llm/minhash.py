@@ -257,7 +257,7 @@ def near_duplicates(
     Null or blank texts have an empty set and are linked with nothing. A null id cannot be named: its
     row gets a null component and is kept. Rows repeated as a whole come back as often as given; rows
     of one doc_id with different texts are one document that holds all their sets, so each text's links
-    are the document's. Very long texts are read whole, a megabyte of documents at a time.
+    are the document's. Very long texts are read whole, about CHUNK bytes of documents at a time.
 
     Copies with equal sets are collapsed before banding. In each bucket the smallest id is verified against
     the rest; where that leaves a bucket's members in different components, they go through an exact prefix
