@@ -51,7 +51,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("minhash_near_dedup", dedup), ("pii", private), ("source_mixing", mix), ("byte_bpe", encode)]
 
-#: The near-duplicate, sampling and encoding stages have no SQL form; tests hold each against a plain version.
+#: The near-duplicate, sampling and encoding stages have no SQL form; tests hold their operators against plain versions,
+#: and the stages against the operators.
 ORACLE_SQL = None
 
 
