@@ -15,13 +15,14 @@ MARKUP_REPLACED = (
     r"|\[\[(:[^\[\]]*)\]\]|\[\[([^\[\]:|]*)\]\]|\[\[[^\[\]:|]*\|([^\[\]]*)\]\]|\[[^ \[\]]+(?: ([^\[\]]*))?\]"
     r"|</?[a-zA-Z]+(?: [^>]*?)?/?>"
 )
-ABBREVIATIONS = r"(?:[Ss]t|Mrs?|dr|ed|c|v(?:s|ol)?|[nN]o(?=\s{1,8}[0-9])|et al)\."
-# Text in which a full stop ends nothing is taken in possessive runs, as the regex engine recurses once per step otherwise.
-PLAIN = r"(?:[^.\n?! (A-Z]|[A-Z](?!\. )| (?!" + ABBREVIATIONS + r")|\((?!\w+\.)|\.\w)++"
-SENTENCE = (
-    r"(?sm)(?:(?<=[.?!]\s{1,8})|^)"
-    r"([(\"]?(?=[A-Z])(?:" + PLAIN + r"| " + ABBREVIATIONS + r"|\(\w+\.|[A-Z]\. |\. (?:\w\.(?: \w\.){0,20}|[a-z])|[^.\n?!]){1,200}[.?!\n][)\"]?)(?=\s|$)"
-)
+ABBREVIATIONS = r"[Ss]t|Mrs?|dr|ed|c|v(?:s|ol)?|et al"
+# Two characters that Unicode keeps out of texts stand for a full stop that ends nothing, and for the end of white
+# space longer than a look-behind may be. So sentences are runs of one character class, of any length.
+STOP, GAP = "\ufdd0", "\ufdd1"
+BRACKET_STOP = r"(\(\w+)\."
+OTHER_STOP = rf"(?m)(?<= (?:{ABBREVIATIONS}))\.|(?<=[A-Z])(?<!(?:^|[?!]\s{{1,8}})[(\"]?[A-Z])\.(?= )|\.(?= (?:\w\.|[a-z]))|(?<=[.{STOP}] \w)\.|\.(?=\w)"
+LONG_SPACE = rf"(?<=[.?!{STOP}])\s{{9,}}"
+SENTENCE = rf"(?m)(?:(?<=[.?!{STOP}]\s{{1,8}}|{GAP})|^)" + r"([(\"]?(?=[A-Z][^.\n?!])(?:[^.\n?!]++[.?!\n]|[^.\n?!]*" + STOP + r")[)\"]?)(?=\s|$)"
 WORD_CHARACTER = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]"
 CAPITAL_WORD = r"(^| )[^ a-zA-Z_0-9]*[A-Z]\S*"
 
@@ -32,11 +33,15 @@ def strip_markup(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """The English sentences of a text, in order.
+    """The English sentences of a text, in order, of any length.
 
-    White space of over 8 characters before a sentence, or over 200 abbreviations in it, hides it.
+    A sentence begins with a capital at the start of a line or after an end mark and white space. It runs to the first
+    mark that is no abbreviation, initial or stop before lower case; where that mark ends nothing, to the last stop
+    before it. U+FDD0 and U+FDD1, which Unicode reserves for use within programs, are taken out.
     """
-    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(1))
+    stops = F.regexp_replace(F.regexp_replace(F.translate(text, STOP + GAP, ""), F.lit(BRACKET_STOP), F.lit("$1" + STOP)), F.lit(OTHER_STOP), F.lit(STOP))
+    found = F.regexp_extract_all(F.regexp_replace(stops, F.lit(LONG_SPACE), F.lit("$0" + GAP)), F.lit(SENTENCE), F.lit(1))
+    return F.transform(found, lambda s: F.translate(s, STOP + GAP, "."))
 
 
 def grade(sentence: Column, known_words: Column | None = None) -> Column:

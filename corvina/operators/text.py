@@ -10,30 +10,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# What stands for a character after lower-casing and decomposition; other non-ASCII ones go.
+SUBSTITUTES = {
+    "\t": " ", "\n": "\n", "0": "o", '"': "'", "`": "'", "\u00b4": "'", "\u00e6": "ae", "\u00f8": "o", "\u00f0": "d", "\u00d7": "x",
+    "\u00de": " ", "\u00fe": " ", "\u00be": " ", "\u00a0": " ", "\u00b7": " ", "_": " ", "^": " ", "\u00af": " ", "\u00df": "ss",
+    "\u00bf": "?", "\u00bd": "1/2", "\u00bc": "1/4", "\u00b9": "1", "\u00b8": ",", "\u00b3": "3", "\u00b2": "2", "\u00ae": "r",
+    "\u00b5": "u", "\u00a2": "c", "\u00aa": "a", "\u00a3": "l", "\u00ba": "o", "$": "s", "\\": "/", "<": "(", ">": ")",
+    "\u00f7": "/", "\u00ad": "-", "\u00a1": "!", "\u00a9": "c",
+}
+SUBSTITUTES_BY_CATEGORY = {"Ps": "(", "Pe": ")", "Pi": "'", "Pf": "'", "Mn": "", "Cc": ""}
+
+
 def canonical(text: str | None) -> str | None:
-    """Lower case, without combining marks and controls; digit zero as o; brackets and quotes made plain."""
+    """Lower case, without accents, controls and what has no ASCII form; brackets, quotes and letter-like signs made plain."""
     if text is None:
         return None
-    out = []
-    for c in unicodedata.normalize("NFD", text.lower()):
-        kind = unicodedata.category(c)
-        if kind in ("Mn", "Mc", "Me", "Cc", "Cf"):
-            continue
-        if kind == "Ps":
-            c = "("
-        elif kind == "Pe":
-            c = ")"
-        elif kind in ("Pi", "Pf") or c in "\"`":
-            c = "'"
-        elif kind == "Pd":
-            c = "-"
-        elif kind == "Zs":
-            c = " "
-        elif c == "0":
-            c = "o"
-        if ord(c) < 128:
-            out.append(c)
-    return "".join(out)
+
+    def plain(c: str) -> str:
+        if c in SUBSTITUTES:
+            return SUBSTITUTES[c]
+        return SUBSTITUTES_BY_CATEGORY.get(unicodedata.category(c), c if c < "\x80" else "")
+
+    return "".join(map(plain, unicodedata.normalize("NFD", text.lower())))
 
 
 @F.pandas_udf(T.StringType())

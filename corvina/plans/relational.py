@@ -73,10 +73,6 @@ SELECT round(sum(CASE WHEN o.k IS NULL THEN 1 ELSE 0 END) / CAST(count(*) AS DOU
 LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON o.k = c.c_custkey""")
 add("jn5_semi", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 add("jn6_positional", """
-WITH a AS (SELECT c_nationkey AS k, c_custkey AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WHERE c_custkey % 15 = 0),
-b AS (SELECT s_nationkey AS k, s_suppkey AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)
-SELECT a.k, a.v AS left_id, b.v AS right_id FROM a JOIN b ON a.k = b.k AND a.r = b.r AND a.n = b.n""")
-add("jn6_positional_whole", """
 WITH a AS (SELECT o_orderkey AS k, o_custkey AS v, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_custkey) AS r, count(*) OVER (PARTITION BY o_orderkey) AS n FROM orders),
 b AS (SELECT l_orderkey AS k, l_linenumber AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
 SELECT a.k, a.v AS left_id, b.v AS right_id FROM a JOIN b ON a.k = b.k AND a.r = b.r AND a.n = b.n""")

@@ -40,6 +40,9 @@ def test_prose(spark):
     assert one(prose.sentences, "A " * 20_000 + "b.") == ["A " * 20_000 + "b."]
     for junk in ("A. ", "a.b", "(x. ", " Dr.", ". x. "):
         assert isinstance(one(prose.sentences, junk * 20_000), list)
+    long = "He said it " + "of St. Mary " * 5_000 + "today."
+    assert one(prose.sentences, f"{long} Then." + " " * 500 + "He left. A. Smith, ed. of no one, met J. R. Jones.") == [long, "Then.", "He left. A. Smith, ed. of no one, met J. R. Jones."]
+    assert one(prose.sentences, "Go on?x No stop here") == [] and one(prose.sentences, "\ufdd0He\ufdd1 left.") == ["He left."]
     assert one(prose.sentences, None) is None and one(prose.sentences, "") == []
     assert round(one(prose.grade, "The cat sat."), 6) == round(8 / 12 + 0.3 * 2 - 0, 6) and one(prose.grade, "") is None
     assert one(prose.escape_path, "C:\\a b\\100%!\u0007é") == "C!3a/a b/100!25!21!07é"
@@ -208,21 +211,24 @@ def test_sinks_and_xpath(spark, tmp_path):
 
 def test_histogram_and_suppression(spark):
     rng = np.random.default_rng(4)
-    values = [("a", float(x)) for x in rng.normal(size=400)] + [("b", 1.0)] * 30 + [("c", None), (None, 2.0)]
+    values = [("a", float(x)) for x in rng.normal(size=400)] + [("b", 1.0)] * 30 + [("c", None), ("c", float("nan"))] + [(None, float(x)) for x in rng.integers(0, 9, 300)]
     got = {}
     for r in ordered.adaptive_histogram(spark.createDataFrame(values, "g string, x double"), "g", "x", 20, 50).collect():
         got.setdefault(r.g, []).append((r["mean"], r.density))
-    x, out, start = sorted(v for g, v in values if g == "a"), [], 0
-    for i in range(1, len(x)):
-        if i - start >= 20 and x[i] - x[start] >= (x[-1] - x[0]) / 50 and x[i] > x[start]:
-            out.append((sum(x[start:i]) / (i - start), (i - start) / (x[i] - x[start]) / len(x)))
-            start = i
-    assert set(got) == {"a"} and np.allclose(sorted(got["a"]), out)
-    rows = [(i, f"l{i % 3}", float(rng.integers(0, 100))) for i in range(300)] + [(300, None, 5.0)]
+    for group in ("a", None):
+        x, out, start = sorted(v for g, v in values if g == group), [], 0
+        for i in range(1, len(x)):
+            if i - start >= 20 and x[i] - x[start] >= (x[-1] - x[0]) / 50 and x[i] > x[start]:
+                out.append((sum(x[start:i]) / (i - start), (i - start) / (x[i] - x[start]) / len(x)))
+                start = i
+        assert len(out) > 2 and np.allclose(sorted(got[group]), out)
+    assert set(got) == {"a", None}
+    assert ordered.adaptive_histogram(spark.createDataFrame([], "g string, x double"), "g", "x", 20, 50).count() == 0
+    rows = [(i, f"l{i % 3}", float(rng.integers(0, 100))) for i in range(300)] + [(300, None, 5.0), (301, "l0", None), (302, "l0", None), (303, "l0", float("nan"))]
     kept = {(r.label, r.id) for r in ordered.greedy_suppress(spark.createDataFrame(rows, "id long, label string, len double"), "label", "len", ["id"], 5).collect()}
     taken = []
     for i, label, length in rows:
-        if not any(g == label and abs(n - length) <= 5 for _, g, n in taken):
+        if length is None or not any(g == label and n is not None and abs(n - length) <= 5 for _, g, n in taken):
             taken.append((i, label, length))
     assert kept == {(g, i) for i, g, _ in taken}
 

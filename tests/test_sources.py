@@ -42,6 +42,7 @@ def test_strings(spark):
 def test_edit_distance_and_canonical_text():
     assert text.indel("kitten", "sitting") == 5 and text.indel("", "ab") == 2 and text.indel("ab", "ba") == 2
     assert text.canonical("Ébène [1990]“x”") == "ebene (199o)'x'"
+    assert text.canonical("Æon Straße\t½ £5 «a» {x} a–b\nc_^<y>\u0000") == "aeon strasse 1/2 l5 'a' (x) ab\nc  (y)"
 
 
 def test_query_and_sort_spec():
