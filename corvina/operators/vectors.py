@@ -38,13 +38,23 @@ def nearest(train: DataFrame, test: DataFrame, k: int = 1, block: int = 20_000)
         if tr.empty or te.empty:
             return pd.DataFrame({"test_id": [], "train_id": [], "label": [], "distance": []})
         m, q = np.stack(tr.v.to_numpy()).astype(float), np.stack(te.v.to_numpy()).astype(float)
-        ids, labels = tr.id.to_numpy(), tr.label.to_numpy()
-        out = []
-        for i in range(len(q)):
-            d = ((m - q[i]) ** 2).sum(axis=1)
-            pick = np.lexsort((ids, d))[:k]
-            out.append(pd.DataFrame({"test_id": te.id.iloc[i], "train_id": ids[pick], "label": labels[pick].astype("int32"), "distance": d[pick]}))
-        return pd.concat(out)
+        ids, labels, asked = tr.id.to_numpy(), tr.label.to_numpy("int32"), te.id.to_numpy()
+        lengths = (m * m).sum(axis=1)
+        test_ids, picks, far = [], [], []
+        for i in range(0, len(q), 256):
+            # A matrix product leaves few rows near the k-th; these are measured exactly.
+            rough = lengths - 2 * q[i : i + 256] @ m.T
+            kth = np.partition(rough, min(k, len(m)) - 1, axis=1)[:, min(k, len(m)) - 1]
+            slack = 1e-9 * (1 + lengths.max() + (q[i : i + 256] ** 2).sum(axis=1))
+            for r in range(len(rough)):
+                near = np.flatnonzero(rough[r] <= kth[r] + slack[r])
+                d = ((m[near] - q[i + r]) ** 2).sum(axis=1)
+                order = np.lexsort((ids[near], d))[:k]
+                test_ids.append(np.full(len(order), asked[i + r]))
+                picks.append(near[order])
+                far.append(d[order])
+        pick = np.concatenate(picks)
+        return pd.DataFrame({"test_id": np.concatenate(test_ids), "train_id": ids[pick], "label": labels[pick], "distance": np.concatenate(far)})
 
     hits = left.union(right.select("id", "v", "label", "x", "y", "is_train")).groupBy("x", "y").applyInPandas(run, "test_id long, train_id long, label int, distance double")
     order = Window.partitionBy("test_id").orderBy("distance", "train_id")

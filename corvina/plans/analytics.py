@@ -75,9 +75,13 @@ def both(name: str, body: str) -> None:
 
 
 both("ml1_class_means", " SELECT label, pos, round(avg(x), 8) AS mean FROM x GROUP BY label, pos")
-both("ml4_covariance", " SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id WHERE a.pos <= b.pos GROUP BY a.pos, b.pos")
+# Pairs of components are made within a row, so only sums per pair are shuffled, or nothing.
+_PAIRED = "FROM embeddings LATERAL VIEW posexplode(CAST(embedding AS ARRAY<DOUBLE>)) t AS i, x LATERAL VIEW posexplode(CAST(embedding AS ARRAY<DOUBLE>)) u AS j, y"
+_COVARIANCE = f"WITH {_DX} SELECT a.pos AS i, b.pos AS j, round(covar_samp(a.x, b.x), 8) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id WHERE a.pos <= b.pos GROUP BY a.pos, b.pos"
+add("ml4_covariance", f"SELECT i, j, round(covar_samp(x, y), 8) AS cov {_PAIRED} WHERE i <= j GROUP BY i, j", _COVARIANCE)
 both("ml6_normalise", ", s AS (SELECT pos AS p, avg(x) AS m, stddev_samp(x) AS sd FROM x GROUP BY pos) SELECT vec_id, pos, round((x - m) / sd, 6) AS z FROM x JOIN s ON p = pos WHERE sd > 0")
-both("ml7_products", " SELECT a.vec_id, a.pos AS i, b.pos AS j, round(a.x * b.x, 8) AS xy FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.pos <= a.pos")
+_PRODUCTS = f"WITH {_DX} SELECT a.vec_id, a.pos AS i, b.pos AS j, round(a.x * b.x, 8) AS xy FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.pos <= a.pos"
+add("ml7_products", f"SELECT vec_id, i, j, round(x * y, 8) AS xy {_PAIRED} WHERE j <= i", _PRODUCTS)
 _PROTO = ", m AS (SELECT label AS l, pos AS p, avg(x) AS m FROM x GROUP BY label, pos), d AS (SELECT vec_id, label, l, sum((x - m) * (x - m)) AS d FROM x JOIN m ON p = pos GROUP BY vec_id, label, l)"
 both("ml9_prototype_features", f"{_PROTO} SELECT vec_id, l, round(ln(d + 1.0E-10), 6) AS log_d, round(1 / (sqrt(d) + 0.01), 6) AS inv_d FROM d")
 both("ml10_good_bad", f"{_PROTO}, g AS (SELECT vec_id, min(CASE WHEN label = l THEN d END) AS dg, min(CASE WHEN label <> l THEN d END) AS db FROM d GROUP BY vec_id) SELECT vec_id, round((dg - db) / (dg + db), 6) AS cost, dg >= db AS error FROM g")
