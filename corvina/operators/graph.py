@@ -1,7 +1,10 @@
-"""Similarity graphs: symmetric edges, shortest paths, landmarks."""
+"""Similarity graphs: symmetric edges, shortest paths, landmarks, growing of playlists."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,3 +118,57 @@ def triangles(edges: DataFrame) -> DataFrame:
     longest = F.greatest("d", "d2", "d3")
     found = pairs.join(third, ["y", "z"])
     return found.agg(F.count("*").alias("triangles"), F.coalesce(F.sum((2 * longest > F.col("d") + F.col("d2") + F.col("d3")).cast("long")), F.lit(0)).alias("violations"))
+
+
+_GROWN = "playlist long, track long, cost double, hops int, waiting boolean, bases array<long>, place int, known boolean, rank int"
+
+
+def _take_cheapest(rows: pd.DataFrame) -> pd.DataFrame:
+    """A playlist's tracks after its cheapest waiting one is taken; rows with a rank are that one's similar tracks."""
+    tracks = {r.track: dict(r._asdict(), bases=set(r.bases)) for r in rows[rows["rank"].isna()].itertuples(index=False)}
+    now = min((t for t in tracks.values() if t["waiting"]), key=lambda t: (t["cost"], t["track"]), default=None)
+    if now is not None:
+        now["waiting"] = False
+        if now["hops"] > 0:
+            now["place"] = 1 + sum(t["place"] > 0 for t in tracks.values())
+        based_on = lambda t: t["bases"] | ({t["track"]} if t["hops"] == 0 else set())
+        dependants = Counter(b for t in tracks.values() for b in t["bases"])
+        for r in rows[rows["rank"].notna()].sort_values("rank").itertuples(index=False):
+            other = tracks.setdefault(r.track, {**r._asdict(), "hops": now["hops"] + 1, "waiting": True, "bases": set(), "place": 0})
+            fresh = based_on(now) - other["bases"]
+            other["bases"] |= fresh
+            dependants.update(fresh)
+            if other["waiting"]:
+                bases = based_on(other)
+                other["cost"] = (r.rank + sum(dependants[b] + 50 for b in bases)) / len(bases) ** 1.5
+                other["hops"] = min(other["hops"], now["hops"] + 1)
+    out = pd.DataFrame([dict(t, bases=sorted(t["bases"]), rank=None) for t in tracks.values()], columns=list(rows.columns))
+    return out.astype({"rank": "Int32"})
+
+
+def grow_playlists(seeds: DataFrame, similar: DataFrame, known: DataFrame, max_results: int = 100, known_target: int = 50) -> DataFrame:
+    """(playlist, place, track, cost, hops, known): the tracks that a best-first search takes from each playlist's seeds.
+
+    seeds is (playlist, track), similar (track, other, rank) with ranks from 0, known (track) the tracks at hand. A track
+    costs (rank + sum over its seeds of (tracks found from the seed + 50)) / n ** 1.5, n being the seeds that led to it; ties
+    go to the smaller track. All playlists take one track a round, by a join with its list, until each has
+    max_results, known_target known ones, or none waiting. A playlist's state, at most its taken tracks' lists, is one
+    group; the similarity lists are never gathered.
+    """
+    at_hand = known.select("track", F.lit(True).alias("_known")).distinct()
+    start = seeds.select(F.col("playlist").cast("long"), F.col("track").cast("long")).distinct()
+    blank = [F.array().cast("array<long>").alias("bases"), F.lit(0).alias("place")]
+    state = start.select("playlist", "track", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(True).alias("waiting"), *blank, F.lit(False).alias("known"))
+    state = cut(state.withColumn("rank", F.lit(None).cast("int")))
+    while True:
+        ended = state.groupBy("playlist").agg((F.count_if(F.col("place") > 0) >= max_results).alias("a"), (F.count_if((F.col("place") > 0) & F.col("known")) >= known_target).alias("b"))
+        waiting = state.where("waiting").groupBy("playlist").agg(F.min(F.struct("cost", "track")).alias("x"))
+        top = cut(waiting.join(ended.where("not a and not b"), "playlist").select("playlist", F.col("x.track").alias("track")))
+        if top.isEmpty():
+            break
+        lists = top.join(similar, "track").select("playlist", F.col("other").cast("long").alias("track"), "rank").join(at_hand, "track", "left")
+        found = lists.select("playlist", "track", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(True).alias("waiting"), *blank, F.coalesce("_known", F.lit(False)).alias("known"), F.col("rank").cast("int"))
+        moving = state.join(top.select("playlist"), "playlist", "left_semi").union(found)
+        still = state.join(top.select("playlist"), "playlist", "left_anti")
+        state = cut(moving.groupBy("playlist").applyInPandas(_take_cheapest, _GROWN).union(still))
+    return state.where("place > 0").select("playlist", "place", "track", "cost", "hops", "known")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvina.operators import graph, ordered, prototypes, sequences, text, vectors
@@ -171,6 +171,19 @@ def gr4_edge_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.split_edges(edges).select("a", "b", "part")
 
 
+@query()
+def gr11_grown_playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's two first vectors are a playlist; its similar tracks are the nearest vectors of all."""
+    vectors_ = table(spark, sf_dir, "embeddings")
+    edges = neighbour_edges(spark, sf_dir)
+    nearer = Window.partitionBy("a").orderBy("d", "b")
+    similar = edges.select(F.col("a").alias("track"), F.col("b").alias("other"), (F.row_number().over(nearer) - 1).alias("rank"))
+    firsts = vectors_.groupBy(F.col("label").alias("playlist")).agg(F.min("vec_id").alias("x"), F.min_by("vec_id", F.when(F.col("vec_id") % 2 == 1, F.col("vec_id"))).alias("y"))
+    seeds = firsts.select("playlist", F.explode(F.array("x", "y")).alias("track")).where("track is not null")
+    grown = graph.grow_playlists(seeds, similar, vectors_.where("label < 5").select(F.col("vec_id").alias("track")), max_results=6, known_target=4)
+    return grown.withColumn("cost", F.round("cost", 6))
+
+
 def _songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     label = F.concat_ws(" - ", "p_brand", "p_name")

@@ -233,6 +233,39 @@ def test_histogram_and_suppression(spark):
     assert kept == {(g, i) for i, g, _ in taken}
 
 
+def test_grown_playlists(spark):
+    rng = np.random.default_rng(6)
+    lists = {t: [int(o) for o in rng.permutation(30)[:4]] for t in range(25)}
+    seeds, known = {1: [0, 3], 2: [7], 3: [29], 4: [5, 6, 5]}, {t for t in range(30) if t % 3}
+    want = set()
+    for playlist, first in seeds.items():
+        cost, hops, bases, dependants = {}, {}, {}, {}
+        for t in first:
+            cost[t], hops[t], bases[t], dependants[t] = 0.0, 0, {t}, set()
+        heap, taken = set(cost), []
+        while heap and len(taken) < 7 and sum(t in known for t in taken) < 4:
+            now = min(heap, key=lambda t: (cost[t], t))
+            heap.remove(now)
+            if hops[now]:
+                taken.append(now)
+                want.add((playlist, len(taken), now, round(cost[now], 9), hops[now], now in known))
+            for rank, t in enumerate(lists.get(now, [])):
+                bases.setdefault(t, set()).update(bases[now])
+                for b in bases[now]:
+                    dependants[b].add(t)
+                if t not in heap and t in cost:
+                    continue
+                heap.add(t)
+                n = len(bases[t])
+                cost[t] = (rank + sum(len(dependants[b]) + 50 for b in bases[t])) / (n * n**0.5)
+                hops[t] = min(hops.get(t, hops[now] + 1), hops[now] + 1)
+    similar = spark.createDataFrame([(t, o, r) for t, x in lists.items() for r, o in enumerate(x)], "track long, other long, rank int")
+    frame = spark.createDataFrame([(p, t) for p, x in seeds.items() for t in x], "playlist long, track long")
+    got = graph.grow_playlists(frame, similar, spark.createDataFrame([(t,) for t in known], "track long"), 7, 4).collect()
+    assert {(r.playlist, r.place, r.track, round(r.cost, 9), r.hops, r.known) for r in got} == want and len(want) > 8
+    assert graph.grow_playlists(frame.limit(0), similar, similar.select("track")).count() == 0
+
+
 def test_principal_components(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(200, 5)) @ np.diag([5, 3, 1, 0.5, 0.1]) @ np.linalg.qr(rng.normal(size=(5, 5)))[0] + 7
