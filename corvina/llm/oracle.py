@@ -104,9 +104,44 @@ FROM j
 """
 
 
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM x GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM x GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+gp AS (
+  SELECT *, 1 + (1000000000 * (n + 1)) // CAST(sum(n) OVER w + count(*) OVER w AS BIGINT) AS p
+  FROM gn WINDOW w AS (PARTITION BY lang, source)),
+lp AS (
+  SELECT lang, term, 1 + (1000000000 * (n + 1)) // CAST(sum(n) OVER w + count(*) OVER w AS BIGINT) AS q
+  FROM kept WINDOW w AS (PARTITION BY lang)),
+summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM gp a JOIN gp b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT gp.lang, gp.source, 'term' AS part, gp.term AS item, ((p - q) * (p - q)) // q AS value
+  FROM gp JOIN lp ON lp.lang = gp.lang AND lp.term = gp.term WHERE n > 0 AND p > q),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": OP1,
     "op4_chat_format": _op4(),
     "op9_exact_top_k": OP9,
     "op10_quality_rules": _op10(),
+    "op13_source_divergence": OP13,
 }
