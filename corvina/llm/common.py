@@ -126,11 +126,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of consecutive documents: byte starts and ends, the document's first word (n_docs + 1) and hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, outside: np.ndarray = SPACE) -> None:
         base = int(offsets[0])
         data, off = data[base : int(offsets[-1])], (offsets - base).astype(np.int64)
         n = len(data)
-        inside = ~SPACE[data]
+        inside = ~outside[data]
         first, last = inside.copy(), inside.copy()
         if n:
             first[1:] &= ~inside[:-1]
@@ -162,7 +162,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off
 
 
-def document_chunks(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
+def document_chunks(column: pa.Array, lower: bool, outside: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, their words), in pieces of about CHUNK bytes; a document stays whole."""
     if not len(column):
         return
@@ -171,5 +171,5 @@ def document_chunks(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, W
     while row < len(off) - 1:
         end = max(row + 1, int(np.searchsorted(off, off[row] + CHUNK, side="right")) - 1)
         end = min(end, len(off) - 1)
-        yield row, end, Words(data, off[row : end + 1], lower)
+        yield row, end, Words(data, off[row : end + 1], lower, outside)
         row = end

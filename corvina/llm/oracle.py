@@ -104,6 +104,26 @@ FROM j
 """
 
 
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.replace('text', "coalesce(text, '')", 1)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.replace('text', "coalesce(text, '')", 1)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM (SELECT *, least(10, len(w)) AS k FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT r, k, unnest(range(1, len(w) - k + 2)) AS i,
+    unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM d, (SELECT DISTINCT k FROM win)),
+hit AS (SELECT r, i, dw.k, item_id FROM dw JOIN win ON dw.k = win.k AND dw.g = win.g),
+cover AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, i, k FROM hit)) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover c ON c.r = d.r LEFT JOIN items i ON i.r = d.r
+"""
+
 OP13 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -143,5 +163,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_chat_format": _op4(),
     "op9_exact_top_k": OP9,
     "op10_quality_rules": _op10(),
+    "op12_decontamination": OP12,
     "op13_source_divergence": OP13,
 }

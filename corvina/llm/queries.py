@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import alignment, bpe, chat, divergence, html, minhash, mixing, pii, quality, rules, topk, urls
+from corvina.llm import alignment, bpe, chat, decontamination, divergence, html, minhash, mixing, pii, quality, rules, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_quality_rules": op10_quality_rules,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_decontamination": op12_decontamination,
     "op13_source_divergence": op13_source_divergence,
     "pipeline": pipeline,
 }
