@@ -9,16 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def parse_query(query: str) -> tuple[list[str], list[str]]:
-    """Terms that must and must not occur: quotes group words, a leading minus negates."""
+def query_terms(query: str) -> tuple[list[str], list[str]]:
+    """Terms that must and must not occur, as typed: single or double quotes group words, a leading minus negates."""
     wanted, unwanted = [], []
-    for minus, quoted, plain in re.findall(r'(-?)(?:"([^"]*)"?|(\S+))', query):
-        term = (quoted or plain).strip().lower()
+    for minus, double, single, plain in re.findall(r"""(-?)(?:"([^"]*)"?|'([^']*)(?:'|$)|(\S+))""", query):
+        term = double or single or plain.strip("'\"")
         if term:
             (unwanted if minus else wanted).append(term)
     return wanted, unwanted
 
 
+def parse_query(query: str) -> tuple[list[str], list[str]]:
+    """query_terms in lower case, without white space around them."""
+    return tuple([t for t in (x.strip().lower() for x in terms) if t] for terms in query_terms(query))
+
+
 def keyword_filter(text: Column, query: str) -> Column:
     """True where every wanted term, and no unwanted one, is a substring; the longest term is tried first."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.operators import graph, ordered, search, text, vectors
+from corvina.operators import graph, intervals, ordered, search, text, vectors
 from corvina.session import table
 
 SQL: dict[str, tuple[str, str]] = {}
@@ -119,7 +119,7 @@ def jn12_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jn13_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
     other = days.select(F.col("user_id").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    return days.join(other, (F.col("lo") <= F.col("hi2")) & (F.col("lo2") <= F.col("hi")) & (F.col("user_id") < F.col("other"))).select("user_id", "other")
+    return intervals.interval_join(days, other, ("lo", "hi"), ("lo2", "hi2")).where("user_id < other").select("user_id", "other")
 
 
 def txt8_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

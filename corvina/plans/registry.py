@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvina.plans import analytics, further, models, relational
+from corvina.plans import analytics, deeper, further, models, relational
 from corvina.session import TABLES, register
 
 
@@ -29,6 +29,8 @@ QUERIES.update(models.QUERIES)
 ORACLE.update(models.ORACLE)
 QUERIES.update(further.QUERIES)
 ORACLE.update(further.ORACLE)
+QUERIES.update(deeper.QUERIES)
+ORACLE.update(deeper.ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,16 +41,25 @@ def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that driver and executors share, which spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which spark.checkpoint.dir names.
 
     Where that is unset, a local session takes a temporary folder; on a cluster it is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="corvina-"))
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvina-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
