@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,38 @@ def mean_neighbour_rank(points: DataFrame, close: DataFrame) -> DataFrame:
     return share.agg(F.avg("m").alias("quality"))
 
 
+#: Landmarks whose own distances may be mapped at once.
+MOST_LANDMARKS = 2_000
+
+
+def finite_distances(distances: DataFrame, d: str = "d") -> DataFrame:
+    """distances with what is null or not finite replaced by ten times the largest finite one."""
+    finite = F.col(d).isNotNull() & ~F.isnan(d) & (F.abs(d) < float("inf"))
+    largest = distances.where(finite).agg((10 * F.max(d)).alias("_most"))
+    return distances.join(F.broadcast(largest)).withColumn(d, F.when(finite, F.col(d)).otherwise(F.col("_most"))).drop("_most")  # one row
+
+
+def map_landmarks(landmark_distances: DataFrame, dims: int) -> DataFrame:
+    """(landmark, dim, x): a map of landmarks by classical scaling of their distances (a, b, d), both directions given.
+
+    There are at most MOST_LANDMARKS of them; an axis points to where its farthest landmark has a positive place.
+    """
+    rows = landmark_distances.select("a", "b", "d").limit(MOST_LANDMARKS**2 + 1).toPandas()
+    names = sorted({*rows["a"], *rows["b"]})
+    if len(names) > MOST_LANDMARKS:
+        raise ValueError(f"more than {MOST_LANDMARKS} landmarks")
+    place = {n: i for i, n in enumerate(names)}
+    squared = np.zeros((len(names), len(names)))
+    squared[[place[a] for a in rows["a"]], [place[b] for b in rows["b"]]] = rows["d"].to_numpy(float) ** 2
+    inner = -0.5 * (squared - squared.mean(axis=0) - squared.mean(axis=1)[:, None] + squared.mean())
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    order = np.argsort(-values)[:dims]
+    x = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
+    x = x * np.where(x[np.abs(x).argmax(axis=0), np.arange(x.shape[1])] < 0, -1, 1)
+    cells = [(int(n), k, float(x[i, k])) for i, n in enumerate(names) for k in range(x.shape[1])]
+    return landmark_distances.sparkSession.createDataFrame(cells, "landmark long, dim int, x double")
+
+
 def triangulate(positions: DataFrame, landmark_distances: DataFrame, distances: DataFrame, replace: float | None = None) -> DataFrame:
     """(point, dim, x): points placed by their distances to landmarks that have a place.
 

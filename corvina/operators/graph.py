@@ -44,16 +44,73 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None
         front = nearer
 
 
+def distances_from_each(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
+    """(landmark, node, distance) of all nodes that each landmark (column landmark) reaches over edges (a, b, cost).
+
+    One relaxation for all of them: a round carries the (landmark, node) pairs that came nearer in the last one, so
+    it takes as many rounds as the longest of the cheapest paths has hops. Pairs without a path are absent.
+    """
+    if not edges.where("cost < 0").isEmpty():
+        raise ValueError("costs must be zero or more")
+    cheapest = cut(edges.where("a is not null and b is not null and a <> b").groupBy("a", "b").agg(F.min("cost").alias("cost")))
+    best = cut(landmarks.select(F.col("landmark").cast("long")).distinct().select("landmark", F.col("landmark").alias("node"), F.lit(0.0).alias("distance")))
+    front, rounds = best, 0
+    while True:
+        step = front.join(cheapest, front["node"] == cheapest["a"]).groupBy("landmark", F.col("b").cast("long").alias("node")).agg(F.min(F.col("distance") + F.col("cost")).alias("distance"))
+        old = best.select("landmark", "node", F.col("distance").alias("old"))
+        front = cut(step.join(old, ["landmark", "node"], "left").where("old is null or distance < old").drop("old"))
+        if front.isEmpty():
+            return best
+        rounds += 1
+        best = best.union(front).groupBy("landmark", "node").agg(F.min("distance").alias("distance"))
+        best = cut(best) if rounds % 3 == 0 else best
+
+
+class LandmarkTable:
+    """Landmarks of a graph of edges (a, b, cost) and the distances of all nodes from each, which later ones reuse."""
+
+    def __init__(self, edges: DataFrame) -> None:
+        self.edges = cut(edges)
+        self.chosen: list[int] = []
+        self.table: DataFrame | None = None
+        self.nearest: DataFrame | None = None
+
+    def add(self, nodes: list[int]) -> None:
+        """Take further landmarks: only paths from these are looked for."""
+        new = distances_from_each(self.edges, self.edges.sparkSession.createDataFrame([(n,) for n in nodes], "landmark long"))
+        self.table = cut(new if self.table is None else self.table.union(new))
+        near = new.select("node", "distance") if self.nearest is None else self.nearest.union(new.select("node", "distance"))
+        self.nearest = cut(near.groupBy("node").agg(F.min("distance").alias("distance")))
+        self.chosen += nodes
+
+    def add_random(self, count: int, seed: int) -> None:
+        """Take the first `count` nodes that are none yet, in an order drawn by the seed, all in one relaxation."""
+        nodes = self.edges.select(F.col("a").cast("long").alias("node")).union(self.edges.select(F.col("b").cast("long"))).where("node is not null").distinct()
+        drawn = nodes.where(~F.col("node").isin(self.chosen) if self.chosen else F.lit(True)).orderBy(F.sha2(F.concat_ws(":", F.lit(seed), "node"), 256), "node").limit(count)
+        if picked := [r["node"] for r in drawn.collect()]:
+            self.add(picked)
+
+    def add_farthest(self, count: int) -> None:
+        """Take `count` nodes one by one, each the farthest from its nearest landmark, the smallest of equals."""
+        for _ in range(count):
+            far = self.nearest.where("distance > 0").orderBy(F.col("distance").desc(), "node").first()
+            if far is None:
+                return
+            self.add([far["node"]])
+
+    def complete(self) -> DataFrame:
+        """(node, landmark, distance) of every node and landmark; infinite where there is no path."""
+        nodes = self.edges.select(F.col("a").cast("long").alias("node")).union(self.edges.select(F.col("b").cast("long"))).where("node is not null").distinct()
+        every = nodes.withColumn("landmark", F.explode(F.array(*[F.lit(n).cast("long") for n in self.chosen])))
+        return every.join(self.table, ["node", "landmark"], "left").select("node", "landmark", F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
+
+
 def landmarks(edges: DataFrame, first: int, count: int) -> list[int]:
     """Landmarks, each the node farthest from those before it; the list is as short as `count`."""
-    chosen = [first]
-    spark = edges.sparkSession
-    while len(chosen) < count:
-        far = shortest_paths(edges, spark.createDataFrame([(c,) for c in chosen], "node long")).orderBy(F.col("distance").desc(), "node").first()
-        if far is None or far["node"] in chosen:
-            break
-        chosen.append(far["node"])
-    return chosen
+    made = LandmarkTable(edges)
+    made.add([first])
+    made.add_farthest(count - 1)
+    return made.chosen
 
 
 def all_pairs(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvina.operators import intervals, postings
+from corvina.operators import embedding, graph, intervals, postings
 from corvina.operators.text import SUBSTITUTES
+from corvina.plans.further import _NEAR, neighbour_edges
 from corvina.session import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +98,48 @@ def txt6_posting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def txt1_canonical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by a scan of canonical text over three columns."""
     return postings.scan_search(table(spark, sf_dir, "documents"), "doc_id", ["text", "source", "lang"], "ciónñ ÑAS -dell").select(F.col("id").alias("doc_id"))
+
+
+# The graph of each vector's nearest five others, walked in both directions
+def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, cost) in both directions."""
+    near = neighbour_edges(spark, sf_dir)
+    return near.select("a", "b", F.col("d").alias("cost")).union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("d").alias("cost"))).groupBy("a", "b").agg(F.min("cost").alias("cost"))
+
+
+_WALK = f"""{_NEAR.replace('WITH v', 'WITH RECURSIVE v')}, g AS MATERIALIZED (SELECT a, b, d FROM u UNION ALL SELECT b, a, d FROM u),
+p(node, d) USING KEY (node) AS (
+  SELECT vec_id, CAST(0 AS DOUBLE) FROM embeddings WHERE vec_id IN (0, 1)
+  UNION SELECT g.b, min(p.d + g.d) FROM p JOIN g ON g.a = p.node LEFT JOIN recurring.p AS old ON old.node = g.b WHERE old.d IS NULL OR p.d + g.d < old.d GROUP BY g.b)"""
+
+
+@query(f"""{_WALK} SELECT p.node, round(p.d, 6) AS distance, CASE WHEN p.d > 0 THEN (SELECT arg_min(q.node, q.d + g.d) FROM g JOIN p q ON q.node = g.a WHERE g.b = p.node) ELSE -1 END AS previous FROM p""")
+def gr8_neighbour_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's distance from the nearer of the first two over the neighbour graph, and the node before it."""
+    starts = table(spark, sf_dir, "embeddings").where("vec_id in (0, 1)").select(F.col("vec_id").alias("node"))
+    return graph.shortest_paths(neighbour_graph(spark, sf_dir), starts).select("node", F.round("distance", 6).alias("distance"), "previous")
+
+
+def _landmarks(spark: SparkSession, sf_dir: str) -> graph.LandmarkTable:
+    made = graph.LandmarkTable(neighbour_graph(spark, sf_dir))
+    made.add_random(6, seed=42)
+    made.add_farthest(6)
+    return made
+
+
+@query()
+def gr10_neighbour_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve landmarks, half drawn by seed and half farthest, with the distances of all nodes from each."""
+    made = _landmarks(spark, sf_dir)
+    places = spark.createDataFrame(list(enumerate(made.chosen)), "place int, landmark long")
+    return made.table.join(F.broadcast(places), "landmark").select("place", "landmark", "node", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def ml18_triangulated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plane of all nodes: landmarks by classical scaling of their distances, the others by theirs to the landmarks."""
+    made = _landmarks(spark, sf_dir)
+    told = embedding.finite_distances(made.complete().select(F.col("node").alias("point"), "landmark", F.col("distance").alias("d")))
+    own = told.where(F.col("point").isin(made.chosen)).select(F.col("point").alias("a"), F.col("landmark").alias("b"), "d")
+    placed = embedding.triangulate(embedding.map_landmarks(own, 2), own, told)
+    return placed.select("point", "dim", F.round("x", 6).alias("x"))
