@@ -44,7 +44,7 @@ TALLY = "lang string, source string, term string, n long, docs long"
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each group's terms, summed within a partition; a null term names the group."""
+    """Occurrences and documents of each group's terms, summed within a partition; a space and the source in place of a term name the group."""
     groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def give() -> Iterator[pa.RecordBatch]:
@@ -53,7 +53,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = len(terms) + 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang] * size), pa.array([source] * size), pa.array([None, *[t.decode() for t in terms]], pa.string()),
+                    pa.array([lang] * size), pa.array([source] * size), pa.array([" " + source, *[t.decode() for t in terms]], pa.string()),
                     pa.array([0, *[n[t] for t in terms]], pa.int64()), pa.array([0, *[docs[t] for t in terms]], pa.int64()),
                 ],
                 ["lang", "source", "term", "n", "docs"],
@@ -191,11 +191,12 @@ def counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """(lang, source, term, n, n_lang, first) of the terms that at least least_docs documents of their language hold,
     and a row with a null term for each group. first is true in one row of each language's term."""
     text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    tallied = docs.select(*text).mapInArrow(_tally, TALLY).withColumn("place", F.coalesce("term", "source"))
-    each = tallied.repartition("lang", "place").groupBy("lang", "place", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    over = Window.partitionBy("lang", "place", F.col("term").isNull())
-    term = each.withColumn("n_lang", F.sum("n").over(over)).withColumn("held", F.sum("docs").over(over)).withColumn("first", F.col("source") == F.min("source").over(over))
-    return term.where(F.col("term").isNull() | (F.col("held") >= least_docs)).select("lang", "source", "term", "n", "n_lang", (F.col("term").isNotNull() & F.col("first")).alias("first"))
+    tallied = docs.select(*text).mapInArrow(_tally, TALLY)
+    each = tallied.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    over = Window.partitionBy("lang", "term")
+    rated = each.withColumn("n_lang", F.sum("n").over(over)).withColumn("held", F.sum("docs").over(over)).withColumn("first", F.col("source") == F.min("source").over(over))
+    named = rated.withColumn("term", F.when(~F.startswith("term", F.lit(" ")), F.col("term")))
+    return named.where(F.col("term").isNull() | (F.col("held") >= least_docs)).select("lang", "source", "term", "n", "n_lang", (F.col("term").isNotNull() & F.col("first")).alias("first"))
 
 
 def group_sums(kept: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
