@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvina.operators.strips import principal_axes
+
 #: Prototypes times dimensions that may be sent with a task.
 LARGEST = 1_000_000
 
@@ -100,13 +102,14 @@ def neural_gas(rows: DataFrame, start: np.ndarray, epochs: int = 10, first: floa
     return w
 
 
-def classify(rows: DataFrame, labels: np.ndarray, prototypes: np.ndarray) -> DataFrame:
-    """Rows (id, v) with the label of the nearest prototype: (id, predicted)."""
+def classify(rows: DataFrame, labels: np.ndarray, prototypes: np.ndarray, projection: np.ndarray | None = None) -> DataFrame:
+    """Rows (id, v) with the label of the nearest prototype, behind a projection if one is given: (id, predicted)."""
+    seen = (lambda x: x) if projection is None else (lambda x: x @ projection.T)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                near = ((_matrix(pdf.v)[:, None, :] - prototypes[None]) ** 2).sum(axis=2).argmin(axis=1)
+                near = (seen(_matrix(pdf.v)[:, None, :] - prototypes[None]) ** 2).sum(axis=2).argmin(axis=1)
                 yield pd.DataFrame({"id": pdf.id, "predicted": labels[near]})
 
     return rows.where("v is not null").select("id", "v").mapInPandas(run, "id long, predicted long")
@@ -141,3 +144,53 @@ def separable_share(spark: SparkSession, sizes: list[tuple[int, int]], trials: i
     out = spark.createDataFrame(rows, "p int, n int, t int, seed long").repartition("p", "t").mapInPandas(run, "p int, n int, taken int")
     good = F.col("taken") > 0
     return out.groupBy("p", "n").agg(F.count("*").alias("trials"), F.round(F.avg(good.cast("double")), 6).alias("share"), F.round(F.avg(F.when(good, F.col("taken"))), 6).alias("epochs"))
+
+
+def learn_projection(rows: DataFrame, epochs: int = 20, rate: float = 0.2, projection_rate: float = 0.5, bad_share: float = 1.0, dims: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, prototypes, projection): one prototype a class and a projection learned with them.
+
+    Distances are measured behind the projection P (dims x dimensions), which starts with the first principal axes. For a
+    row x with its nearest right prototype at squared distance dJ and its nearest wrong one at dK, muJ = 2 dK / (dJ^2 + dK^2)
+    and muK = -2 dJ / (dJ^2 + dK^2); the right prototype moves by -2 muJ P'P(w - x), the wrong one by that with muK times
+    bad_share, and P by -(2 muJ P(wJ - x)(wJ - x)' + 2 muK P(wK - x)(wK - x)'). An epoch sums both gradients over
+    all rows at once, steps by their mean times a rate that falls with the epoch, and scales P back to unit norm.
+    Rows (v, label) with a null part take no part.
+    """
+    rows = rows.where("v is not null and label is not null")
+    labels, w = class_means(rows)
+    if len(labels) < 2:
+        return labels, w, np.eye(w.shape[1] if w.size else dims)[:dims]
+    _, axes = principal_axes(rows, "v", dims)
+    p = axes / np.linalg.norm(axes)
+    for epoch in range(epochs):
+
+        def step(pdf: pd.DataFrame, w: np.ndarray = w, p: np.ndarray = p) -> np.ndarray:
+            return projection_gradient(_matrix(pdf.v), np.searchsorted(labels, pdf.label.to_numpy()), w, p, bad_share)
+
+        total = _sums(rows, ["v", "label"], step)
+        # A prototype's gradient is a projected length over a squared one; times the mean distance it is a length.
+        scale = total[-1, 1] / max(1.0, total[-1, 0]) / np.linalg.norm(p, 2) ** 2
+        w = w - rate / (1 + epoch) * len(labels) * scale * total[: len(w)] / max(1.0, total[-1, 0])
+        move = total[len(w) : -1]
+        p = p - projection_rate / (1 + epoch) * move / max(1e-300, np.linalg.norm(move)) if move.any() else p
+        p = p / np.linalg.norm(p)
+    return labels, w, p
+
+
+def projection_gradient(x: np.ndarray, own: np.ndarray, w: np.ndarray, p: np.ndarray, bad_share: float = 1.0) -> np.ndarray:
+    """The summed gradients of rows x: prototypes, then the projection, then the number of rows and their distances to the right prototype."""
+    at = np.arange(len(x))
+    d = (((x[:, None, :] - w[None]) @ p.T) ** 2).sum(axis=2)
+    good = d[at, own]
+    d[at, own] = np.inf
+    foe = d.argmin(axis=1)
+    bad = d[at, foe]
+    below = np.maximum(good**2 + bad**2, 1e-300)
+    mu_j, mu_k = 2 * bad / below, -2 * good / below
+    v_j, v_k = w[own] - x, w[foe] - x
+    out = np.zeros((len(w) + len(p) + 1, x.shape[1]))
+    np.add.at(out, own, (2 * mu_j)[:, None] * (v_j @ p.T @ p))
+    np.add.at(out, foe, bad_share * (2 * mu_k)[:, None] * (v_k @ p.T @ p))
+    out[len(w) : -1] = ((2 * mu_j)[:, None] * (v_j @ p.T)).T @ v_j + ((2 * mu_k)[:, None] * (v_k @ p.T)).T @ v_k
+    out[-1, :2] = len(x), good.sum()
+    return out

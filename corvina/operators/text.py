@@ -21,17 +21,21 @@ SUBSTITUTES = {
 SUBSTITUTES_BY_CATEGORY = {"Ps": "(", "Pe": ")", "Pi": "'", "Pf": "'", "Mn": "", "Cc": ""}
 
 
-def canonical(text: str | None) -> str | None:
-    """Lower case, without accents, controls and what has no ASCII form; brackets, quotes and letter-like signs made plain."""
-    if text is None:
-        return None
+class _Plain(dict):
+    """What stands for each character, by code point, looked up once."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = SUBSTITUTES.get(c, SUBSTITUTES_BY_CATEGORY.get(unicodedata.category(c), c if c < "\x80" else ""))
+        return self[code]
+
 
-    def plain(c: str) -> str:
-        if c in SUBSTITUTES:
-            return SUBSTITUTES[c]
-        return SUBSTITUTES_BY_CATEGORY.get(unicodedata.category(c), c if c < "\x80" else "")
+_PLAIN = _Plain()
 
-    return "".join(map(plain, unicodedata.normalize("NFD", text.lower())))
+
+def canonical(text: str | None) -> str | None:
+    """Lower case, without accents, controls and what has no ASCII form; brackets, quotes and letter-like signs made plain."""
+    return None if text is None else unicodedata.normalize("NFD", text.lower()).translate(_PLAIN)
 
 
 @F.pandas_udf(T.StringType())

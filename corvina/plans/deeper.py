@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvina.operators import embedding, graph, intervals, postings
+from corvina.operators import embedding, fitting, graph, intervals, postings, prototypes, strips
 from corvina.operators.text import SUBSTITUTES
 from corvina.plans.further import _NEAR, neighbour_edges
-from corvina.session import shared_folder, table
+from corvina.session import cut, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -143,3 +143,59 @@ def ml18_triangulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = told.where(F.col("point").isin(made.chosen)).select(F.col("point").alias("a"), F.col("landmark").alias("b"), "d")
     placed = embedding.triangulate(embedding.map_landmarks(own, 2), own, told)
     return placed.select("point", "dim", F.round("x", 6).alias("x"))
+
+
+# Vectors
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
+@query()
+def ml3_strip_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth vector's nearest other in the plane of the first two principal axes of the others, by strips."""
+    rows = _vectors(spark, sf_dir)
+    train, test = rows.where("id % 5 <> 0"), rows.where("id % 5 = 0")
+    flat = strips.projected(rows, "v", *strips.principal_axes(train, "v", 2))
+    found = strips.strip_nearest(flat.where("id % 5 <> 0"), flat.where("id % 5 = 0"), 64)
+    return found.join(test.select(F.col("id").alias("test_id"), F.col("label").alias("own")), "test_id").select("test_id", "train_id", (F.col("label") != F.col("own")).alias("error"), "measured")
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letter_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, v, label): each document's shares of the letters a to z, and its language."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    shares = [(F.length(text) - F.length(F.translate(text, c, ""))) / F.greatest(F.length(text), F.lit(1)) for c in LETTERS]
+    return table(spark, sf_dir, "documents").where("lang is not null").select(F.col("doc_id").alias("id"), F.array(*shares).alias("v"), F.col("lang").alias("label"))
+
+
+@query()
+def ml11_projected_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors in telling a document's language from its letters: by one prototype a language, and behind a learned plane."""
+    rows = _letter_shares(spark, sf_dir)
+    numbered = rows.join(F.broadcast(rows.select("label").distinct().withColumn("k", F.dense_rank().over(Window.orderBy("label")).cast("long"))), "label")  # one row a language
+    rows = cut(numbered.select("id", "v", F.col("k").alias("label")))
+    wrong = lambda form, *model: prototypes.classify(rows, *model).join(rows, "id").agg(F.lit(form).alias("form"), F.avg((F.col("predicted") != F.col("label")).cast("double")).alias("error_rate"), F.count("*").alias("n"))
+    plain = prototypes.learn_vectors(rows, epochs=5)
+    return wrong("plain", *plain).union(wrong("projected", *prototypes.learn_projection(rows)))
+
+
+@query()
+def ml15_correlation_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plane of all vectors whose distances follow those of the vectors, from that of the first two components."""
+    rows = _vectors(spark, sf_dir)
+    start = strips.projected(rows, "v", *strips.principal_axes(rows, "v", 2)).select("id", F.col("v").alias("p"))
+    placed, _ = fitting.correlation_map(rows, start, rounds=16)
+    return placed.select(F.col("id").alias("vec_id"), F.round(F.col("p")[0], 6).alias("x"), F.round(F.col("p")[1], 6).alias("y"))
+
+
+# Text
+@query("""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS t FROM documents WHERE text IS NOT NULL),
+c AS (SELECT unnest(string_split(t, '')) AS ch FROM l)
+SELECT ch, CAST(strlen(ch) AS DOUBLE) AS width, count(*) AS n FROM c WHERE ch <> '' GROUP BY ch UNION ALL SELECT '', 0, count(*) FROM l""")
+def txt21_character_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The width of each character as told by the widths of all lines: here bytes, so the answer is known."""
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("text"))
+    fitted = fitting.fit_widths(lines.withColumn("width", F.octet_length("text")), tolerance=1e-9)
+    return fitted.select("ch", (F.round("width", 3) + F.lit(0.0)).alias("width"), "n")
