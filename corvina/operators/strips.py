@@ -49,7 +49,12 @@ def strip_nearest(train: DataFrame, test: DataFrame, strip: int = STRIP) -> Data
     parts = min(STRIPS, math.ceil(n / strip))
     borders = known.agg(F.percentile_approx("u", [i / parts for i in range(1, parts)], 1_000_000).alias("q")).first()["q"] if parts > 1 else []
     splits = [-math.inf, *sorted(set(borders)), math.inf]
-    place = lambda df, c: Bucketizer(splits=splits, inputCol=c, outputCol="_s").transform(df).withColumn("strip", F.col("_s").cast("int")).drop("_s")
+
+    def place(df: DataFrame, c: str) -> DataFrame:
+        if len(splits) == 2:
+            return df.withColumn("strip", F.lit(0))
+        return Bucketizer(splits=splits, inputCol=c, outputCol="_s").transform(df).withColumn("strip", F.col("_s").cast("int")).drop("_s")
+
     known = cut(place(known, "u"))
     edges = cut(known.groupBy("strip").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.count("*").alias("size")))
 
