@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,17 +17,39 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str | None =
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def _whole_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, no, line): the lines of each file with their numbers."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("no", "line"))
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, no, line): the lines of each file, numbered from 0; a line ends with LF or CR LF.
+
+    A file is read in as many byte ranges as Spark cuts it into, each by a task of its own; `block` is where a
+    line's range starts. A line's number is its place in its range and the lines of the ranges before, so no file
+    is gathered, whatever the size of the ranges.
+    """
+    read = spark.read.option("lineSep", "\n").text(path)
+    raw = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    local = raw.withColumn("_no", F.row_number().over(Window.partitionBy("path", "block").orderBy("_at")) - 1)
+    sizes = local.groupBy("path", "block").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("path", "block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))  # one row a range
+    return local.join(starts, ["path", "block"]).select("path", "block", (F.col("_no") + F.col("_start")).cast("int").alias("no"), "line")
+
+
+def last_before(lines: DataFrame, value: Column, name: str, itself: bool = False) -> DataFrame:
+    """lines with the last value that is not null of the lines before each, or up to itself, in its file.
+
+    The last value is filled forward within a range; of each range only its own last value travels on to the next.
+    """
+    held = lines.withColumn("_value", value)
+    inside = Window.partitionBy("path", "block").orderBy("no").rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    ends = held.groupBy("path", "block").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("no"))).alias("_end"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("path", "block", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    filled = held.withColumn("_last", F.last("_value", ignorenulls=True).over(inside)).join(carried, ["path", "block"])
+    return filled.withColumn(name, F.coalesce("_last", "_carried")).drop("_value", "_last", "_carried")
 
 
 def read_m3u(spark: SparkSession, path: str) -> DataFrame:
     """(path, no, uri, length, label): an #EXTINF line describes the next path; comments and blanks are skipped."""
-    lines = _whole_lines(spark, path).where(F.trim("line") != "")
-    last = F.lag("line").over(Window.partitionBy("path").orderBy("no"))
-    told = lines.withColumn("info", last).where(~F.startswith("line", F.lit("#")))
+    told = last_before(read_lines(spark, path).where(F.trim("line") != ""), F.col("line"), "info").where(~F.startswith("line", F.lit("#")))
     pattern = r"^#EXTINF:\s*(-?[0-9]+)\s*,(.*)$"
     hit = F.col("info").rlike(pattern)
     return told.select(
@@ -61,17 +83,34 @@ def pile_up(alignments: DataFrame) -> DataFrame:
     return bases.groupBy("strand", (F.col("position") + F.col("i")).alias("position")).pivot("base", ["A", "C", "G", "T"]).count().na.fill(0)
 
 
+def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, section, name, at, line): sequence lines in upper case with their section and the place where they start in it.
+
+    A header line starts a section, which `section` names by its line number; lines before the first header are left
+    out. Sections are never gathered: a line's place is the length of the lines before it, counted by ranges.
+    """
+    head = F.when(F.startswith("line", F.lit(">")), F.struct(F.col("no").alias("section"), F.expr("substring(line, 2)").alias("name")))
+    told = last_before(read_lines(spark, path), head, "_head", itself=True).where("_head is not null and not startswith(line, '>')")
+    lines = told.select("path", "block", F.col("_head.section").alias("section"), F.col("_head.name").alias("name"), "no", F.upper("line").alias("line"))
+    keys = ["path", "section"]
+    own = F.coalesce(F.sum(F.length("line")).over(Window.partitionBy(*keys, "block").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = lines.groupBy(*keys, "block").agg(F.sum(F.length("line")).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    return lines.withColumn("_own", own).join(starts, [*keys, "block"]).select("path", "section", "name", (F.col("_start") + F.col("_own")).alias("at"), "line")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, sequence): a header line starts a section, whose lines are joined in order."""
-    lines = _whole_lines(spark, path)
-    section = F.sum(F.startswith("line", F.lit(">")).cast("int")).over(Window.partitionBy("path").orderBy("no"))
-    grouped = lines.withColumn("s", section).where("s > 0").groupBy("path", "s").agg(F.sort_array(F.collect_list(F.struct("no", "line"))).alias("x"))
-    return grouped.select("path", F.expr("substring(x[0].line, 2)").alias("name"), F.upper(F.array_join(F.slice("x.line", F.lit(2), F.size("x")), "")).alias("sequence"))
+    """(path, name, sequence): each section's lines joined in order; a sequence is one value."""
+    lines = read_lines(spark, path)
+    heads = lines.where(F.startswith("line", F.lit(">"))).select("path", F.col("no").alias("section"), F.expr("substring(line, 2)").alias("name"))
+    whole = read_fasta_lines(spark, path).groupBy("path", "section").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("x"))
+    return heads.join(whole, ["path", "section"], "left").select("path", "name", F.coalesce(F.array_join("x.line", ""), F.lit("")).alias("sequence"))
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """(path, rank, gram, n) of language-model files: one `gram<TAB>count` per line, ranked by line."""
-    lines = _whole_lines(spark, path).where("line <> ''")
+    lines = read_lines(spark, path).where("line <> ''")
     return lines.select("path", F.col("no").alias("rank"), F.split("line", "\t")[0].alias("gram"), F.split("line", "\t")[1].cast("long").alias("n"))
 
 
@@ -103,7 +142,7 @@ def read_column_lists(spark: SparkSession, path: str, language: str) -> DataFram
 
     Blank cells at the end of a column are left out; others stay. A row that ends before a column has no cell in it.
     """
-    cells = _whole_lines(spark, path).select("path", "no", F.posexplode(F.split("line", ",")).alias("col", "cell"))
+    cells = read_lines(spark, path).select("path", "no", F.posexplode(F.split("line", ",")).alias("col", "cell"))
     column = Window.partitionBy("path", "col")
     head = lambda n: F.max(F.when(F.col("no") == n, F.col("cell"))).over(column)
     last = F.max(F.when(F.trim("cell") != "", F.col("no"))).over(column)
