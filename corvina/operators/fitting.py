@@ -20,40 +20,42 @@ def fit_widths(words: DataFrame, tolerance: float = 1e-6, max_rounds: int = 1_00
     by taking each error off at once. It ends when no character's error is above `tolerance` times the
     mean width; with max_rounds it raises.
 
-    Equal texts of equal width are one weighted word. Widths start at the mean width of a character; where words leave
+    A word is held by its distinct characters and their numbers; equal ones of equal width are one weighted word. Widths start at the mean width of a character; where words leave
     some combination of widths open, it keeps its start. Words with a null text or a null or not finite width take
     no part; an empty text has only its end. The driver holds one number a character, of at most Unicode's.
     """
     sound = F.col("width").isNotNull() & ~F.isnan("width") & (F.abs("width") < float("inf"))
     given = words.select("text", F.col("width").cast("double").alias("width")).where(F.col("text").isNotNull() & sound)
-    weighed = given.groupBy("text", "width").agg(F.count("*").alias("m"))
-    letters = F.concat(F.filter(F.split("text", ""), lambda c: c != ""), F.array(F.lit("")))
-    named = cut(weighed.withColumn("letters", letters))
-    counts = named.select(F.explode("letters").alias("ch"), "m").groupBy("ch").agg(F.sum("m").alias("n")).orderBy("ch").toPandas()
-    if counts.empty:
-        return words.sparkSession.createDataFrame([], "ch string, width double, n long")
-    place = {c: i for i, c in enumerate(counts["ch"])}
-    sent = words.sparkSession.sparkContext.broadcast(place)
 
-    def numbered(batches):
+    def packed(batches):
         for pdf in batches:
-            yield pd.DataFrame({"at": [[sent.value[c] for c in x] for x in pdf["letters"]], "width": pdf["width"], "m": pdf["m"]})
-
-    rows = cut(named.select("letters", "width", "m").mapInPandas(numbered, "at array<int>, width double, m long"))
-    n = counts["n"].to_numpy(float)
+            found = [np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32), return_counts=True) for t in pdf["text"]]
+            yield pd.DataFrame({"codes": [c for c, _ in found], "times": [n.astype(np.int32) for _, n in found], "width": pdf["width"].to_numpy()})
+
+    each = given.mapInPandas(packed, "codes array<int>, times array<int>, width double")
+    rows = cut(each.groupBy("codes", "times", "width").agg(F.count("*").alias("m")))
+    letters = rows.select("m", F.explode(F.arrays_zip("codes", "times")).alias("x")).groupBy("x.codes").agg(F.sum(F.col("x.times") * F.col("m")).alias("n")).orderBy("codes").toPandas()
+    ends = rows.agg(F.sum("m")).first()[0]
+    if not ends:
+        return words.sparkSession.createDataFrame([], "ch string, width double, n long")
+    codes = letters["codes"].to_numpy(np.int32)
+    n = np.append(letters["n"].to_numpy(float), ends)
 
     def shares(along: np.ndarray, target: bool) -> np.ndarray:
-        """By character, the summed shares of what words measure along a direction, less their widths if asked."""
+        """By character, the end last, the summed shares of what words measure along a direction, less their widths if asked."""
 
         def run(batches):
             total = np.zeros(len(along))
             for pdf in batches:
-                sizes = pdf["at"].map(len).to_numpy()
-                if not len(sizes):
-                    continue
-                flat = np.concatenate(pdf["at"].to_numpy())
-                error = np.add.reduceat(along[flat], np.cumsum(sizes) - sizes) - (pdf["width"].to_numpy() if target else 0)
-                np.add.at(total, flat, np.repeat(error / sizes * pdf["m"].to_numpy(), sizes))
+                lists, times = pdf["codes"].to_numpy(), pdf["times"].to_numpy()
+                at = np.searchsorted(codes, np.concatenate([np.zeros(0, dtype=np.int32), *lists]))
+                times = np.concatenate([np.zeros(0), *times])
+                row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+                sums = lambda x: np.bincount(row, x, len(lists))  # noqa: B023, E731
+                error = sums(along[at] * times) + along[-1] - (pdf["width"].to_numpy() if target else 0)
+                share = error / (sums(times) + 1) * pdf["m"].to_numpy()
+                total[:-1] += np.bincount(at, times * share[row], len(codes))
+                total[-1] += share.sum()
             some = np.flatnonzero(total)
             yield pd.DataFrame({"i": some, "x": total[some]})
 
@@ -62,7 +64,7 @@ def fit_widths(words: DataFrame, tolerance: float = 1e-6, max_rounds: int = 1_00
         out[cells["i"].to_numpy(int)] = cells["x"]
         return out
 
-    mean = rows.agg((F.sum(F.col("width") * F.col("m")) / F.sum(F.size("at") * F.col("m"))).alias("w")).first()["w"]
+    mean = rows.agg(F.sum(F.col("width") * F.col("m"))).first()[0] / n.sum()
     widths = np.full(len(n), float(mean))
     left = -shares(widths, True)
     errors = left / n
@@ -78,7 +80,7 @@ def fit_widths(words: DataFrame, tolerance: float = 1e-6, max_rounds: int = 1_00
         along = errors + (left @ errors) / before * along
     else:
         raise RuntimeError(f"errors are still above the tolerance after {max_rounds} rounds")
-    out = [(c, float(w), int(k)) for c, w, k in zip(counts["ch"], widths, counts["n"], strict=True)]
+    out = [(c, float(w), int(k)) for c, w, k in zip([*map(chr, codes.tolist()), ""], widths, n, strict=True)]
     return words.sparkSession.createDataFrame(out, "ch string, width double, n long")
 
 
