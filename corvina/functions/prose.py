@@ -1,9 +1,13 @@
-"""Prose expressions: wiki markup, English sentences and their grade, path escaping. All run in the JVM."""
+"""Prose expressions: wiki markup, English sentences and their grade, path escaping. All but nested markup run in the JVM."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What counts as markup, as a sentence and as a word of either kind.
 MARKUP_DROPPED = (
@@ -32,6 +36,57 @@ def strip_markup(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, F.lit(MARKUP_DROPPED), F.lit("")), F.lit(MARKUP_REPLACED), F.lit("$1$2$3$4"))
 
 
+# The marks that open and close templates, and tables.
+NESTED = (("{{", "}}"), ("{|", "|}"))
+NESTED_MARK = re.compile(r"\{\{|\}\}|\{\||\|\}")
+
+
+def nested_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of templates and tables, from an opening mark at depth zero to the mark that closes it, in order and disjoint.
+
+    Marks are read from the left. Each kind has a depth of its own; a closing mark at depth zero, and an opening one that
+    nothing closes, are text. What either kind covers is one span where they overlap.
+    """
+    open_at: dict[str, list[int]] = {close: [] for _, close in NESTED}
+    closed_by = dict(NESTED)
+    spans = []
+    for m in NESTED_MARK.finditer(text):
+        if m[0] in closed_by:
+            open_at[closed_by[m[0]]].append(m.start())
+        elif open_at[m[0]]:
+            spans.append((open_at[m[0]].pop(), m.end()))
+    joined: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if joined and a < joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        else:
+            joined.append((a, b))
+    return joined
+
+
+@F.pandas_udf(T.StringType())
+def _without_nested(text: pd.Series) -> pd.Series:
+    def cut(t: str | None) -> str | None:
+        if t is None:
+            return None
+        at, out = 0, []
+        for a, b in nested_spans(t):
+            out.append(t[at:a])
+            at = b
+        return "".join([*out, t[at:]])
+
+    return text.map(cut)
+
+
+def strip_nested_markup(text: Column) -> Column:
+    """strip_markup for templates and tables that hold others: they go as a whole, then the rest of the markup.
+
+    Only texts that hold an opening mark leave the JVM.
+    """
+    marked = F.contains(text, F.lit("{{")) | F.contains(text, F.lit("{|"))
+    return strip_markup(F.when(marked, _without_nested(F.when(marked, text))).otherwise(text))
+
+
 def sentences(text: Column) -> Column:
     """The English sentences of a text, in order, of any length.
 

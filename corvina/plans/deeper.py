@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvina.operators import embedding, fitting, graph, intervals, postings, prototypes, strips
+from corvina.functions import prose
+from corvina.operators import embedding, fitting, graph, intervals, postings, prototypes, sketches, strips
 from corvina.operators.text import SUBSTITUTES
 from corvina.plans.further import _NEAR, neighbour_edges
 from corvina.session import cut, shared_folder, table
@@ -199,3 +200,24 @@ def txt21_character_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("text"))
     fitted = fitting.fit_widths(lines.withColumn("width", F.octet_length("text")), tolerance=1e-9)
     return fitted.select("ch", (F.round("width", 3) + F.lit(0.0)).alias("width"), "n")
+
+
+#: Marks planted into documents at their commonest beginnings of words.
+PLANTED = (("\\bth", "{{th"), ("\\bon", "}} on"), ("\\bde", "{| de"), ("\\ba", "|} a"))
+
+
+@query()
+def fn10_nested_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with planted templates and tables, nested and broken ones among them, without their markup."""
+    text = F.col("text")
+    for pattern, mark in PLANTED:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(mark))
+    return table(spark, sf_dir, "documents").select("doc_id", prose.strip_nested_markup(text).alias("plain"))
+
+
+@query()
+def ag31_weekly_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each day and kind of event, the users and the quartiles of the week up to it, from daily sketches."""
+    rows = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    daily = cut(sketches.daily_sketches(rows, "day", ["event_type"], "user_id", "value"))
+    return sketches.over_windows(daily, ["event_type"], 7, [0.25, 0.5, 0.75])
