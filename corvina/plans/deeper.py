@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import prose
-from corvina.operators import embedding, fitting, graph, intervals, postings, prototypes, sketches, strips
+from corvina.operators import embedding, fitting, graph, intervals, ordered, postings, prototypes, sketches, strips
 from corvina.operators.text import SUBSTITUTES
+from corvina.plans import analytics
 from corvina.plans.further import _NEAR, neighbour_edges
-from corvina.session import cut, shared_folder, table
+from corvina.session import cut, register, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -221,3 +222,26 @@ def ag31_weekly_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     daily = cut(sketches.daily_sketches(rows, "day", ["event_type"], "user_id", "value"))
     return sketches.over_windows(daily, ["event_type"], 7, [0.25, 0.5, 0.75])
+
+
+# Lines of one order, returned ones against kept ones: keys have one to seven lines on either side.
+_ZIPPED = """WITH x AS (SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) AS i,
+  count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS m FROM lineitem)
+SELECT a.k, CAST(a.i AS BIGINT) AS i, a.n AS returned, b.n AS kept FROM x a JOIN x b ON a.k = b.k AND a.i = b.i AND a.m = b.m WHERE a.f = 'R' AND b.f = 'N'"""
+
+
+@query(_ZIPPED)
+def jn6_positional_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with as many returned as kept lines, which may be several: the first with the first, and so on."""
+    register(spark, sf_dir, ["lineitem"])
+    return spark.sql(_ZIPPED)
+
+
+@query(analytics.SQL["st3_mann_whitney"][1])
+def st3_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U of two samples by ranks counted over ranges of the values; equal values share the mean of their places."""
+    register(spark, sf_dir, ["events"])
+    rows = spark.sql(f"{analytics._PAIRS} SELECT x AS v, 1 AS g FROM q UNION ALL SELECT y, 2 FROM q")
+    placed = ordered.global_rank(rows, [F.col("v")], "place").groupBy("v").agg((F.avg("place") + 1).alias("r"), F.sum((F.col("g") == 1).cast("long")).alias("n"))
+    n = F.sum("n")
+    return placed.agg(F.round(F.sum(F.col("n") * F.col("r")) - n * (n + 1) / 2, 4).alias("u"))
