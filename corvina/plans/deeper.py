@@ -245,3 +245,33 @@ def st3_mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ordered.global_rank(rows, [F.col("v")], "place").groupBy("v").agg((F.avg("place") + 1).alias("r"), F.sum((F.col("g") == 1).cast("long")).alias("n"))
     n = F.sum("n")
     return placed.agg(F.round(F.sum(F.col("n") * F.col("r")) - n * (n + 1) / 2, 4).alias("u"))
+
+
+# Language profiles over bytes: grams of one to five bytes of a word between underscores, spelt in hexadecimal.
+_SPARK_BYTES = "transform(sequence(0, length(hex(encode(concat('_', w, '_'), 'UTF-8'))) div 2 - 1), i -> substring(hex(encode(concat('_', w, '_'), 'UTF-8')), 2 * i + 1, 2))"
+_DUCK_BYTES = "list_transform(range(0, length(hex('_' || w || '_')) // 2), lambda i: substring(hex('_' || w || '_'), CAST(2 * i + 1 AS BIGINT), 2))"
+
+
+def byte_profile(key: str, spark: bool) -> str:
+    mine, other = (analytics.SPARK_LETTERS, _SPARK_BYTES) if spark else (analytics.DUCK_LETTERS, _DUCK_BYTES)
+    return analytics.profile(key, "", spark).replace(mine, other)
+
+
+_BYTE_PROFILE = f"WITH {byte_profile('lang', False)} SELECT lang, g, r FROM r"
+
+
+@query(_BYTE_PROFILE)
+def txt14_byte_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 400 most frequent grams of bytes, ties in order of the bytes."""
+    register(spark, sf_dir, ["documents"])
+    return spark.sql(f"WITH {byte_profile('lang', True)} SELECT lang, g, CAST(r AS BIGINT) AS r FROM r")
+
+
+@query(f"WITH {byte_profile('lang', False)}{analytics._DISTANCE}")
+def txt15_byte_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The out-of-place distance of each two languages by their byte grams; the profiles are made once."""
+    p = cut(txt14_byte_profile(spark, sf_dir))
+    langs = p.select(F.col("lang").alias("y")).distinct()
+    mine = p.select(F.col("lang").alias("x"), "g", "r").join(F.broadcast(langs), F.lit(True))  # languages times 400 grams
+    other = p.select(F.col("lang").alias("y"), "g", F.col("r").alias("q"))
+    return mine.join(other, ["y", "g"], "left").groupBy("x", "y").agg(F.sum(F.coalesce(F.abs(F.col("r") - F.col("q")), F.lit(400))).cast("long").alias("damage"))
