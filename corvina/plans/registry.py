@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvina.plans import analytics, deeper, further, models, relational
+from corvina.plans import analytics, deeper, details, further, models, relational
 from corvina.session import TABLES, register
 
 
@@ -21,8 +21,8 @@ def _sql_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _sql_query(pair[0]) for name, pair in {**relational.SQL, **analytics.SQL, **models.SQL, **further.SQL}.items()}
-ORACLE: dict[str, str] = {name: pair[1] for name, pair in {**relational.SQL, **analytics.SQL, **models.SQL, **further.SQL}.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _sql_query(pair[0]) for name, pair in {**relational.SQL, **analytics.SQL, **models.SQL, **further.SQL, **details.SQL}.items()}
+ORACLE: dict[str, str] = {name: pair[1] for name, pair in {**relational.SQL, **analytics.SQL, **models.SQL, **further.SQL, **details.SQL}.items()}
 QUERIES.update(analytics.QUERIES)
 ORACLE.update(analytics.ORACLE)
 QUERIES.update(models.QUERIES)
@@ -31,6 +31,8 @@ QUERIES.update(further.QUERIES)
 ORACLE.update(further.ORACLE)
 QUERIES.update(deeper.QUERIES)
 ORACLE.update(deeper.ORACLE)
+QUERIES.update(details.QUERIES)
+ORACLE.update(details.ORACLE)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
