@@ -27,7 +27,7 @@ FANOUT, SINGLETONS, FEW = 32, 0.5, 8
 SIMILAR = 1.96
 #: Of children without labels, the chance of holding two equal shares of pages for different ones (Hoeffding's bound).
 ALPHA = 0.05
-#: Weight of the corpus rate in a template's purity, the purity that rejects, and the labels it takes.
+#: Weight, in pages, of the corpus rate in a template's purity, the purity that rejects, and the labels it takes.
 PRIOR, PURITY, SUPPORT = 4.0, 0.8, 5
 
 
@@ -99,8 +99,9 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Per page: page_id, host, path, rule, verdict, template, purity.
 
     Pages that a rule fits are labelled by it, and take its verdict. The others are blocked where the
-    template of their path has a smoothed share of blocked labels of PURITY or more, from SUPPORT labels
-    at least, else allowed. A null url, or one without ://, has an empty host and path, and is allowed.
+    template of their path has a smoothed share of blocked pages of PURITY or more, from SUPPORT labels
+    at least, else allowed. Pages without a label count at the rate of blocked pages in the whole table, so a few labels
+    never speak for a template that is mostly without. A null url, or one without ://, has an empty host and path, and is allowed.
     A path may be of any length and depth.
     Repeated rows come back as given. Paths are counted before anything is joined, so that a hot host
     weighs no more than its different paths.
@@ -112,12 +113,12 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     ruled = named.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     count = lambda v: F.sum((F.coalesce(F.col("ruled"), F.lit("")) == v).cast("long"))
     paths = scratch.keep(ruled.groupBy("host", "path").agg(F.count("*").alias("n"), count("block").alias("bad"), count("allow").alias("good")))
-    total = paths.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
-    prior = ((total["bad"] or 0) + 1) / ((total["bad"] or 0) + (total["good"] or 0) + 2)
+    total = paths.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+    prior = ((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)
     tree = scratch.keep(templates(paths, scratch))
-    sums = tree.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum("good").alias("t_good"))
+    sums = tree.groupBy("host", "template").agg(F.sum("n").alias("t_n"), F.sum("bad").alias("t_bad"), F.sum("good").alias("t_good"))
     seen = F.col("t_bad") + F.col("t_good")
-    purity = (F.col("t_bad") + PRIOR * prior) / (seen + PRIOR)
+    purity = (F.col("t_bad") + (PRIOR + F.col("t_n") - seen) * prior) / (F.col("t_n") + PRIOR)
     rated = sums.select("host", "template", F.round(purity, 6).alias("purity"), ((purity >= PURITY) & (seen >= SUPPORT)).alias("reject"))
     by_path = materialise(tree.select("host", "path", "template").join(rated, ["host", "template"]))
     scratch.release()

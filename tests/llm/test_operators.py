@@ -320,6 +320,7 @@ def test_url_tree_equals_brute_force(spark):
         segs = [rng.choice(["en", "es", "a", "b", "77", "8.html", "0123456789abcdef", f"x{rng.randrange(60)}"]) for _ in range(depth)]
         rows.append((i, f"http://{rng.choice(['s.org', 'deep.com', 'n.net', 'plain.io'])}/{'/'.join(segs)}{rng.choice(['', '/', '?q=1'])}"))
     rows += [(1000 + i, "http://only.io/" + "/".join(["q"] * 30 + [str(i)])) for i in range(3)]
+    rows += [(2000 + i, f"http://bad.org/{'es' if i % 20 else 'qq'}/{i}") for i in range(100)]
     got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     paths = {}
     for r in got.values():
@@ -329,11 +330,11 @@ def test_url_tree_equals_brute_force(spark):
         c[2] += r.rule is not None and r.verdict == "allow"
     tree = brute_templates(paths)
     assert {k: v for k, v in tree.items()} == {(r.host, r.path): r.template for r in got.values()}
-    prior = (sum(c[1] for c in paths.values()) + 1) / (sum(c[1] + c[2] for c in paths.values()) + 2)
+    prior = (sum(c[1] for c in paths.values()) + 1) / (sum(c[0] for c in paths.values()) + 2)
     for r in got.values():
         same = [c for k, c in paths.items() if k[0] == r.host and tree[k] == r.template]
-        bad, seen = sum(c[1] for c in same), sum(c[1] + c[2] for c in same)
-        purity = (bad + urls.PRIOR * prior) / (seen + urls.PRIOR)
+        n, bad, seen = (sum(x) for x in zip(*((c[0], c[1], c[1] + c[2]) for c in same), strict=True))
+        purity = (bad + (urls.PRIOR + n - seen) * prior) / (n + urls.PRIOR)
         assert abs(r.purity - purity) < 1e-5
         if r.rule is None:
             assert r.verdict == ("block" if purity >= urls.PURITY and seen >= urls.SUPPORT else "allow")
