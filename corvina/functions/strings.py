@@ -31,3 +31,8 @@ def until_first(s: Column, needle: str) -> Column:
 def last_path_segment(uri: Column) -> Column:
     """The decoded last segment; a stray percent sign stands for itself."""
     return F.try_url_decode(F.regexp_replace(F.substring_index(uri, "/", -1), "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def reasonable(s: Column) -> Column:
+    """The text without format, control, private and unassigned characters; newline and tab stay."""
+    return F.regexp_replace(s, r"[\p{Cf}\p{Cc}\p{Co}\p{Cn}&&[^\n\t]]", "")

@@ -112,3 +112,9 @@ def fn12_dictionary_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", words("x")).join(known, F.lower("x") == F.col("w")).groupBy("doc_id").agg(F.count("*").alias("known"))
     return docs.join(found, "doc_id", "left").select("doc_id", F.round(prose.grade(F.col("text"), F.coalesce("known", F.lit(0))), 6).alias("grade"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(concat(coalesce(text, ''), chr(8203), 'a', chr(13), chr(9), 'b', chr(57344), 'c', chr(133)), '[\x00-\x08\x0B-\x1F\x7F-\x{9F}\p{Cf}\p{Co}]', '', 'g') AS plain FROM documents""")
+def fn1_reasonable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, with some odd characters planted behind them, without what is no character of a text."""
+    return table(spark, sf_dir, "documents").select("doc_id", strings.reasonable(F.concat(F.coalesce("text", F.lit("")), F.lit("\u200ba\r\tb\ue000c\x85"))).alias("plain"))

@@ -19,3 +19,9 @@ def test_last_segments(spark):
     rows = [("http://h/a%20b%zz", "a b%zz"), ("x%", "x%"), ("a/b/", ""), ("100%25", "100%"), (None, None), ("%C3%A9/%C3%A9", "é")]
     df = spark.createDataFrame(rows, "u string, want string")
     assert all(r.got == r.want for r in df.select("want", strings.last_path_segment(df.u).alias("got")).collect())
+
+
+def test_reasonable(spark):
+    rows = [("a\u200bb\u00adc", "abc"), ("\x00\x7f\x85\ue000\U000f0000", ""), ("\r\n\t", "\n\t"), ("é😀 ́x", "é😀 ́x"), ("\u0378", ""), ("", ""), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert all(r.got == r.want for r in df.select("want", strings.reasonable(df.t).alias("got")).collect())
