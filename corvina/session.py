@@ -35,7 +35,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers, once a session, so that a job may be started from any folder.
 
-    On a cluster, `--py-files` with a zip of the package does the same before the job starts.
+    The zip lies on the driver alone; Spark sends it to executors, those that come later too. `--py-files` with a zip of
+    the package does the same before the job starts.
     """
     context = spark.sparkContext
     if getattr(context, "_corvina_shipped", False):
