@@ -10,12 +10,10 @@ so rated goes wherever it stands, with an entity beside it or not.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import materialise
+from corvina.llm.common import bitmap, flagged, materialise, possible
 
 #: Share of an entity's information that a term may disclose at most before it is generalised, or removed.
 DISCLOSURE, REMOVAL = 0.9, 0.98
@@ -100,11 +98,21 @@ def _terms(line: Column) -> Column:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc, print, text, spans); spans come out of a generator, so that no filter computes them again."""
+    """(row, doc, print, text, spans, n_lines) of every row, in a table, so that no text is searched twice."""
     lone = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("string").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     )
-    return lone.select("row", "doc", F.xxhash64("text").alias("print"), "text", F.explode(F.array(base_spans(F.col("text")))).alias("spans"))
+    found = lone.select("row", "doc", F.xxhash64("text").alias("print"), base_spans(F.col("text")).alias("spans"), F.size(_lines(F.col("text"))).alias("n_lines"))
+    return materialise(found).withColumn("text", F.coalesce(F.col("row")[text_col], F.lit("")))
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x != "")
+
+
+def _line_terms(line: Column) -> Column:
+    """The different terms of a line, but for those within e-mail addresses."""
+    return F.array_distinct(_terms(F.regexp_replace(line, EMAIL, " ")))
 
 
 def _entity_lines(held: DataFrame) -> DataFrame:
@@ -114,53 +122,53 @@ def _entity_lines(held: DataFrame) -> DataFrame:
     return lines.select("doc", "print", "line", F.explode(F.array(inside)).alias("spans")).where(F.size("spans") > 0)
 
 
-def disclosing_terms(
-    texts: DataFrame, lines: DataFrame, disclosure: float = DISCLOSURE, removal: float = REMOVAL, min_entities: int = MIN_ENTITIES, min_lines: int = MIN_LINES
-) -> DataFrame:
-    """(term, remove) of the terms that disclose too much, of a kind of entity or of a single one.
+def _disclosed(lines: str) -> Column:
+    """PMI over information, of a term in `lines` lines, n of them beside what stands in a share p of all lines."""
+    return (F.log2(F.col("n") / F.col(lines)) - F.log2("p")) / -F.log2("p")
+
 
-    texts (text) is the whole corpus, whose lines give each term's frequency; lines are those of
-    _entity_lines, which give what it is seen beside.
+def evidence(lines: DataFrame, whole: int, min_entities: int = MIN_ENTITIES, min_lines: int = MIN_LINES) -> DataFrame:
+    """(term, n, p, near): each term with each kind, or single entity, that it is seen beside often enough.
+
+    lines are those of _entity_lines, whole is the number of all lines; n lines hold the term beside it, a share p of
+    all lines holds it, and near lines hold the term beside anything: the term stands in no fewer.
+    """
+    beside = lines.select(F.explode(_line_terms(F.col("line.hit"))).alias("term"), "print", "spans")
+    near = beside.groupBy("term").agg(F.count("*").alias("near")).where(F.col("near") >= min_lines)
+    kinds = lambda d, *more: d.select(*more, F.explode(F.array_distinct(F.transform("spans", lambda s: s["kind"]))).alias("kind"))
+    own = lambda d, *more: d.select(*more, F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["hit"].alias("hit"))))).alias("e"))
+    seldom = (F.col("held") >= min_lines) & (F.col("held") < whole)
+    entities = own(beside, "term").distinct().groupBy("term", F.col("e.kind").alias("kind")).agg(F.count("*").alias("entities")).where(F.col("entities") >= min_entities)
+    by_kind = kinds(beside, "term").groupBy("term", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_lines).join(entities, ["term", "kind"])
+    of_kind = by_kind.join(F.broadcast(kinds(lines).groupBy("kind").agg(F.count("*").alias("held"))), "kind")  # four rows
+    # Copies of one text are one witness.
+    by_one = own(beside, "term", "print").groupBy("term", "e").agg(F.count("*").alias("n"), F.countDistinct("print").alias("texts")).where(F.col("texts") >= min_lines)
+    of_one = by_one.join(own(lines).groupBy("e").agg(F.count("*").alias("held")).where(seldom), "e")
+    both = of_kind.where(seldom).select("term", "n", "held").union(of_one.select("term", "n", "held"))
+    return both.join(near, "term").select("term", "n", (F.col("held") / F.lit(whole)).alias("p"), "near")
+
+
+def candidates(lines: DataFrame, whole: int, disclosure: float = DISCLOSURE, min_entities: int = MIN_ENTITIES, min_lines: int = MIN_LINES) -> DataFrame:
+    """The evidence that can reach `disclosure`: what would reach it if its term stood in no line but those near entities.
+
+    A term's frequency in the corpus is at least `near` and its disclosure falls as it grows, so none is lost, and only
+    the words of what is left are counted.
     """
+    return materialise(evidence(lines, whole, min_entities, min_lines).where(_disclosed("near") >= disclosure))
+
 
-    def flag(k: str) -> Column:
-        return F.exists("spans", lambda s: s["kind"] == k).cast("int").alias(k)
-
-    blank = lambda c: F.regexp_replace(c, EMAIL, " ")
-    beside = lines.select(F.explode(F.array_distinct(_terms(blank(F.col("line.hit"))))).alias("term"), "print", "spans", *[flag(k) for k in KINDS])
-    pairs = beside.select("term", F.explode("spans").alias("s"))
-    entities = pairs.groupBy("term", F.col("s.kind").alias("kind")).agg(F.countDistinct("s.hit").alias("entities")).where(F.col("entities") >= min_entities)
-    by_kind = beside.groupBy("term").agg(*[F.sum(k).alias(k) for k in KINDS]).where(F.greatest(*KINDS) >= min_lines)
-    totals = lines.select(*[flag(k) for k in KINDS]).agg(*[F.sum(k).alias(k) for k in KINDS]).first()
-    every = texts.select(F.explode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("line"))
-    # A row for the empty term counts each line once.
-    words = every.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), _terms(blank(F.col("line")))))).alias("term"))
-    seen = words.groupBy("term").agg(F.count("*").alias("lines"))
-    near = materialise(seen.join(by_kind, "term", "left").where(F.col(KINDS[0]).isNotNull() | (F.col("term") == "")))
-    whole = near.where("term = ''").first()
-    each = [near.select("term", F.lit("").alias("kind"), F.lit(0.0).alias("disclosed")).limit(0)]
-    for k in KINDS:
-        if whole and totals[k] and totals[k] < whole["lines"]:
-            p = F.lit(totals[k] / whole["lines"])
-            pmi = F.log2(F.col(k) / F.col("lines")) - F.log2(p)
-            each.append(near.where((F.col("term") != "") & (F.col(k) >= min_lines)).select("term", F.lit(k).alias("kind"), (pmi / -F.log2(p)).alias("disclosed")))
-    by = reduce(DataFrame.union, each).where(F.col("disclosed") >= disclosure).join(entities, ["term", "kind"]).select("term", "disclosed")
-    if whole:
-        own = lambda d, *more: d.select(*more, F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["hit"].alias("hit"))))).alias("e"))
-        p = F.col("held") / whole["lines"]
-        held = own(lines).groupBy("e").agg(F.count("*").alias("held")).where((F.col("held") >= min_lines) & (F.col("held") < whole["lines"]))
-        # Copies of one text are one witness.
-        with_one = own(beside, "term", "print").groupBy("term", "e").agg(F.count("*").alias("n"), F.countDistinct("print").alias("texts")).where(F.col("texts") >= min_lines)
-        pmi = F.log2(F.col("n") / F.col("lines")) - F.log2(p)
-        single = with_one.join(held, "e").join(near.select("term", "lines"), "term").select("term", (pmi / -F.log2(p)).alias("disclosed"))
-        by = by.union(single.where(F.col("disclosed") >= disclosure))
-    return by.groupBy("term").agg((F.max("disclosed") >= removal).alias("remove"))
-
-
-def _rated(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Per document the rated terms it holds anywhere: (doc, print, rated)."""
-    words = texts.select("doc", "print", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    return words.join(terms, "term").groupBy("doc", "print").agg(F.collect_set(F.struct("term", "remove")).alias("rated"))
+def term_places(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, print, term, lines) of the terms of `found` in all texts: the lines of a text that hold each."""
+    lines = marked.select("doc", "print", F.explode(_lines(F.col("text"))).alias("line"))
+    words = possible(lines.select("doc", "print", F.explode(_line_terms(F.col("line"))).alias("term")), "term", bitmap(found.select("term")))
+    counted = words.groupBy("doc", "print", "term").agg(F.count("*").alias("lines"))
+    return materialise(counted.join(found.select("term").distinct(), "term").select("doc", "print", "term", "lines"))
+
+
+def disclosures(found: DataFrame, places: DataFrame) -> DataFrame:
+    """(term, disclosed): the largest share of an entity's information, or a kind's, that each term of `found` gives away."""
+    often = places.groupBy("term").agg(F.sum("lines").alias("lines"))
+    return found.join(often, "term").groupBy("term").agg(F.max(_disclosed("lines")).alias("disclosed"))
 
 
 def _term_spans() -> Column:
@@ -171,25 +179,41 @@ def _term_spans() -> Column:
     return F.transform(free, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.array_contains(gone, F.lower(w["hit"])).alias("remove")))
 
 
-def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
+def find_private(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    disclosure: float = DISCLOSURE,
+    removal: float = REMOVAL,
+    min_entities: int = MIN_ENTITIES,
+    min_lines: int = MIN_LINES,
+) -> DataFrame:
     """(row, text, spans, more): base spans, and the spans of disclosing terms anywhere in the text.
 
     A null text reads as empty and has no spans. Rows are told apart by id and text, so a null id or
     repeated rows are served like any others, and every column of the input stays in `row`. Repeated
-    documents count as often as they are there, but as one text where a single entity is rated.
+    documents count as often as they are there, but as one text where a single entity is rated. Texts of any
+    length are searched whole; a term exactly at a threshold reaches it. Texts are not shuffled, but for those
+    that a filter over the rated rows lets through.
     """
     marked = _marked(docs, id_col, text_col)
-    held = materialise(marked.where(F.size("spans") > 0).select("doc", "print", "text", "spans"))
-    lines = materialise(_entity_lines(held))
-    terms = materialise(disclosing_terms(docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), lines, **thresholds))
-    none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
-    if terms.isEmpty():
-        return marked.select("row", "text", "spans", none.alias("more"))
-    every = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc"), F.col(f"`{text_col}`").alias("text")).withColumn("print", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    rated = materialise(_rated(every, terms).select(F.col("doc").alias("_doc"), F.col("print").alias("_print"), "rated"))
+    lines = materialise(_entity_lines(marked.where(F.size("spans") > 0)))
+    whole = marked.agg(F.sum("n_lines")).first()[0] or 0
+    found = candidates(lines, whole, disclosure, min_entities, min_lines)
+    none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>").alias("more")
+    if found.isEmpty():
+        return marked.select("row", "text", "spans", none)
+    places = term_places(marked, found)
+    terms = disclosures(found, places).where(F.col("disclosed") >= disclosure).select("term", (F.col("disclosed") >= removal).alias("remove"))
+    rated = places.join(terms, "term").groupBy("doc", "print").agg(F.collect_set(F.struct("term", "remove")).alias("rated"))
+    key = F.xxhash64("doc", "print").alias("key")
+    rated = materialise(rated.select(key, F.col("doc").alias("_doc"), F.col("print").alias("_print"), "rated"))
+    keyed = flagged(marked.select("row", "doc", "print", "text", "spans", key), "key", bitmap(rated.select("key")))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("print") == F.col("_print"))
+    doubtful = keyed.where("maybe").join(rated.drop("key"), same, "left")
     more = F.when(F.col("rated").isNotNull(), _term_spans()).otherwise(none)
-    return marked.join(rated, same, "left").select("row", "text", "spans", F.explode(F.array(more)).alias("more"))
+    served = doubtful.select("row", "text", "spans", F.explode(F.array(more)).alias("more"))
+    return served.union(keyed.where("not maybe").select("row", "text", "spans", none))
 
 
 def _named(kind: Column, s: Column) -> Column:

@@ -1,5 +1,11 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter, defaultdict
+
+import regex
+from pyspark.sql import functions as F
 
 from corvina.llm import pii
 
@@ -17,15 +23,20 @@ def luhn(d):
     return total % 10 == 0
 
 
+def digits(s):
+    return re.sub("[^0-9]", "", s)
+
+
+RULES = [
+    ("email", EMAIL, lambda s: True),
+    ("ip", IP, lambda s: all(int(p) <= 255 for p in s.split("."))),
+    ("card", CARD, lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))),
+    ("phone", PHONE, lambda s: 9 <= len(digits(s)) <= 15),
+]
+
+
 def brute(text):
-    digits = lambda s: re.sub("[^0-9]", "", s)
-    rules = [
-        ("email", EMAIL, lambda s: True),
-        ("ip", IP, lambda s: all(int(p) <= 255 for p in s.split("."))),
-        ("card", CARD, lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))),
-        ("phone", PHONE, lambda s: 9 <= len(digits(s)) <= 15),
-    ]
-    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in rules for m in p.finditer(text or "") if ok(m[0])]
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in RULES for m in p.finditer(text or "") if ok(m[0])]
 
 
 ODD = [
@@ -90,6 +101,64 @@ def test_disclosing_terms_go_wherever_they_stand(spark):
     assert text[500] == "plain words here\nquorum plain [EMAIL]"
 
 
+def brute_disclosures(rows, min_entities, min_lines):
+    """(term, disclosed) of plain counts over lines, for every term with enough evidence."""
+    lines, whole = [], 0
+    for text in rows:
+        for line in filter(None, (text or "").split("\n")):
+            spans = [(k, m[0]) for k, p, ok in RULES for m in p.finditer(line) if ok(m[0])]
+            terms = {w for w in regex.split(r"\P{L}+", EMAIL.sub(" ", line).lower()) if len(w) >= 3}
+            lines.append((text, spans, terms))
+    whole = len(lines)
+    often = Counter(t for _, _, terms in lines for t in terms)
+    held, with_it, entities, texts = Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for text, spans, terms in lines:
+        for x in {k for k, _ in spans} | set(spans):
+            held[x] += 1
+            for t in terms:
+                with_it[t, x] += 1
+                texts[t, x].add(text)
+        for t in terms:
+            for k, hit in spans:
+                entities[t, k].add(hit)
+    out = defaultdict(list)
+    for (t, x), n in with_it.items():
+        enough = n >= min_lines and len(entities[t, x]) >= min_entities if isinstance(x, str) else len(texts[t, x]) >= min_lines
+        if enough and min_lines <= held[x] < whole:
+            p = held[x] / whole
+            out[t].append((math.log2(n / often[t]) - math.log2(p)) / -math.log2(p))
+    return {t: max(v) for t, v in out.items()}
+
+
+def found_disclosures(docs, least, **evidence):
+    marked = pii._marked(docs, "doc_id", "text")
+    lines = pii._entity_lines(marked.where(F.size("spans") > 0))
+    found = pii.candidates(lines, marked.agg(F.sum("n_lines")).first()[0] or 0, least, **evidence)
+    return {r.term: r.disclosed for r in pii.disclosures(found, pii.term_places(marked, found)).where(F.col("disclosed") >= least).collect()}
+
+
+def test_disclosures_against_plain_counts(spark, sf_dir):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "call", "mail", "host", "Ärger", "no"]
+    made = []
+    for i in range(300):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            line = rng.sample(words, 4)
+            if rng.random() < 0.3:
+                line.append(rng.choice([f"u{i % 7}@mail.example.com call", f"10.0.0.{i % 9} host", "+1 (743) 555-3824 call", "4111 1111 1111 1111 mail"]))
+            parts.append(" ".join(line))
+        made.append("\n".join(parts))
+    made += ["", None, made[0], made[0], "\n\n", "cue one@x.yz\n" * 9, *[f"lone{c} cue one@x.yz" for c in "abcdefg"]]
+    table = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    for rows, least in ((made, -9.0), (made, 0.4), (made, 0.9), (table, 0.2)):
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        want = {t: v for t, v in brute_disclosures(rows, 3, 5).items() if v >= least}
+        got = found_disclosures(docs, least, min_entities=3, min_lines=5)
+        assert got.keys() == want.keys() and all(abs(got[t] - v) < 1e-9 for t, v in want.items())
+        assert rows is table or want
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.span_report(docs).count() == 0 and pii.sanitise(docs).count() == 0
