@@ -157,20 +157,24 @@ def candidates(lines: DataFrame, whole: int, disclosure: float = DISCLOSURE, min
     return materialise(evidence(lines, whole, min_entities, min_lines).where(_disclosed("near") >= disclosure))
 
 
-def term_places(marked: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, print, term, lines) of the terms of `found` in all texts: the lines of a text that hold each."""
-    lines = marked.select("doc", "print", F.explode(_lines(F.col("text"))).alias("line"))
-    words = possible(lines.select("doc", "print", F.explode(_line_terms(F.col("line"))).alias("term")), "term", bitmap(found.select("term")))
-    counted = words.groupBy("doc", "print", "term").agg(F.count("*").alias("lines"))
-    return materialise(counted.join(found.select("term").distinct(), "term").select("doc", "print", "term", "lines"))
+def disclosures(found: DataFrame, marked: DataFrame) -> DataFrame:
+    """(term, disclosed): the largest share of an entity's information, or a kind's, that each term of `found` gives away.
 
-
-def disclosures(found: DataFrame, places: DataFrame) -> DataFrame:
-    """(term, disclosed): the largest share of an entity's information, or a kind's, that each term of `found` gives away."""
-    often = places.groupBy("term").agg(F.sum("lines").alias("lines"))
+    Its lines in all texts are counted; only counts of terms are shuffled.
+    """
+    lines = marked.select(F.explode(_lines(F.col("text"))).alias("line"))
+    words = possible(lines.select(F.explode(_line_terms(F.col("line"))).alias("term")), "term", bitmap(found.select("term")))
+    often = words.groupBy("term").agg(F.count("*").alias("lines"))
     return found.join(often, "term").groupBy("term").agg(F.max(_disclosed("lines")).alias("disclosed"))
 
 
+def _rated(marked: DataFrame, terms: DataFrame) -> DataFrame:
+    """Per document the rated terms it holds anywhere: (doc, print, rated)."""
+    words = marked.select("doc", "print", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    held = possible(words, "term", bitmap(terms.select("term"))).join(terms, "term")
+    return held.groupBy("doc", "print").agg(F.collect_set(F.struct("term", "remove")).alias("rated"))
+
+
 def _term_spans() -> Column:
     """The spans of a row's rated terms in its text, outside its base spans."""
     words = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.sort_array(F.transform("rated", lambda t: t["term"])), "|"), F.lit(r")(?!\p{L})"))
@@ -203,11 +207,12 @@ def find_private(
     none = F.array().cast("array<struct<start:int,end:int,remove:boolean>>").alias("more")
     if found.isEmpty():
         return marked.select("row", "text", "spans", none)
-    places = term_places(marked, found)
-    terms = disclosures(found, places).where(F.col("disclosed") >= disclosure).select("term", (F.col("disclosed") >= removal).alias("remove"))
-    rated = places.join(terms, "term").groupBy("doc", "print").agg(F.collect_set(F.struct("term", "remove")).alias("rated"))
+    over = disclosures(found, marked).where(F.col("disclosed") >= disclosure)
+    terms = materialise(over.select("term", (F.col("disclosed") >= removal).alias("remove")))
+    if terms.isEmpty():
+        return marked.select("row", "text", "spans", none)
     key = F.xxhash64("doc", "print").alias("key")
-    rated = materialise(rated.select(key, F.col("doc").alias("_doc"), F.col("print").alias("_print"), "rated"))
+    rated = materialise(_rated(marked, terms).select(key, F.col("doc").alias("_doc"), F.col("print").alias("_print"), "rated"))
     keyed = flagged(marked.select("row", "doc", "print", "text", "spans", key), "key", bitmap(rated.select("key")))
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("print") == F.col("_print"))
     doubtful = keyed.where("maybe").join(rated.drop("key"), same, "left")
