@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvina.session import cut
+from corvina.session import cut, stored
 
 
 def symmetrise(edges: DataFrame) -> DataFrame:
@@ -177,55 +174,57 @@ def triangles(edges: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("triangles"), F.coalesce(F.sum((2 * longest > F.col("d") + F.col("d2") + F.col("d3")).cast("long")), F.lit(0)).alias("violations"))
 
 
-_GROWN = "playlist long, track long, cost double, hops int, waiting boolean, bases array<long>, place int, known boolean, rank int"
-
-
-def _take_cheapest(rows: pd.DataFrame) -> pd.DataFrame:
-    """A playlist's tracks after its cheapest waiting one is taken; rows with a rank are that one's similar tracks."""
-    tracks = {r.track: dict(r._asdict(), bases=set(r.bases)) for r in rows[rows["rank"].isna()].itertuples(index=False)}
-    now = min((t for t in tracks.values() if t["waiting"]), key=lambda t: (t["cost"], t["track"]), default=None)
-    if now is not None:
-        now["waiting"] = False
-        if now["hops"] > 0:
-            now["place"] = 1 + sum(t["place"] > 0 for t in tracks.values())
-        based_on = lambda t: t["bases"] | ({t["track"]} if t["hops"] == 0 else set())
-        dependants = Counter(b for t in tracks.values() for b in t["bases"])
-        for r in rows[rows["rank"].notna()].sort_values("rank").itertuples(index=False):
-            other = tracks.setdefault(r.track, {**r._asdict(), "hops": now["hops"] + 1, "waiting": True, "bases": set(), "place": 0})
-            fresh = based_on(now) - other["bases"]
-            other["bases"] |= fresh
-            dependants.update(fresh)
-            if other["waiting"]:
-                bases = based_on(other)
-                other["cost"] = (r.rank + sum(dependants[b] + 50 for b in bases)) / len(bases) ** 1.5
-                other["hops"] = min(other["hops"], now["hops"] + 1)
-    out = pd.DataFrame([dict(t, bases=sorted(t["bases"]), rank=None) for t in tracks.values()], columns=list(rows.columns))
-    return out.astype({"rank": "Int32"})
-
-
 def grow_playlists(seeds: DataFrame, similar: DataFrame, known: DataFrame, max_results: int = 100, known_target: int = 50) -> DataFrame:
     """(playlist, place, track, cost, hops, known): the tracks that a best-first search takes from each playlist's seeds.
 
     seeds is (playlist, track), similar (track, other, rank) with ranks from 0, known (track) the tracks at hand. A track
     costs (rank + sum over its seeds of (tracks found from the seed + 50)) / n ** 1.5, n being the seeds that led to it; ties
     go to the smaller track. All playlists take one track a round, by a join with its list, until each has
-    max_results, known_target known ones, or none waiting. A playlist's state, at most its taken tracks' lists, is one
-    group; the similarity lists are never gathered.
+    max_results, known_target known ones, or none waiting. An `other` that stands twice in a list counts at its smaller
+    rank; seeds with a null are left out. State is two tables, of tracks and of (seed, track) pairs, that joins and
+    sums carry on; no group is gathered.
     """
     at_hand = known.select("track", F.lit(True).alias("_known")).distinct()
-    start = seeds.select(F.col("playlist").cast("long"), F.col("track").cast("long")).distinct()
-    blank = [F.array().cast("array<long>").alias("bases"), F.lit(0).alias("place")]
-    state = start.select("playlist", "track", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(True).alias("waiting"), *blank, F.lit(False).alias("known"))
-    state = cut(state.withColumn("rank", F.lit(None).cast("int")))
+    lists = stored(similar.groupBy(F.col("track").alias("now"), F.col("other").cast("long").alias("track")).agg(F.min("rank").alias("rank")))
+    start = seeds.select(F.col("playlist").cast("long"), F.col("track").cast("long")).dropna().distinct()
+    tracks = stored(start.select("playlist", "track", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(True).alias("waiting"), F.lit(0).cast("long").alias("place"), F.lit(False).alias("known")))
+    led = start.select("playlist", F.col("track").alias("seed"), "track").limit(0)
     while True:
-        ended = state.groupBy("playlist").agg((F.count_if(F.col("place") > 0) >= max_results).alias("a"), (F.count_if((F.col("place") > 0) & F.col("known")) >= known_target).alias("b"))
-        waiting = state.where("waiting").groupBy("playlist").agg(F.min(F.struct("cost", "track")).alias("x"))
-        top = cut(waiting.join(ended.where("not a and not b"), "playlist").select("playlist", F.col("x.track").alias("track")))
+        standing = tracks.groupBy("playlist").agg(
+            F.count_if(F.col("place") > 0).alias("taken"),
+            F.count_if((F.col("place") > 0) & F.col("known")).alias("reached"),
+            F.min(F.when(F.col("waiting"), F.struct("cost", "track", "hops"))).alias("best"),
+        )
+        going = standing.where((F.col("taken") < max_results) & (F.col("reached") < known_target) & F.col("best").isNotNull())
+        top = stored(going.select("playlist", "taken", F.col("best.track").alias("now"), F.col("best.hops").alias("depth")))
         if top.isEmpty():
-            break
-        lists = top.join(similar, "track").select("playlist", F.col("other").cast("long").alias("track"), "rank").join(at_hand, "track", "left")
-        found = lists.select("playlist", "track", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(True).alias("waiting"), *blank, F.coalesce("_known", F.lit(False)).alias("known"), F.col("rank").cast("int"))
-        moving = state.join(top.select("playlist"), "playlist", "left_semi").union(found)
-        still = state.join(top.select("playlist"), "playlist", "left_anti")
-        state = cut(moving.groupBy("playlist").applyInPandas(_take_cheapest, _GROWN).union(still))
-    return state.where("place > 0").select("playlist", "place", "track", "cost", "hops", "known")
+            return tracks.where("place > 0").select("playlist", F.col("place").cast("int").alias("place"), "track", "cost", "hops", "known")
+        found = top.join(lists, "now").select("playlist", "track", "rank", "depth")
+        origin = led.join(top.select("playlist", F.col("now").alias("track")), ["playlist", "track"]).select("playlist", "seed")
+        origin = origin.union(top.where("depth = 0").select("playlist", F.col("now").alias("seed"))).distinct()
+        # Every found track now has every seed of the taken one; those it did not have count for the tracks behind it.
+        pairs = found.join(origin, "playlist").join(led.withColumn("old", F.lit(True)), ["playlist", "seed", "track"], "left")
+        so_far = Window.partitionBy("playlist", "seed").orderBy("rank", "track").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        pairs = stored(pairs.select("playlist", "seed", "track", F.col("old").isNull().alias("fresh"), F.sum(F.col("old").isNull().cast("long")).over(so_far).alias("more")))
+        others = led.join(found.select("playlist", "track"), ["playlist", "track"]).select("playlist", "seed", "track", F.lit(0).cast("long").alias("more"))
+        itself = tracks.where("hops = 0").join(found.select("playlist", "track"), ["playlist", "track"]).select("playlist", F.col("track").alias("seed"), "track", F.lit(0).cast("long").alias("more"))
+        seeds_of = pairs.drop("fresh").union(others).union(itself).groupBy("playlist", "seed", "track").agg(F.max("more").alias("more"))
+        met = led.groupBy("playlist", "seed").agg(F.count("*").alias("met"))
+        sums = seeds_of.join(met, ["playlist", "seed"], "left").groupBy("playlist", "track").agg(F.sum(F.coalesce("met", F.lit(0)) + F.col("more") + 50).alias("weight"), F.count("*").alias("n"))
+        price = (F.col("rank") + F.col("weight")) / F.pow("n", F.lit(1.5))
+        priced = found.join(sums, ["playlist", "track"]).join(at_hand, "track", "left").select("playlist", "track", price.alias("price"), (F.col("depth") + 1).alias("next"), "_known")
+        marked = tracks.join(top.select("playlist", "taken", F.col("now").alias("track"), F.lit(True).alias("chosen")), ["playlist", "track"], "left").join(priced, ["playlist", "track"], "full")
+        chosen, new = F.col("chosen").isNotNull(), F.col("waiting").isNull()
+        open_still = F.col("waiting") & ~chosen & F.col("price").isNotNull()
+        tracks = stored(
+            marked.select(
+                "playlist",
+                "track",
+                F.when(new | open_still, F.col("price")).otherwise(F.col("cost")).alias("cost"),
+                F.when(new | open_still, F.least("hops", "next")).otherwise(F.col("hops")).alias("hops"),
+                (new | (F.col("waiting") & ~chosen)).alias("waiting"),
+                F.when(chosen & (F.col("hops") > 0), F.col("taken") + 1).otherwise(F.coalesce("place", F.lit(0))).alias("place"),
+                F.when(new, F.coalesce("_known", F.lit(False))).otherwise(F.col("known")).alias("known"),
+            )
+        )
+        led = stored(led.union(pairs.where("fresh").select("playlist", "seed", "track")))
