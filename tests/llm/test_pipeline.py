@@ -1,8 +1,11 @@
 """The pipeline's stages hold what they promise, each on its own input."""
 
+import hashlib
+
 import corpus_pipeline
 from corvina.llm import minhash, pii, rules
 from corvina.llm.common import materialise
+from tests.llm.test_pii import brute
 
 
 def test_stages(spark, sf_dir):
@@ -28,3 +31,34 @@ def test_dedup_rows_of_one_id(spark):
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([r for r in rows if r not in (rows[1], rows[3])], key=repr)
     assert corpus_pipeline.dedup(spark, docs.limit(0), "").count() == 0
+
+
+def plainly_masked(text):
+    marks = sorted((int(a), int(b), pii.PLACEHOLDER[k]) for k, a, b in (s.split(":") for s in brute(text)))
+    out, at = "", 0
+    for start, end, mark in marks:
+        if start >= at:
+            out += text[at:start] + mark
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_whole_run_on_odd_rows(spark, sf_dir, tmp_path):
+    """All stages over null and repeated ids, null texts and columns named like the stages' own."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    names = ["row", "doc", "print", "spans", "maybe", "keep", "tokens", "topic", "rated"]
+    rows = [tuple(r) for r in table.collect()]
+    at = table.columns.index
+    change = lambda r, **new: tuple(new.get(c, v) for c, v in zip(table.columns, r, strict=True))
+    rows += [rows[0], change(rows[1], doc_id=None), change(rows[2], doc_id=rows[3][at("doc_id")])]
+    rows += [change(rows[4], doc_id=90_001, text=None), change(rows[4], doc_id=90_002, text=""), change(rows[5], doc_id=90_003, lang=None, source=None, text=rows[5][at("text")] + " more")]
+    docs = spark.createDataFrame(rows, table.schema).selectExpr("*", *[f"'{n}' as `{n}`" for n in names])
+    docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    came = {(r[at("doc_id")], digest(plainly_masked(r[at("text")] or ""))) for r in rows}
+    went = [(r.doc_id, r.decoded_sha256) for r in got]  # what the ids decode to is a text as masked
+    assert got and set(went) <= came and len(went) == len(set(went))
+    assert not {90_001, 90_002} & {i for i, _ in went} and all(r.n_tokens == len(r.ids) for r in got)
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
