@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvina.llm.common import Scratch, Words, document_chunks, materialise, mix as scramble
+from corvina.llm.common import CHUNK, Scratch, Words, document_chunks, materialise, mix as scramble
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default target shares are the margins of the strata's tokens to this power: large strata give way to small ones.
@@ -20,8 +21,9 @@ TOLERANCE, STRIDE, ROUNDS, PROGRESS = 1e-4, 3, 60, 0.2
 #: Share of the tokens to keep.
 BUDGET = 0.6
 SEED = 20240131
-#: Topics are clusters of hashed word vectors, found on at most SAMPLE documents, those with the smallest hashes.
-TOPICS, BUCKETS, SAMPLE, ITERATIONS = 8, 1 << 12, 4_000, 12
+#: Topics are clusters of hashed word vectors, found on all documents. Sums of vectors are whole numbers of 1 / UNIT, so
+#: that they do not depend on the order of the rows.
+TOPICS, BUCKETS, ITERATIONS, UNIT = 8, 1 << 12, 12, 1 << 30
 
 
 def bags(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,40 +44,117 @@ def nearest(first: np.ndarray, bucket: np.ndarray, value: np.ndarray, centres: n
     return np.where(np.diff(first) > 0, scores.argmax(axis=0), -1)
 
 
-def find_topics(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Cluster centres (TOPICS x BUCKETS, rare words weigh more) by spherical k-means, farthest first."""
-    dense = np.zeros((len(rows), BUCKETS), dtype=np.float32)
-    for i, (bucket, value) in enumerate(rows):
-        dense[i, bucket] = value
-    rare = np.log((1 + len(rows)) / (1 + (dense > 0).sum(axis=0)))
-    dense *= rare
-    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
-    centres = dense[:1]
-    while 0 < len(centres) < min(TOPICS, len(dense)):
-        centres = np.concatenate((centres, dense[(dense @ centres.T).max(axis=1).argmin()][None]))
-    for _ in range(ITERATIONS if len(dense) else 0):
-        own = (dense @ centres.T).argmax(axis=1)
-        sums = np.stack([dense[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
-    return centres * rare if len(dense) else np.zeros((1, BUCKETS))
-
-
-def _bag_rows(batches):
+#: An item of a stored word vector.
+ITEM = np.dtype([("bucket", "<u2"), ("value", "<f4")])
+
+
+def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, words in document_chunks(batch.column(1), lower=True):
             first, bucket, value = bags(words)
-            lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], ["print", "bucket", "value"])
+            items = np.empty(len(bucket), dtype=ITEM)
+            items["bucket"], items["value"] = bucket, value
+            ends = pa.py_buffer((first * ITEM.itemsize).astype(np.int32).tobytes())
+            packed = pa.Array.from_buffers(pa.binary(), b - a, [None, ends, pa.py_buffer(items.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), packed], ["print", "bag"])
+
+
+def vectors(batch: pa.RecordBatch, rare: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Unit vectors of stored bags, in pieces of about CHUNK items: first document, and of each item document, bucket, weight."""
+    column = batch.column(1).cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] // ITEM.itemsize
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(off, off[start] + CHUNK, side="right")) - 1)
+        items = np.frombuffer(data, dtype=ITEM, count=int(off[end] - off[start]), offset=int(off[start]) * ITEM.itemsize)
+        row, bucket = np.repeat(np.arange(end - start), np.diff(off[start : end + 1])), items["bucket"].astype(np.int64)
+        weight = items["value"] * rare[bucket]
+        size = np.sqrt(np.bincount(row, weights=weight * weight, minlength=end - start))
+        yield start, row, bucket, weight / np.maximum(size, 1e-9)[row]
+        start = end
+
+
+def likeness(row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Inner products, centres by documents."""
+    return np.stack([np.bincount(row, weights=c[bucket] * weight) for c in centres])
+
+
+def _rarity(bags: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of documents, and of each bucket the weight of its words, more for rare ones."""
+
+    def run(batches):
+        seen, documents = np.zeros(BUCKETS, dtype=np.int64), 0
+        for batch in batches:
+            documents += batch.num_rows
+            for _, _, bucket, _ in vectors(batch, np.ones(BUCKETS)):
+                seen += np.bincount(bucket, minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS), pa.int32()), pa.array(np.append(documents, seen))], ["bucket", "n"])
+
+    n = np.zeros(BUCKETS + 1, dtype=np.int64)
+    table = bags.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    n[np.asarray(table["bucket"])] = np.asarray(table["n"])  # the documents' number comes last
+    return int(n[-1]), np.log((1 + n[-1]) / (1 + n[:-1]))
+
+
+def _farthest(bags: DataFrame, rare: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The vector of the document that is least like any centre; of several, the one with the smallest hash."""
+
+    def run(batches):
+        best = None
+        for batch in batches:
+            prints = np.asarray(batch.column(0))
+            for start, row, bucket, weight in vectors(batch, rare):
+                near = likeness(row, bucket, weight, centres).max(axis=0) if len(centres) else np.zeros(row[-1] + 1)
+                at = np.lexsort((prints[start : start + len(near)], near))[0]
+                found = float(near[at]), int(prints[start + at]), batch.column(1)[start + int(at)].as_py()
+                best = found if best is None else min(best, found)
+        if best:
+            yield pa.RecordBatch.from_pylist([dict(zip(("near", "print", "bag"), best, strict=True))])
+
+    bag = bags.mapInArrow(run, "near double, print long, bag binary").orderBy("near", "print", "bag").first()["bag"]
+    (_, _, bucket, weight), *_ = vectors(pa.RecordBatch.from_pylist([{"print": 0, "bag": bytes(bag)}]), rare)
+    return np.bincount(bucket, weights=weight, minlength=BUCKETS)
+
+
+def _sums(bags: DataFrame, rare: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For each centre the sum of the documents that are most like it, in units."""
+    names = [f"t{i}" for i in range(len(centres))]
+
+    def run(batches):
+        total = np.zeros(len(centres) * BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for _, row, bucket, weight in vectors(batch, rare):
+                own = likeness(row, bucket, weight, centres).argmax(axis=0)
+                total += np.bincount(own[row] * BUCKETS + bucket, weights=np.rint(weight * UNIT), minlength=len(total)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS), pa.int32()), *map(pa.array, total.reshape(-1, BUCKETS))], ["bucket", *names])
+
+    table = bags.mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    return np.stack([np.asarray(c) for c in table.sort_by("bucket").columns[1:]])
 
 
 def topic_model(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Centres found on a sample of the different texts, the same however the rows lie; the driver holds its vectors only."""
+    """Cluster centres (TOPICS x BUCKETS, rare words weigh more) of all documents with words: spherical k-means, farthest first.
+
+    Every row counts, repeated ones too. The documents' word vectors are stored once and read in each round; what the driver
+    holds is the centres. The same rows give the same centres, however they lie.
+    """
+    scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("print"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    chosen = materialise(texts.select("print").distinct().orderBy("print").limit(SAMPLE))  # SAMPLE numbers: safe to broadcast
-    rows = texts.join(F.broadcast(chosen), "print").mapInArrow(_bag_rows, "print long, bucket array<int>, value array<float>").dropDuplicates(["print"])
-    table = rows.toArrow().sort_by("print")
-    pairs = [(np.asarray(b.values), np.asarray(v.values)) for b, v in zip(table["bucket"], table["value"], strict=True)]
-    return find_topics([p for p in pairs if len(p[0])])
+    bags = scratch.keep(texts.mapInArrow(_bag_rows, "print long, bag binary").where("octet_length(bag) > 0"))
+    documents, rare = _rarity(bags)
+    centres = np.zeros((0, BUCKETS))
+    while len(centres) < min(TOPICS, documents):
+        centres = np.concatenate((centres, _farthest(bags, rare, centres)[None]))
+    last = None
+    for _ in range(ITERATIONS if documents else 0):
+        sums = _sums(bags, rare, centres)
+        if last is not None and (sums == last).all():
+            break
+        last, size = sums, np.linalg.norm(sums.astype(float), axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1), centres)
+    scratch.release()
+    return centres * rare if documents else np.zeros((1, BUCKETS))
 
 
 def measured_text(text: Column, centres: np.ndarray) -> Column:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,3 +414,36 @@ def test_machine_equals_explicit_pairs_and_odd_rows(spark):
     got = quality.score_documents(docs, labels).collect()
     assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows) and all(0 <= r.score <= 1 for r in got)
     assert all(r.predicted == r.doc_id % 2 for r in got if r.doc_id < 60)
+
+
+def plain_topics(texts):
+    """Spherical k-means, farthest first, over all texts with words, in memory."""
+    rows = [Counter(int(h) % mixing.BUCKETS for h in common.mix(next(common.document_chunks(pa.array([t]), lower=True))[2].hashes)) for _, t in sorted(texts)]
+    dense = np.zeros((len(rows), mixing.BUCKETS))
+    for i, bag in enumerate(rows):
+        for bucket, n in bag.items():
+            dense[i, bucket] = np.float32(np.sqrt(n))
+    rare = np.log((1 + len(rows)) / (1 + (dense > 0).sum(axis=0)))
+    dense *= rare
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    centres = dense[:1]
+    while len(centres) < mixing.TOPICS:
+        centres = np.concatenate((centres, dense[(dense @ centres.T).max(axis=1).argmin()][None]))
+    for _ in range(mixing.ITERATIONS):
+        own = (dense @ centres.T).argmax(axis=1)
+        centres = np.stack([dense[own == c].sum(axis=0) for c in range(mixing.TOPICS)])
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    return centres * rare
+
+
+def test_topics_come_from_all_documents(spark):
+    """More documents than any sample held: centres, and thereby topics, equal k-means over all of them, in any order of rows."""
+    rng = random.Random(8)
+    words = [[f"{s}{i}" for i in range(60)] for s in "abcdefghijk"]  # more groups than topics
+    rows = [(i, " ".join(rng.choice(words[i % 11 if i % 3 else i % 5]) for _ in range(12))) for i in range(6000)] + [(7000, ""), (7001, None), (7002, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r.doc_id: r.p for r in docs.selectExpr("doc_id", "xxhash64(text) p").collect()}
+    want = plain_topics([(prints[i], t) for i, t in rows[:6000]])
+    got = mixing.topic_model(docs.repartition(13, "doc_id"), "text")
+    assert np.abs(got - want).max() < 1e-4
+    assert (got == mixing.topic_model(docs.orderBy(F.desc("doc_id")), "text")).all()
