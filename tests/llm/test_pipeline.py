@@ -1,10 +1,15 @@
 """The pipeline's stages hold what they promise, each on its own input."""
 
 import hashlib
+import random
+
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvina.llm import minhash, pii, rules
-from corvina.llm.common import materialise
+from corvina.llm import minhash, mixing, pii, rules
+from corvina.llm.common import document_chunks, materialise
+from tests.llm.test_operators import plain_topics
 from tests.llm.test_pii import brute
 
 
@@ -62,3 +67,22 @@ def test_whole_run_on_odd_rows(spark, sf_dir, tmp_path):
     assert got and set(went) <= came and len(went) == len(set(went))
     assert not {90_001, 90_002} & {i for i, _ in went} and all(r.n_tokens == len(r.ids) for r in got)
     assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_mixing_stage_draws_by_topics_of_all_documents(spark):
+    """More documents than any sample held: the stage keeps what topics found on all of them in memory would keep."""
+    rng = random.Random(9)
+    words, shared = [[f"{s}{i}" for i in range(60)] for s in "abcdefghijk"], [f"z{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(shared if rng.random() < 0.6 else words[i % 11]) for _ in range(8 + i % 9)), "en", "web" if i % 4 else "news") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    marks = {r.doc_id: (r.p, r.u) for r in docs.select("doc_id", F.xxhash64("text").alias("p"), mixing.uniform(F.col("doc_id")).alias("u")).collect()}
+    centres = plain_topics([(marks[i][0], text) for i, text, *_ in rows])
+    stratum, cells = {}, {}
+    for a, b, found in document_chunks(pa.array([r[1] for r in rows]), lower=True):
+        for i, topic in zip(range(a, b), mixing.nearest(*mixing.bags(found), centres), strict=True):
+            stratum[i] = (rows[i][3], "en", f"topic {topic}")
+            cells[stratum[i]] = cells.get(stratum[i], 0.0) + len(rows[i][1].split())
+    raked = mixing.rake(spark.createDataFrame([(*k, n) for k, n in cells.items()], "source string, lang string, topic string, tokens double"), None, mixing.BUDGET)
+    keep = {(r.source, r.lang, r.topic): r.weight / r.tokens for r in raked.collect()}
+    want = {i for i in stratum if marks[i][1] < keep[stratum[i]]}
+    assert {r.doc_id for r in corpus_pipeline.mix(spark, docs, "").collect()} == want
