@@ -1,6 +1,7 @@
 """Main-text extraction by wrappers: union-free regular expressions inferred from the pages of one host.
 
-The pages of a host are aligned into one wrapper, whose text slots count on how many pages each text stands.
+The pages of a host are aligned into one wrapper. On how many pages each text stands in each of its text slots is counted
+in tables beside it.
 A text that recurs at its place in the wrapper is template, one that varies is what a page says.
 """
 
@@ -14,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from hashlib import blake2b
+from itertools import count
 
 import pandas as pd
 import pyarrow as pa
@@ -131,13 +133,12 @@ def events(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
 
 # A wrapper is a list of nodes. A string is an element: its start, or '<x' and '>x' for container x. A list whose
 # first item is '+' is a repeated group, with its nodes. Any other list is a text slot: '#' and its path, the pages that
-# have it, and of those the number with each text (by block_hash). What fewer pages have than the wrapper is optional.
+# have it, and its members: on a page the texts (by block_hash), in a wrapper the slots of layouts that it joins, as
+# [layout, number]. What fewer pages have than the wrapper is optional.
 
-#: Texts of a slot that are counted; beyond it, those on the fewest pages are no longer followed.
-TEXTS = 4_096
-#: Nodes of a wrapper; beyond it, slots that only one page has had so far are left out. Their texts stay data.
+#: Nodes of a wrapper that takes more pages; a host that needs more has several wrappers, whose counts are added by text.
 NODES = 20_000
-#: Comparisons that an alignment may take in one piece; longer ones are first cut at tokens that both sides have once.
+#: Comparisons that an alignment may take in one piece; longer ones are first cut at tokens that both sides have.
 CELLS = 250_000
 
 
@@ -155,13 +156,8 @@ def combine(a, b, one_page: bool):
     if a[0] == "+":
         return ["+", [combine(x, y, one_page) for x, y in zip(a[1], b[1], strict=True)]]
     if one_page:
-        return [a[0], 1, a[2] | b[2]]
-    texts = dict(a[2])
-    for h, n in b[2].items():
-        texts[h] = texts.get(h, 0) + n
-    if len(texts) > TEXTS:
-        texts = dict(sorted(texts.items(), key=lambda x: (-x[1], x[0]))[:TEXTS])
-    return [a[0], a[1] + b[1], texts]
+        return [a[0], 1, list(dict.fromkeys(a[2] + b[2]))]
+    return [a[0], a[1] + b[1], a[2] + b[2]]
 
 
 def fold(nodes: list) -> list:
@@ -191,7 +187,7 @@ def skeleton(page: str) -> list:
         if path is None:
             out.append(what)
         elif what.strip():
-            slot = ["#" + path, 1, {str(block_hash(path, what)): 1}]
+            slot = ["#" + path, 1, [block_hash(path, what)]]
             if out and key(out[-1]) == slot[0]:
                 out[-1] = combine(out[-1], slot, True)
             else:
@@ -199,14 +195,26 @@ def skeleton(page: str) -> list:
     return fold(out)
 
 
-def opcodes(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
-    """How a becomes b, as difflib tells it; long inputs are cut at what stands once in either, in common order."""
-    if len(a) * len(b) <= CELLS:
-        return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+def _marks(a: list, b: list) -> list[tuple[int, int]]:
+    """The longest run of places, ascending on both sides, of what stands once in either; without such, of equal occurrences.
+
+    It is empty only where the sides have nothing in common.
+    """
     once_a, once_b = Counter(a), Counter(b)
     place = {k: j for j, k in enumerate(b) if once_b[k] == 1}
     marks = [(i, place[k]) for i, k in enumerate(a) if once_a[k] == 1 and k in place]
-    tails: list[int] = []  # the longest run of marks that ascends on both sides
+    if not marks:
+        seen: Counter = Counter()
+        place = {}
+        for j, k in enumerate(b):
+            place[k, seen[k]] = j
+            seen[k] += 1
+        seen = Counter()
+        for i, k in enumerate(a):
+            if (k, seen[k]) in place:
+                marks.append((i, place[k, seen[k]]))
+            seen[k] += 1
+    tails: list[int] = []
     last, before = [], [-1] * len(marks)
     for m, (_, j) in enumerate(marks):
         at = bisect_left(tails, j)
@@ -216,22 +224,34 @@ def opcodes(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
     while m >= 0:
         chain.append(marks[m])
         m = before[m]
-    out, x, y = [], 0, 0
-    for i, j in [*reversed(chain), (len(a), len(b))]:
-        if (i - x) * (j - y) <= CELLS:
-            out += [(op, x + p, x + q, y + r, y + t) for op, p, q, r, t in SequenceMatcher(None, a[x:i], b[y:j], autojunk=False).get_opcodes()]
+    return chain[::-1]
+
+
+def opcodes(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
+    """How a becomes b, as difflib tells it; long inputs are cut at marks until the pieces are short or have nothing in common."""
+    out = []
+    todo: list[tuple[int, int, int, int | None]] = [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        if m is None:
+            out.append(("equal", i, j, k, k + 1))
+        elif (j - i) * (m - k) <= CELLS:
+            out += [(op, i + p, i + q, k + r, k + t) for op, p, q, r, t in SequenceMatcher(None, a[i:j], b[k:m], autojunk=False).get_opcodes()]
+        elif marks := _marks(a[i:j], b[k:m]):
+            pieces, x, y = [], i, k
+            for p, q in marks:
+                pieces += [(x, i + p, y, k + q), (i + p, i + p + 1, k + q, None)]
+                x, y = i + p + 1, k + q + 1
+            todo += reversed([*pieces, (x, j, y, m)])
         else:
-            out.append(("replace", x, i, y, j))
-        if i < len(a):
-            out.append(("equal", i, i + 1, j, j + 1))
-        x, y = i + 1, j + 1
+            out.append(("replace", i, j, k, m))
     return out
 
 
 def align(a: list, b: list) -> list:
     """A wrapper for all that a or b matches.
 
-    Texts at one place are one slot, which counts on how many pages each stands. Mismatches, and what only one side
+    Texts at one place are one slot. Mismatches, and what only one side
     has, become optional: they stand one after the other. Where a repeated group stands against anything else, the
     alignment goes on inside it, and the result repeats.
     """
@@ -248,7 +268,7 @@ def align(a: list, b: list) -> list:
             out.append(["+", align(x, y)])
         else:
             out += left + right
-    return out if len(out) < NODES else [n for n in out if isinstance(n, str) or max((s[1] for s in slots([n])), default=0) > 1]
+    return out
 
 
 def slots(nodes: list) -> Iterator[list]:
@@ -262,11 +282,6 @@ def slots(nodes: list) -> Iterator[list]:
 MIN_PAGES, REPEATED = 3, 0.5
 
 
-def template(wrapper: list) -> set[str]:
-    """Hashes of the texts that are template: at their place in the wrapper they recur, while data vary."""
-    return {h for _, pages, texts in slots(wrapper) for h, n in texts.items() if n >= MIN_PAGES and n >= REPEATED * pages}
-
-
 def _marks_furniture(token: str, inside: bool) -> bool:
     """Whether a class says furniture: as a whole, or by its first word, or outside an article by any word."""
     if token in FURNITURE_WORDS:
@@ -385,8 +400,8 @@ def main_text(page: str, fixed: set[int]) -> str:
     return " ".join("".join(text for _, text in kept).split())
 
 
-LEVEL = "host string, layout long, wrapper string"
-READ = "host string, main long, layout long, wrapper string"
+READ = "host string, main long, layout long, shape string, texts array<array<long>>"
+LEVEL = "host string, id long, weight long, open boolean, wrapper string"
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,48 +409,116 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages = [t.as_py() or "" for t in batch.column(1)]
         made = [skeleton(p) for p in pages]
         main = [_hash(main_text(p, set())) for p in pages]
-        layouts = [_hash(repr([key(n) for n in nodes])) for nodes in made]
-        texts = [json.dumps(nodes, ensure_ascii=False) for nodes in made]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(main, pa.int64()), pa.array(layouts, pa.int64()), pa.array(texts, pa.string())], ["host", "main", "layout", "wrapper"])
+        shapes = [json.dumps([key(n) for n in nodes]) for nodes in made]
+        layouts = [_hash(shape) for shape in shapes]
+        texts = [[s[2] for s in slots(nodes)] for nodes in made]
+        columns = [batch.column(0), pa.array(main, pa.int64()), pa.array(layouts, pa.int64()), pa.array(shapes, pa.string()), pa.array(texts, pa.list_(pa.list_(pa.int64())))]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "main", "layout", "shape", "texts"])
+
+
+def _built(keys: list, layout: int, pages: int, number: Iterator[int]) -> list:
+    """A layout's wrapper from its keys."""
+    out: list = []
+    for k in keys:
+        if isinstance(k, str):
+            out.append([k, pages, [[layout, next(number)]]] if k[0] == "#" else k)
+        else:
+            out.append(["+", _built(k[1], layout, pages, number)])
+    return out
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        made = [json.dumps(_built(json.loads(shape), layout, pages, count())) for _, layout, pages, shape in rows]
+        columns = [*batch.columns[:3], pa.array([True] * len(made)), pa.array(made, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "id", "weight", "open", "wrapper"])
+
+
+def _size(nodes: list) -> int:
+    return sum(1 if isinstance(n, str) or n[0] != "+" else _size(n[1]) for n in nodes)
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One wrapper of a group's: layouts of many pages first."""
-    out: list | None = None
-    weight = lambda nodes: max((s[1] for s in slots(nodes)), default=0)
-    for _, nodes in sorted(((t, json.loads(t)) for t in pdf["wrapper"]), key=lambda x: (-weight(x[1]), x[0])):
-        out = nodes if out is None else align(out, nodes)
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "layout": [pdf["layout"].iloc[0]], "wrapper": [json.dumps(out, ensure_ascii=False)]})
+    """The wrappers of a group as one, layouts of many pages first, and which slots went into which.
+
+    Where it would have more than NODES nodes it is closed, and a further one begins.
+    """
+    made = []
+
+    def give(out: list, first: int, still: bool) -> None:
+        moves = []
+        for slot in slots(out):
+            moves += [[*member, *slot[2][0]] for member in slot[2][1:]]
+            slot[2] = slot[2][:1]
+        made.append((pdf["host"].iloc[0], first, max((s[1] for s in slots(out)), default=0), still, json.dumps(out), moves))
+
+    out, first = None, 0
+    for row in pdf.sort_values(["weight", "id"], ascending=[False, True]).itertuples():
+        nodes = json.loads(row.wrapper)
+        both = nodes if out is None else align(out, nodes)
+        if out is not None and _size(both) > NODES:
+            give(out, first, False)
+            both, out = nodes, None
+        first = int(row.id) if out is None else first
+        out = both
+    give(out, first, True)
+    return pd.DataFrame(made, columns=["host", "id", "weight", "open", "wrapper", "moves"])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(h, *s[2][0], s[1]) for h, w in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True) for s in slots(json.loads(w))]
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "layout", "slot", "pages"])
 
 
 #: Wrappers that one task aligns before their result goes to the next round.
 ALIGN = 64
 
 
-def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, layout, wrapper) from (host, html), one row a host: first pages of one layout are aligned, then layouts.
+def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, fixed) from (host, html): hashes of the texts that are template, those that recur at their place in the wrapper.
 
-    Pages of one main text, such as mirrors and print versions, count once: one of them takes part. In each round wrappers are dealt into groups of about ALIGN, so a host with many pages,
-    or many layouts, takes more rounds but no larger group.
+    Pages of one main text, such as mirrors and print versions, count once: one of them takes part. Pages of one layout share
+    their slots; layouts are aligned in rounds, dealt into groups of about ALIGN, so a host with many layouts takes more
+    rounds but no larger group. Wrappers hold no texts. How many pages have a text in a slot is counted over all pages, and
+    the counts follow their slots into those that they are joined with. Where NODES keeps wrappers of a host apart, a text's
+    pages are also added over all slots that have it.
     """
-    one = pages.mapInArrow(_skeletons, READ).groupBy("host", "main").agg(F.min(F.struct("layout", "wrapper")).alias("x"))
-    level = scratch.keep(one.select("host", "x.layout", "x.wrapper"))
-    for by in (["host", "layout"], ["host"]):
-        while True:
-            counts = scratch.keep(level.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"))
-            if counts.isEmpty():
-                break
-            several = level.join(counts, by).withColumn("deal", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / ALIGN)))
-            alone = level.join(counts.select(*by), by, "left_anti")
-            merged = several.select("host", "layout", "wrapper", "deal").groupBy(*by, "deal").applyInPandas(_merge, LEVEL)
-            level = scratch.keep(merged.union(alone.select("host", "layout", "wrapper")))
-    return level
-
-
-def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [sorted(map(int, template(json.loads(w.as_py())))) for w in batch.column("wrapper")]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.list_(pa.int64()))], ["host", "fixed"])
+    one = pages.mapInArrow(_skeletons, READ).groupBy("host", "main").agg(F.min(F.struct("layout", "shape", "texts")).alias("x"))
+    once = scratch.keep(one.select("host", "x.*"))
+    place = ["host", "layout", "slot"]
+    found = once.select("host", "layout", F.posexplode("texts").alias("slot", "texts")).select("host", "layout", F.col("slot").cast("long").alias("slot"), F.explode("texts").alias("text"))
+    texts = found.groupBy(*place, "text").agg(F.count("*").alias("n"))
+    shapes = once.groupBy("host", "layout").agg(F.count("*").alias("pages"), F.min("shape").alias("shape"))
+    level = scratch.keep(shapes.mapInArrow(_opened, LEVEL))
+    ends = None
+    while True:
+        several = scratch.keep(level.where("open").groupBy("host").agg(F.count("*").alias("n")).where("n > 1"))
+        if several.isEmpty():
+            break
+        known = level.join(several, "host", "left")
+        dealt = known.where("open and n > 1").withColumn("deal", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / ALIGN)))
+        merged = scratch.keep(dealt.groupBy("host", "deal").applyInPandas(_merge, LEVEL + ", moves array<array<long>>"))
+        level = scratch.keep(merged.drop("moves").union(known.where("n is null or not open").drop("n")))
+        moved = merged.select("host", F.explode("moves").alias("m")).select("host", *[F.col("m")[i].alias(c) for i, c in enumerate(("layout", "slot", "to_layout", "to_slot"))])
+        if ends is not None:
+            on = moved.select("host", F.col("layout").alias("to_layout"), F.col("slot").alias("to_slot"), F.col("to_layout").alias("l"), F.col("to_slot").alias("s"))
+            onward = ends.join(on, ["host", "to_layout", "to_slot"], "left")
+            moved = moved.union(onward.select(*place, F.coalesce("l", "to_layout"), F.coalesce("s", "to_slot")))
+        ends = scratch.keep(moved)
+    if ends is not None:
+        at = texts.join(ends, place, "left").select("host", F.coalesce("to_layout", "layout").alias("layout"), F.coalesce("to_slot", "slot").alias("slot"), "text", "n")
+        texts = at.groupBy(*place, "text").agg(F.sum("n").alias("n"))
+    recurs = f"n >= {MIN_PAGES} and n >= {REPEATED} * pages"
+    places = level.mapInArrow(_places, "host string, layout long, slot long, pages long")
+    fixed = texts.where(f"n >= {MIN_PAGES}").join(places, place).where(recurs).select("host", "text")
+    apart = scratch.keep(level.groupBy("host").agg(F.count("*").alias("wrappers")).where("wrappers > 1"))
+    if not apart.isEmpty():
+        spread = texts.join(apart.select("host"), "host", "left_semi").join(places, place)
+        fixed = fixed.union(spread.groupBy("host", "text").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages")).where(recurs).select("host", "text"))
+    return fixed.groupBy("host").agg(F.sort_array(F.collect_set("text")).alias("fixed"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,8 +545,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     scratch = Scratch(pages.sparkSession)
     host, _ = host_and_path(F.col(url_col))
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    fixed = wrappers(named.select("host", "html"), scratch).mapInArrow(_templates, "host string, fixed array<long>")
-    keep = materialise(fixed.where(F.size("fixed") > 0))
+    keep = materialise(templates(named.select("host", "html"), scratch))
     scratch.release()
     texts = named.join(keep, "host", "left").select("page_id", "url", "html", "fixed").mapInArrow(_extract, "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -1,5 +1,9 @@
 """What the wrapper may take from a page, and what it must leave."""
 
+import json
+
+import pandas as pd
+
 from corvina.llm import html
 
 
@@ -46,3 +50,34 @@ def test_odd_rows(spark):
     rows = [(None, None, None), (1, "", ""), (1, "http://h/", "<article>x"), (1, "http://h/", "<article>x")]
     docs = spark.createDataFrame([(*r, "z", 5) for r in rows], "page_id long, url string, html string, text string, host int")
     assert sorted(r.text for r in html.extract(docs).collect()) == ["", "", "x", "x"]
+
+
+def test_texts_count_on_every_page(spark):
+    """A text on exactly half of the pages is template, though one of them is among thousands of texts that stand once."""
+    path = "body/div.x"
+    tip = next(t for t in (f"Tip {i}" for i in range(1000)) if str(html.block_hash(path, t)).startswith("99"))
+    page = lambda i, text, more: f"<body><div class=x>{text}</div><div class=y>Report {i}</div>{more}</body>"
+    rows = [(i, f"http://h/{i}", page(i, f"Note {i}" if i else tip, "")) for i in range(4501)]
+    rows += [(i, f"http://h/{i}", page(i, tip, "<section>z</section>")) for i in range(4501, 9000)]
+    got = texts(spark, rows)
+    assert got[0] == "Report 0" and got[1] == "Note 1 Report 1" and got[8999] == "Report 8999"
+
+
+def test_wrappers_that_stay_apart_lose_no_slot(monkeypatch):
+    nodes = [html._built(json.loads(json.dumps([html.key(n) for n in html.skeleton(f"<body><div class={c * 3}>a</div><p>b</body>")])), i, 1, iter(range(9))) for i, c in enumerate("pqrs")]
+    assert all(html._size(n) == 7 for n in nodes)
+    pdf = pd.DataFrame([("h", i, 1, True, json.dumps(n)) for i, n in enumerate(nodes)], columns=["host", "id", "weight", "open", "wrapper"])
+    for limit, parts in ((100, 1), (12, 2), (7, 4)):
+        monkeypatch.setattr(html, "NODES", limit)
+        made = html._merge(pdf)
+        kept = [tuple(s[2][0]) for w in made["wrapper"] for s in html.slots(json.loads(w))]
+        gone = [tuple(m[:2]) for moves in made["moves"] for m in moves]
+        assert len(made) == parts and list(made["open"]) == [False] * (parts - 1) + [True]
+        assert sorted(kept + gone) == [(i, j) for i in range(4) for j in range(2)]
+
+
+def test_long_pieces_without_marks_are_aligned():
+    a, b = ["p", "q", "r"] * 600, ["x"] + ["p", "q", "r"] * 600
+    ops = html.opcodes(a, b)
+    assert sum(j - i for op, i, j, _, _ in ops if op == "equal") >= 1790
+    assert html.opcodes(["p"] * 900, ["x"] * 900) == [("replace", 0, 900, 0, 900)]
