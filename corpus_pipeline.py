@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared
 folder and hands what it rereads to the next one. All but the last keep the columns of `documents`.
+Stages with Python workers set the session to hand them rows in small batches; it stays so, as run() writes their rows later.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm import bpe, minhash, mixing, pii, rules
-from corvina.llm.common import bitmap, flagged, materialise
+from corvina.llm.common import bitmap, flagged, materialise, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +25,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id stay. Rows that repeat an id and a text count once; different texts under one id both
     stay if it is their group's smallest. Only rows that may go, or be repeated, are shuffled.
     """
+    small_batches(spark)
     found = minhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("stays"), F.count("*").alias("rows"))
     touched = materialise(found.where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("stays").alias("_stays")))
     row = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
@@ -41,11 +43,13 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn so that tokens approach the target margins."""
+    small_batches(spark)
     return mixing.sample(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their number, and the digest of the bytes that they decode to."""
+    small_batches(spark)
     return bpe.encode(docs, decoded=True).withColumn("n_tokens", F.size("ids").cast("long"))
 
 

@@ -57,6 +57,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).keep(df)
 
 
+#: Bytes of rows that go to a Python worker at once; a longer row goes alone.
+BATCH = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to the session's Python workers by about BATCH bytes, not by Spark's 10,000 rows or 64 MB.
+
+    The operators take texts one after the other or by CHUNK bytes, so a longer batch only costs memory: of the executor, where
+    it is built and written, and of the worker. Which rows come, and how many, stays the same.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 #: Bits of a filter over ids: 4 MB, whatever the number of ids. With more ids more rows pass that need not.
 FILTER_BITS = 1 << 25
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvina.llm import minhash, mixing, pii, rules
-from corvina.llm.common import document_chunks, materialise
+from corvina.llm.common import BATCH, document_chunks, materialise
 from tests.llm.test_operators import plain_topics
 from tests.llm.test_pii import brute
 
@@ -86,3 +86,24 @@ def test_mixing_stage_draws_by_topics_of_all_documents(spark):
     keep = {(r.source, r.lang, r.topic): r.weight / r.tokens for r in raked.collect()}
     want = {i for i in stratum if marks[i][1] < keep[stratum[i]]}
     assert {r.doc_id for r in corpus_pipeline.mix(spark, docs, "").collect()} == want
+
+
+def test_stages_hand_texts_to_workers_in_small_batches(spark, monkeypatch):
+    """A task's texts reach its worker by BATCH bytes, not all at once, and every row comes."""
+    key, texts = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 3000, 1, 1).selectExpr("id", "repeat(concat('word', id, ' '), 1000) as text")
+    given, few = spark.conf.get(key), texts.selectExpr("id as doc_id", "text", "'en' as lang", "'web' as source", "length(text) as n_chars").limit(3)
+    monkeypatch.setattr(minhash, "near_duplicates", lambda docs: docs.selectExpr("doc_id", "true as kept"))
+    monkeypatch.setattr(mixing, "sample", lambda docs: docs)
+
+    def measure(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    try:
+        for stage in (corpus_pipeline.dedup, corpus_pipeline.mix, corpus_pipeline.encode):
+            spark.conf.set(key, given)
+            assert stage(spark, few, "").count() == 3
+            rows, most = texts.mapInArrow(measure, "rows long, bytes long").agg(F.sum("rows"), F.max("bytes")).first()
+            assert rows == 3000 and most < 1.1 * BATCH
+    finally:
+        spark.conf.set(key, given)
