@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvina.llm.common import CHUNK, Scratch, Words, document_chunks, materialise, mix as scramble
+from corvina.llm.common import Scratch, Words, document_chunks, materialise, mix as scramble
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default target shares are the margins of the strata's tokens to this power: large strata give way to small ones.
@@ -26,58 +26,92 @@ SEED = 20240131
 TOPICS, BUCKETS, ITERATIONS, UNIT = 8, 1 << 12, 12, 1 << 30
 
 
-def bags(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse word vectors of a chunk's documents: first positions, buckets, square roots of counts."""
+def _counted(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.diff(words.docs)
     owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
     at, times = np.unique(owner * np.uint64(BUCKETS) + scramble(words.hashes) % np.uint64(BUCKETS), return_counts=True)
     home = at // np.uint64(BUCKETS)
-    return np.searchsorted(home, np.arange(len(n) + 1)), (at % np.uint64(BUCKETS)).astype(np.int64), np.sqrt(times)
+    return np.searchsorted(home, np.arange(len(n) + 1)), (at % np.uint64(BUCKETS)).astype(np.int64), times
+
+
+def bags(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse word vectors of a chunk's documents: first positions, buckets, square roots of counts."""
+    first, bucket, times = _counted(words)
+    return first, bucket, np.sqrt(times)
+
+
+def _by_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of each document's values; 0 without values."""
+    out, some = np.zeros(len(first) - 1), np.diff(first) > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, first[:-1][some])
+    return out
+
+
+def likeness(first: np.ndarray, bucket: np.ndarray, value: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Inner products, centres by documents."""
+    return np.stack([_by_document(c.take(bucket) * value, first) for c in centres])
 
 
 def nearest(first: np.ndarray, bucket: np.ndarray, value: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The number of each document's topic; -1 where it has no words."""
-    if not len(bucket):
-        return np.full(len(first) - 1, -1)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    scores = np.stack([np.bincount(row, weights=c[bucket] * value, minlength=len(first) - 1) for c in centres])
-    return np.where(np.diff(first) > 0, scores.argmax(axis=0), -1)
+    return np.where(np.diff(first) > 0, likeness(first, bucket, value, centres).argmax(axis=0), -1)
+
+
+#: An item of a stored word vector is 16 bits: the bucket, and above it the count. From OFTEN on the count stands in a column of its own.
+SHIFT = BUCKETS.bit_length() - 1
+OFTEN = (1 << 16 - SHIFT) - 1
+ROOTS = np.sqrt(np.arange(OFTEN + 1))
+#: Items that are weighed at once.
+PIECE = 1 << 16
+
 
+def _binary(items: np.ndarray, first: np.ndarray) -> pa.Array:
+    ends = pa.py_buffer((first * items.itemsize).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, ends, pa.py_buffer(items.tobytes())])
 
-#: An item of a stored word vector.
-ITEM = np.dtype([("bucket", "<u2"), ("value", "<f4")])
 
+def counted_text(text: Column) -> Column:
+    """(tokens, bag, often) of a text: its words, its stored word vector and that one's large counts. A null text reads as empty."""
 
-def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, words in document_chunks(batch.column(1), lower=True):
-            first, bucket, value = bags(words)
-            items = np.empty(len(bucket), dtype=ITEM)
-            items["bucket"], items["value"] = bucket, value
-            ends = pa.py_buffer((first * ITEM.itemsize).astype(np.int32).tobytes())
-            packed = pa.Array.from_buffers(pa.binary(), b - a, [None, ends, pa.py_buffer(items.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), packed], ["print", "bag"])
+    def run(column: pa.Array) -> pa.Array:
+        kind = pa.struct([("tokens", pa.float64()), ("bag", pa.binary()), ("often", pa.binary())])
+        out = [pa.array([], kind)]
+        for _, _, words in document_chunks(column, lower=True):
+            first, bucket, times = _counted(words)
+            many = np.flatnonzero(times >= OFTEN)
+            code = (bucket | np.minimum(times, OFTEN) << SHIFT).astype("<u2")
+            columns = [pa.array(np.diff(words.docs).astype(np.float64)), _binary(code, first), _binary(times[many].astype("<u4"), np.searchsorted(many, first))]
+            out.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
+        return pa.concat_arrays(out)
+
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}  # types themselves, not their names
+    return F.arrow_udf(run, "struct<tokens:double,bag:binary,often:binary>")(text)
 
 
-def vectors(batch: pa.RecordBatch, rare: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Unit vectors of stored bags, in pieces of about CHUNK items: first document, and of each item document, bucket, weight."""
-    column = batch.column(1).cast(pa.large_binary())
+def _items(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] // ITEM.itemsize
-    start = 0
-    while start < len(column):
-        end = max(start + 1, int(np.searchsorted(off, off[start] + CHUNK, side="right")) - 1)
-        items = np.frombuffer(data, dtype=ITEM, count=int(off[end] - off[start]), offset=int(off[start]) * ITEM.itemsize)
-        row, bucket = np.repeat(np.arange(end - start), np.diff(off[start : end + 1])), items["bucket"].astype(np.int64)
-        weight = items["value"] * rare[bucket]
-        size = np.sqrt(np.bincount(row, weights=weight * weight, minlength=end - start))
-        yield start, row, bucket, weight / np.maximum(size, 1e-9)[row]
-        start = end
+    size = np.dtype(kind).itemsize
+    off = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    items = np.frombuffer(data, dtype=kind, count=int(off[-1] - off[0]) // size, offset=int(off[0])) if data is not None else np.zeros(0, dtype=kind)
+    return items, (off - off[0]) // size
 
 
-def likeness(row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Inner products, centres by documents."""
-    return np.stack([np.bincount(row, weights=c[bucket] * weight) for c in centres])
+def pieces(bag: pa.Array, often: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Stored bags in pieces of about PIECE items: first document, first positions, buckets, square roots of counts."""
+    if not len(bag):
+        return
+    (codes, off), (counts, more) = _items(bag, "<u2"), _items(often, "<u4")
+    start = 0
+    while start < len(bag):
+        end = min(len(bag), max(start + 1, int(np.searchsorted(off, off[start] + PIECE, side="right")) - 1))
+        code = codes[off[start] : off[end]]
+        times = code >> SHIFT
+        value = ROOTS.take(times)
+        value[times == OFTEN] = np.sqrt(counts[more[start] : more[end]])
+        yield start, off[start : end + 1] - off[start], (code & (BUCKETS - 1)).astype(np.int64), value
+        start = end
 
 
 def _rarity(bags: DataFrame) -> tuple[int, np.ndarray]:
@@ -87,9 +121,10 @@ def _rarity(bags: DataFrame) -> tuple[int, np.ndarray]:
         seen, documents = np.zeros(BUCKETS, dtype=np.int64), 0
         for batch in batches:
             documents += batch.num_rows
-            for _, _, bucket, _ in vectors(batch, np.ones(BUCKETS)):
+            for _, _, bucket, _ in pieces(batch["bag"], batch["often"]):
                 seen += np.bincount(bucket, minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS), pa.int32()), pa.array(np.append(documents, seen))], ["bucket", "n"])
+        if documents:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, BUCKETS), pa.int32()), pa.array(np.append(documents, seen))], ["bucket", "n"])
 
     n = np.zeros(BUCKETS + 1, dtype=np.int64)
     table = bags.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -97,24 +132,34 @@ def _rarity(bags: DataFrame) -> tuple[int, np.ndarray]:
     return int(n[-1]), np.log((1 + n[-1]) / (1 + n[:-1]))
 
 
+def _size(first: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return np.maximum(np.sqrt(_by_document(weight * weight, first)), 1e-9)
+
+
 def _farthest(bags: DataFrame, rare: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The vector of the document that is least like any centre; of several, the one with the smallest hash."""
 
     def run(batches):
         best = None
         for batch in batches:
-            prints = np.asarray(batch.column(0))
-            for start, row, bucket, weight in vectors(batch, rare):
-                near = likeness(row, bucket, weight, centres).max(axis=0) if len(centres) else np.zeros(row[-1] + 1)
+            prints = np.asarray(batch["print"])
+            for start, first, bucket, value in pieces(batch["bag"], batch["often"]):
+                weight = value * rare.take(bucket)
+                near = likeness(first, bucket, weight, centres).max(axis=0) / _size(first, weight)
                 at = np.lexsort((prints[start : start + len(near)], near))[0]
-                found = float(near[at]), int(prints[start + at]), batch.column(1)[start + int(at)].as_py()
+                found = float(near[at]), *(batch[c][start + int(at)].as_py() for c in ("print", "bag", "often"))
                 best = found if best is None else min(best, found)
         if best:
-            yield pa.RecordBatch.from_pylist([dict(zip(("near", "print", "bag"), best, strict=True))])
+            yield pa.RecordBatch.from_pylist([dict(zip(("near", "print", "bag", "often"), best, strict=True))])
 
-    bag = bags.mapInArrow(run, "near double, print long, bag binary").orderBy("near", "print", "bag").first()["bag"]
-    (_, _, bucket, weight), *_ = vectors(pa.RecordBatch.from_pylist([{"print": 0, "bag": bytes(bag)}]), rare)
-    return np.bincount(bucket, weights=weight, minlength=BUCKETS)
+    if len(centres):
+        bags = bags.mapInArrow(run, "near double, print long, bag binary, often binary")
+    else:  # none is near, so hashes alone tell
+        bags = bags.withColumn("near", F.lit(0.0))
+    found = bags.orderBy("near", "print", "bag", "often").first()
+    (_, first, bucket, value), *_ = pieces(pa.array([bytes(found["bag"])], pa.binary()), pa.array([bytes(found["often"])], pa.binary()))
+    weight = value * rare.take(bucket)
+    return np.bincount(bucket, weights=weight / _size(first, weight), minlength=BUCKETS)
 
 
 def _sums(bags: DataFrame, rare: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -122,27 +167,29 @@ def _sums(bags: DataFrame, rare: np.ndarray, centres: np.ndarray) -> np.ndarray:
     names = [f"t{i}" for i in range(len(centres))]
 
     def run(batches):
-        total = np.zeros(len(centres) * BUCKETS, dtype=np.int64)
+        total, rows = np.zeros(len(centres) * BUCKETS, dtype=np.int64), 0
         for batch in batches:
-            for _, row, bucket, weight in vectors(batch, rare):
-                own = likeness(row, bucket, weight, centres).argmax(axis=0)
-                total += np.bincount(own[row] * BUCKETS + bucket, weights=np.rint(weight * UNIT), minlength=len(total)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS), pa.int32()), *map(pa.array, total.reshape(-1, BUCKETS))], ["bucket", *names])
-
-    table = bags.mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+            rows += batch.num_rows
+            for _, first, bucket, value in pieces(batch["bag"], batch["often"]):
+                weight = value * rare.take(bucket)
+                own = likeness(first, bucket, weight, centres).argmax(axis=0)
+                units = np.rint(weight / np.repeat(_size(first, weight), np.diff(first)) * UNIT)
+                total += np.bincount(np.repeat(own * BUCKETS, np.diff(first)) + bucket, weights=units, minlength=len(total)).astype(np.int64)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS), pa.int32()), *map(pa.array, total.reshape(-1, BUCKETS))], ["bucket", *names])
+
+    table = bags.select("bag", "often").mapInArrow(run, "bucket int, " + ", ".join(f"{n} long" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     return np.stack([np.asarray(c) for c in table.sort_by("bucket").columns[1:]])
 
 
-def topic_model(docs: DataFrame, text_col: str) -> np.ndarray:
+def fit_topics(counted: DataFrame) -> np.ndarray:
     """Cluster centres (TOPICS x BUCKETS, rare words weigh more) of all documents with words: spherical k-means, farthest first.
 
-    Every row counts, repeated ones too. The documents' word vectors are stored once and read in each round; what the driver
-    holds is the centres. The same rows give the same centres, however they lie.
+    Takes a stored table of each text's hash and word vector (print, bag, often), which each round reads. Every row counts,
+    repeated ones too. What the driver holds is the centres. The same rows give the same centres, however they lie.
     """
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.xxhash64(F.col(f"`{text_col}`")).alias("print"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    bags = scratch.keep(texts.mapInArrow(_bag_rows, "print long, bag binary").where("octet_length(bag) > 0"))
-    documents, rare = _rarity(bags)
+    bags = counted.select("print", "bag", "often").where("octet_length(bag) > 0")
+    documents, rare = _rarity(bags.select("bag", "often"))
     centres = np.zeros((0, BUCKETS))
     while len(centres) < min(TOPICS, documents):
         centres = np.concatenate((centres, _farthest(bags, rare, centres)[None]))
@@ -153,24 +200,27 @@ def topic_model(docs: DataFrame, text_col: str) -> np.ndarray:
             break
         last, size = sums, np.linalg.norm(sums.astype(float), axis=1, keepdims=True)
         centres = np.where(size > 0, sums / np.maximum(size, 1), centres)
-    scratch.release()
     return centres * rare if documents else np.zeros((1, BUCKETS))
 
 
-def measured_text(text: Column, centres: np.ndarray) -> Column:
-    """(tokens, topic) of a text: its words, and its topic's name, `none` without words. A null text reads as empty."""
+def topic_model(docs: DataFrame, text_col: str) -> np.ndarray:
+    """fit_topics of the documents' texts."""
+    scratch = Scratch(docs.sparkSession)
+    text = F.col(f"`{text_col}`")
+    centres = fit_topics(scratch.keep(docs.select(F.xxhash64(text).alias("print"), counted_text(text).alias("about")).select("print", "about.bag", "about.often")))
+    scratch.release()
+    return centres
 
-    def run(column: pa.Array) -> pa.Array:
-        counts, names = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for _, _, words in document_chunks(column, lower=True):
-            counts.append(np.diff(words.docs))
-            names.append(nearest(*bags(words), centres))
-        labels = pa.array(["none", *[f"topic {i}" for i in range(TOPICS)]])
-        topic = labels.take(pa.array(np.concatenate(names) + 1))
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(counts).astype(np.float64)), topic], ["tokens", "topic"])
 
-    run.__annotations__ = {"column": pa.Array, "return": pa.Array}  # types themselves, not their names
-    return F.arrow_udf(run, "struct<tokens:double,topic:string>")(text)
+def topic_name(centres: np.ndarray) -> Column:
+    """The name of the topic of a stored word vector (bag, often), `none` without words."""
+
+    def run(bag: pa.Array, often: pa.Array) -> pa.Array:
+        topics = [np.zeros(0, dtype=np.int64), *(nearest(first, bucket, value, centres) for _, first, bucket, value in pieces(bag, often))]
+        return pa.array(["none", *[f"topic {i}" for i in range(TOPICS)]]).take(pa.array(np.concatenate(topics) + 1))
+
+    run.__annotations__ = {"bag": pa.Array, "often": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")("bag", "often")
 
 
 def fill(margin: DataFrame, whole: float) -> DataFrame:
@@ -243,26 +293,30 @@ def uniform(key: Column, seed: int = SEED) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(2**53))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None, columns: list[str] | None = None) -> DataFrame:
     """(row, source, lang, topic, tokens, keep, drawn): each document's probability, and whether it is drawn.
 
-    A null source or language is a stratum of its own, `(none)`. Documents without words have no weight
-    and are kept. A draw depends on the id alone, so repeated rows, and all rows without an id, share their fate
-    within a stratum. Texts are read whole. The strata are
-    counted over all documents; the planner broadcasts their table only where its size allows, and
+    `row` holds the given columns, all without a choice. A null source or language is a stratum of its own, `(none)`. Documents
+    without words have no weight and are kept. A draw depends on the id alone, so repeated rows, and all rows without an id, share
+    their fate within a stratum. Texts are read whole, and once: rows are stored with their word vectors, on which topics are fitted
+    and told. The strata are counted over all documents; the planner broadcasts their table only where its size allows, and
     splits a hot stratum where it does not.
     """
-    about = measured_text(F.col(f"`{text_col}`"), topic_model(docs, text_col))
-    measured = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.coalesce(F.col("source"), F.lit("(none)")).alias("source"),
-        F.coalesce(F.col("lang"), F.lit("(none)")).alias("lang"),
-        about.alias("about"),
-    ).select("row", "source", "lang", "about.topic", "about.tokens")
+    counted = materialise(
+        docs.select(
+            F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"),
+            uniform(F.col(f"`{id_col}`")).alias("place"),
+            F.coalesce(F.col("source"), F.lit("(none)")).alias("source"),
+            F.coalesce(F.col("lang"), F.lit("(none)")).alias("lang"),
+            F.xxhash64(F.col(f"`{text_col}`")).alias("print"),
+            counted_text(F.col(f"`{text_col}`")).alias("about"),
+        ).select("row", "place", "source", "lang", "print", "about.tokens", "about.bag", "about.often")
+    )
+    measured = counted.withColumn("topic", topic_name(fit_topics(counted))).select("row", "place", *DIMENSIONS, "tokens")
     cells = materialise(measured.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     chances = rake(cells, targets, budget).select(*DIMENSIONS, (F.col("weight") / F.col("tokens")).alias("keep"))
     found = measured.join(chances, list(DIMENSIONS), "left").withColumn("keep", F.coalesce("keep", F.lit(1.0)))
-    return found.select("row", *DIMENSIONS, "tokens", "keep", (uniform(F.col("row")[id_col]) < F.col("keep")).alias("drawn"))
+    return found.select("row", *DIMENSIONS, "tokens", "keep", (F.col("place") < F.col("keep")).alias("drawn"))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
@@ -272,5 +326,5 @@ def sample(docs: DataFrame, **options) -> DataFrame:
 
 def mixing_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Per document: stratum, tokens, probability and draw."""
-    out = mix(docs.select(F.col(id_col).alias("doc_id"), "text", "source", "lang"), **options)
+    out = mix(docs.select(F.col(id_col).alias("doc_id"), "text", "source", "lang"), columns=["doc_id"], **options)
     return out.select("row.doc_id", *DIMENSIONS, F.col("tokens").cast("long").alias("tokens"), F.round("keep", 6).alias("keep"), "drawn")

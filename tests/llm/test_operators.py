@@ -447,3 +447,38 @@ def test_topics_come_from_all_documents(spark):
     got = mixing.topic_model(docs.repartition(13, "doc_id"), "text")
     assert np.abs(got - want).max() < 1e-4
     assert (got == mixing.topic_model(docs.orderBy(F.desc("doc_id")), "text")).all()
+
+
+def test_mixing_reads_each_text_once(spark):
+    """Words are cut once a document; the fit, the strata and the result come from what was stored, which holds texts only if asked for."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    rows = [(i, f"w{i % 7} " * (i % 9) + f"v{i % 31}", "en" if i % 3 else None, "s") for i in range(300)] + [(300, None, "en", "s"), (301, " ", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("text", told("text"))
+    got = {r.doc_id: r for r in mixing.mixing_report(docs).collect()}
+    assert read.value == len(rows) and len(got) == len(rows)
+    assert all(got[i].tokens == len((text or "").split()) for i, text, *_ in rows)
+    assert mixing.mix(docs, columns=["doc_id"]).select("row.*").columns == ["doc_id"]
+
+
+def test_stored_bags_equal_plain_counts(spark):
+    """Counts of any size come back from 16 bits an item, whatever the pieces; texts without words have no items."""
+    texts = ["a b a", None, "", " ".join(f"w{i}" for i in range(9000)), "x " * 14, "x " * 15, "x y " * 70_000 + "z", "\n", "A a B"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    table = docs.select("doc_id", mixing.counted_text(F.col("text")).alias("c")).select("doc_id", "c.*").toArrow().sort_by("doc_id")
+    bag, often = table["bag"].combine_chunks(), table["often"].combine_chunks()
+    assert table["tokens"].to_pylist() == [float(len((t or "").split())) for t in texts]
+    for a, b in ((0, 9), (1, 3), (3, 7), (7, 8), (2, 2)):
+        seen = []
+        for start, first, bucket, value in mixing.pieces(bag.slice(a, b - a), often.slice(a, b - a)):
+            assert start == len(seen)
+            seen += [dict(zip(bucket[x:y].tolist(), value[x:y].tolist(), strict=True)) for x, y in zip(first, first[1:])]
+        want = [Counter(int(h) % mixing.BUCKETS for h in common.mix(next(common.document_chunks(pa.array([t or ""]), lower=True))[2].hashes)) for t in texts[a:b]]
+        assert seen == [{k: np.sqrt(n) for k, n in w.items()} for w in want]
+    assert sum(len(x) for x in bag.to_pylist()) == 2 * sum(len(set((t or "").lower().split())) for t in texts if t != texts[3]) + len(bag[3].as_py())
+    assert {r.topic for r in mixing.mix(docs.where("doc_id in (1, 2, 7)").selectExpr("*", "'s' as source", "'en' as lang")).collect()} == {"none"}
