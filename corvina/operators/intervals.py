@@ -45,8 +45,9 @@ def interval_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str],
 
     An interval lies on the level whose cells are as long as itself, so it touches two of them, or the few that
     rounding adds. It is also entered on the coarser levels that the other side uses. A pair meets on the coarser of
-    its two levels, and of the cells there that both touch, the one that holds the later start owns it: each pair
-    is made once, by an equi-join, whatever the lengths. Cells with many intervals are split as skewed keys.
+    its two levels, so one of them is at home there; of the cells there that both touch, the one that holds the later
+    start owns it: each pair is made once, by an equi-join, whatever the lengths. Cells with many intervals are split
+    as skewed keys.
 
     Rows with a null or NaN end, or a start after the end, overlap nothing; infinite ends are allowed.
     """
@@ -55,11 +56,59 @@ def interval_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str],
     a, b = _placed(left, *left_ends, "a"), _placed(right, *right_ends, "b")
     x, y = _cells(a, "a", _levels(b, "b")), _cells(b, "b", _levels(a, "a"))
     owner = _cell(F.greatest("_a_lo", "_b_lo"), F.col("_level")) == F.col("_cell")
-    met = x.join(y, ["_level", "_cell"]).where((F.col("_level") == F.greatest("_a_level", "_b_level")) & owner)
-    both = met.where((F.col("_a_lo") <= F.col("_b_hi")) & (F.col("_b_lo") <= F.col("_a_hi")))
+    both = _met(x, y).where(owner & (F.col("_a_lo") <= F.col("_b_hi")) & (F.col("_b_lo") <= F.col("_a_hi")))
     return both.select(*[F.col(f"`{c}`") for c in (*left.columns, *right.columns)])
 
 
+def _met(x: DataFrame, y: DataFrame) -> DataFrame:
+    """The rows of _cells that meet in a cell of the coarser of their levels; guests never meet guests."""
+    home, guest = (lambda side: F.col(f"_{side}_level") == F.col("_level")), (lambda side: F.col(f"_{side}_level") < F.col("_level"))
+    return x.where(home("a")).join(y, ["_level", "_cell"]).union(x.where(guest("a")).join(y.where(home("b")), ["_level", "_cell"]))
+
+
+#: Of overlapping(): pairs looked at by a cell, and by a task, at about.
+CELL, TASK = 1 << 22, 1 << 21
+
+
+def overlapping(rows: DataFrame, lo: str, hi: str) -> DataFrame:
+    """(one, two): each two of the rows whose closed intervals share a point, once, as structs of their columns.
+
+    `one` starts first, or at the same place. Starts are numbered in their order, so those within an interval are a run of
+    numbers: from the one after its own to the last that is not beyond its end. Runs are cut at blocks of the
+    numbers, about a quarter of a mean run long, and meet the starts of each block by an equi-join: hardly more pairs are
+    looked at than come out. A block in many runs is split into cells, and tasks are as many as the pairs need.
+
+    Rows with a null or NaN end, or a start after the end, overlap nothing; infinite ends are allowed.
+    """
+    sound = F.col(f"`{lo}`") <= F.col(f"`{hi}`")
+    for c, kind in rows.dtypes:
+        sound = sound & ~F.isnan(f"`{c}`") if c in (lo, hi) and kind in ("float", "double") else sound
+    plain = lambda c: F.col(f"`{c}`") + F.lit(0.0) if dict(rows.dtypes)[c] in ("float", "double") else F.col(f"`{c}`")  # noqa: E731  -0.0 is 0.0
+    given = cut(rows.where(sound).select(F.monotonically_increasing_id().alias("id"), plain(lo).alias("lo"), plain(hi).alias("hi"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")))
+    starts = given.select("id", F.col("lo").alias("at"), F.lit(1).cast("long").alias("start"), "row")
+    order = ["at", F.col("start").desc(), "id"]
+    dealt = cut(starts.union(given.select("id", "hi", F.lit(0).cast("long"), F.lit(None).cast(starts.schema["row"].dataType))).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offset = dealt.groupBy("part").agg(F.sum("start").alias("starts")).select("part", F.coalesce(F.sum("starts").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.join(F.broadcast(offset), "part").select("id", "row", "start", (F.col("offset") + F.coalesce(F.sum("start").over(inside), F.lit(0))).alias("n"))
+    runs = cut(ranked.groupBy("id").agg(F.first("row", ignorenulls=True).alias("row"), F.min(F.when(F.col("start") == 1, F.col("n"))).alias("own"), F.min(F.when(F.col("start") == 0, F.col("n"))).alias("end")))
+    n, pairs = runs.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("own") - 1), F.lit(0))).first()
+    block = 1 << max(4, min(12, (pairs // (4 * max(n, 1))).bit_length()))
+
+    at = lambda x: F.floor(x / block)
+    parts = runs.where("end > own + 1").select("id", "row", "own", "end", F.explode(F.sequence(at(F.col("own") + 1), at(F.col("end") - 1))).alias("block"))
+    busy = cut(parts.groupBy("block").agg(F.count("*").alias("runs")))
+    looked = block * (busy.agg(F.sum("runs")).first()[0] or 0)
+    cells = F.broadcast(busy.where(F.col("runs") > CELL // block).select("block", F.ceil(F.col("runs") * block / CELL).alias("cells")))  # few: each has many runs
+    split = lambda df: df.join(cells, "block", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    tasks = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-looked // TASK))
+    first = split(parts).select("block", F.pmod(F.xxhash64("id"), "cells").alias("cell"), "own", "end", F.col("row").alias("one")).repartition(tasks, "block", "cell")
+    second = split(runs.select(at(F.col("own")).alias("block"), F.col("own").alias("start"), F.col("row").alias("two")))
+    second = second.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), "start", "two").repartition(tasks, "block", "cell")
+    return first.join(second, ["block", "cell"]).where("start > own and start < end").select("one", "two")
+
+
 def sessions(events: DataFrame, key: str, at: str, gap: Column) -> DataFrame:
     """(key, session, start, end, n): runs of a key's rows with at most `gap` between one and the next."""
     order = Window.partitionBy(key).orderBy(at)

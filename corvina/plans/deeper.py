@@ -37,10 +37,11 @@ SELECT a.user_id, a.session, b.user_id AS other, b.session AS other_session FROM
 def jn13_session_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of different users that overlap; a session ends where its user pauses for over two hours."""
     found = intervals.sessions(table(spark, sf_dir, "events"), "user_id", "ts", F.expr("interval 2 hours"))
-    micros = lambda c, name: F.unix_micros(F.col(c).cast("timestamp")).alias(name)
-    one = found.select("user_id", "session", micros("start", "lo"), micros("end", "hi"))
-    two = found.select(F.col("user_id").alias("other"), F.col("session").alias("other_session"), micros("start", "lo2"), micros("end", "hi2"))
-    return intervals.interval_join(one, two, ("lo", "hi"), ("lo2", "hi2")).where("user_id < other").select("user_id", "session", "other", "other_session")
+    both = intervals.overlapping(found.select("user_id", "session", "start", "end"), "start", "end")
+    first = F.col("one.user_id") < F.col("two.user_id")
+    either = lambda c, x, y: F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}"))
+    named = [either("user_id", "one", "two").alias("user_id"), either("session", "one", "two").alias("session"), either("user_id", "two", "one").alias("other"), either("session", "two", "one").alias("other_session")]
+    return both.where("one.user_id <> two.user_id").select(*named)
 
 
 def _views_before(spark: SparkSession, sf_dir: str, user: str) -> DataFrame:

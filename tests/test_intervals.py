@@ -60,6 +60,49 @@ def test_long_interval_makes_few_cells(spark):
     assert cells.count() <= 4
 
 
+def test_guests_of_a_level_do_not_meet(spark):
+    """Points under one long interval meet that interval on its level, not each other."""
+    a = spark.createDataFrame([(i, float(i), float(i)) for i in range(300)] + [(300, 0.0, 500.0)], "i long, lo double, hi double")
+    b = a.select(F.col("i").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    x, y = (intervals._cells(intervals._placed(df, lo, hi, side), side, [-20, 9]) for df, lo, hi, side in ((a, "lo", "hi", "a"), (b, "lo2", "hi2", "b")))
+    assert intervals._met(x, y).count() <= 2_000
+    assert intervals.interval_join(a, b, ("lo", "hi"), ("lo2", "hi2")).count() == 300 + 2 * 300 + 1
+
+
+def each_two(spark, rows, kind="double"):
+    df = spark.createDataFrame(rows, f"i long, lo {kind}, hi {kind}")
+    found = [(r.one.i, r.two.i) for r in intervals.overlapping(df, "lo", "hi").collect()]
+    assert len(found) == len({frozenset(p) for p in found})
+    return {frozenset(p) for p in found}
+
+
+def test_each_two_that_overlap(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        lo = rng.choice([rng.uniform(-1000, 1000), float(rng.randint(-50, 50)), -0.0, 0.0])
+        rows.append((i, lo, lo + rng.choice([0.0, 1e-9, 0.5, 2.0, rng.expovariate(0.01), 1e6])))
+    inf, nan = math.inf, math.nan
+    odd = [(None, 1.0), (0.0, None), (nan, 1.0), (0.0, nan), (nan, nan), (2.0, 1.0), (-inf, inf), (-inf, 0.0), (inf, inf), (1e300, inf)]
+    rows += [(400 + i, lo, hi) for i, (lo, hi) in enumerate(odd)]
+    want = {frozenset((i, j)) for i, j in overlaps(rows, rows) if i != j}
+    assert each_two(spark, rows) == want
+    monkeypatch.setattr(intervals, "CELL", 256)  # busy blocks are split
+    assert each_two(spark, rows) == want
+    assert each_two(spark, []) == set() and each_two(spark, [(1, 0.0, 0.0)]) == set()
+
+
+def test_each_two_of_large_whole_numbers(spark):
+    """Ends are compared as they are, not as doubles."""
+    top = 2**62
+    assert each_two(spark, [(0, top, top + 1), (1, top + 2, top + 3), (2, top + 3, top + 9), (3, top - 5, top)], "long") == {frozenset((1, 2)), frozenset((0, 3))}
+
+
+def test_repeated_rows_overlap(spark):
+    df = spark.createDataFrame([(1, 0, 5)] * 3 + [(2, 5, 5)], "i int, lo int, hi int")
+    assert sorted(sorted((r.one.i, r.two.i)) for r in intervals.overlapping(df, "lo", "hi").collect()) == [[1, 1]] * 3 + [[1, 2]] * 3
+
+
 def test_sessions(spark):
     rows = [(1, 0), (1, 10), (1, 21), (1, 21), (2, 5), (2, None), (None, 3)]
     found = intervals.sessions(spark.createDataFrame(rows, "u int, t int"), "u", "t", F.lit(10))
