@@ -118,8 +118,8 @@ def jn12_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jn13_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
-    other = days.select(F.col("user_id").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    return intervals.interval_join(days, other, ("lo", "hi"), ("lo2", "hi2")).where("user_id < other").select("user_id", "other")
+    both = intervals.overlapping(days, "lo", "hi").where("one.user_id <> two.user_id")
+    return both.select(F.least("one.user_id", "two.user_id").alias("user_id"), F.greatest("one.user_id", "two.user_id").alias("other"))
 
 
 def txt8_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,15 @@ def test_as_of_without_rows(spark):
     none = spark.createDataFrame([], "k int, t int, id int")
     assert [r.before for r in intervals.as_of_join(left, none, "k", "t", "id").collect()] == [None]
     assert intervals.as_of_join(none, left, "k", "t", "id").count() == 0
+
+
+def test_overlap_query_makes_each_pair_once(spark, tmp_path):
+    """Every two of 600 users overlap: a cell's rows are not met on both sides and then thrown away."""
+    from corvina.plans import QUERIES
+
+    spark.createDataFrame([(u + 600 * k, u) for k in (0, 1) for u in range(600)], "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["jn13_overlap"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().toString()
+    assert "_level" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    got = [(r.user_id, r.other) for r in found.collect()]
+    assert len(got) == 600 * 599 // 2 and set(got) == {(i, j) for i in range(600) for j in range(i + 1, 600)}
