@@ -2,10 +2,121 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvina.session import cut
+
+#: Vectors of a block, at about; a task holds two. Pairs are measured by so many rows and columns at once.
+BLOCK, ROWS, COLUMNS = 16_384, 256, 1_024
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+
+class _Moments:
+    """How many pairs (x, y) there are, their means, and the sums of squares and products about them."""
+
+    def __init__(self) -> None:
+        self.n, self.x, self.y, self.xx, self.yy, self.xy = 0, 0.0, 0.0, 0.0, 0.0, 0.0
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        if not (n := x.size):
+            return
+        mx, my = float(x.mean()), float(y.mean())
+        x, y = x.ravel() - mx, y.ravel() - my
+        all_, dx, dy = self.n + n, mx - self.x, my - self.y
+        w = self.n * n / all_
+        self.xx, self.yy, self.xy = self.xx + float(x @ x) + dx * dx * w, self.yy + float(y @ y) + dy * dy * w, self.xy + float(x @ y) + dx * dy * w
+        self.n, self.x, self.y = all_, self.x + dx * n / all_, self.y + dy * n / all_
+
+
+def _measured(a: np.ndarray, b: np.ndarray, dims: int, same: bool, sums: _Moments) -> None:
+    """Add the distances of all pairs of rows of a and b, in all components and in the first `dims`."""
+    middle = (a.sum(axis=0) + b.sum(axis=0)) / max(1, len(a) + len(b))
+    ca, cb = a - middle, b - middle
+    la, lb = (ca * ca).sum(axis=1), (cb * cb).sum(axis=1)
+    for i in range(0, len(a), ROWS):
+        for j in range(i // COLUMNS * COLUMNS if same else 0, len(b), COLUMNS):
+            p, q = slice(i, i + ROWS), slice(j, j + COLUMNS)
+            size = la[p, None] + lb[None, q]
+            far = size - 2 * ca[p] @ cb[q].T
+            near = np.argwhere(far <= 1e-6 * size)  # where a product loses digits, the difference is taken
+            for k in range(0, len(near), 4 * COLUMNS):
+                r, c = near[k : k + 4 * COLUMNS].T
+                far[r, c] = ((a[i + r] - b[j + c]) ** 2).sum(axis=1)
+            flat = sum((a[p, k, None] - b[None, q, k]) ** 2 for k in range(min(dims, a.shape[1])))
+            far, flat = np.sqrt(far), np.sqrt(flat)
+            if same and j < i + ROWS:
+                later = np.arange(j, j + far.shape[1]) > np.arange(i, i + far.shape[0])[:, None]
+                far, flat = far[later], flat[later]
+            sums.add(far, flat)
+
+
+def _odd_pairs(i: int, v: list, ids: list, others: list, dims: int) -> list[tuple]:
+    """(smaller id, larger id, squared distance, that of the first components) of a row and others: nulls and what one row lacks count for nothing."""
+    out = []
+    for j, w in zip(ids, others, strict=True):
+        if i != j:
+            both = list(zip(v, w))  # noqa: B905  the shorter one ends it
+            gaps = [None if x is None or y is None else (x - y) ** 2 for x, y in both]
+            told, flat = [g for g in gaps if g is not None], [g for g in gaps[:dims] if g is not None]
+            out.append((min(i, j), max(i, j), math.fsum(told) if told else None, math.fsum(flat) if flat or len(both) > dims else None))
+    return out
+
+
+_SUMS = "i long, j long, n long, x double, y double, xx double, yy double, xy double"
+
+
+def distance_correlation(rows: DataFrame, dims: int, block: int = BLOCK) -> DataFrame:
+    """(r): the absolute correlation, over all pairs of rows (id, v, label) of one label, of their distance and that in the first `dims` components.
+
+    A label's rows are dealt into blocks of about `block`; each two blocks meet in one task, which leaves one row of sums, so what is
+    stored follows rows times blocks while the work follows the pairs. Pairs with a vector that holds nulls or differs in width, or
+    with a repeated id, are measured one by one, and the squares of those of the same two ids are added up, as SQL's
+    grouping by ids does. Rows without id, label or components take no part. Null where nothing varies.
+    """
+    given = rows.select(F.col("id").cast("long").alias("id"), "v", "label").where("id is not null and label is not null and size(v) > 0")
+    width = given.agg(F.max(F.size("v"))).first()[0] or 0
+    most = given.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    often = given.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("often"))
+    blocks = max(1, math.ceil(most / block))
+    given = given.withColumn("often", F.lit(False)) if often.isEmpty() else given.join(often, "id", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = given.select("id", "v", "label", (F.col("often") | (F.size("v") != width) | F.exists("v", lambda x: x.isNull())).alias("odd"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    cells = dealt.select("id", "v", "label", "odd", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        a, b = key[1].as_py(), key[2].as_py()
+        odd, own, sums = table["odd"].to_numpy(), table["own"].to_numpy(), _Moments()
+        plain = table.filter(pa.array(~odd))
+        v, place = _matrix(plain["v"], width), plain["own"].to_numpy()
+        _measured(v[place == a], v[place == b], dims, a == b, sums)
+        out = [(None, None, sums.n, sums.x, sums.y, sums.xx, sums.yy, sums.xy)]
+        if odd.any():
+            ids, vs = table["id"].to_pylist(), table["v"].to_pylist()
+            for r in np.flatnonzero(odd):
+                # With all plain rows of the other block, and with the odd ones once.
+                with_ = [s for s in (np.flatnonzero(own != own[r]) if a != b else range(len(ids))) if not odd[s] or s > r]
+                out += [(i, j, None, x, y, None, None, None) for i, j, x, y in _odd_pairs(ids[r], vs[r], [ids[s] for s in with_], [vs[s] for s in with_], dims)]
+        kinds = [pa.int64()] * 3 + [pa.float64()] * 5
+        return pa.table({c.split()[0]: pa.array(list(x), k) for c, x, k in zip(_SUMS.split(", "), zip(*out, strict=True), kinds, strict=True)})
+
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * blocks)
+    told = cut(cells.repartition(tasks, "label", "a", "b").groupBy("label", "a", "b").applyInArrow(run, _SUMS))
+    single = told.where("i is not null").groupBy("i", "j").agg(F.sqrt(F.sum("x")).alias("x"), F.sqrt(F.sum("y")).alias("y")).where("x is not null and y is not null")
+    zero = F.lit(0.0)
+    parts = told.where("i is null and n > 0").drop("i", "j").union(single.select(F.lit(1).cast("long"), "x", "y", zero, zero, zero))
+    mean = parts.agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mx"), (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("my"))
+    dx, dy, n = F.col("x") - F.col("mx"), F.col("y") - F.col("my"), F.col("n")
+    total = parts.join(F.broadcast(mean)).agg(F.sum(F.col("xx") + n * dx * dx).alias("xx"), F.sum(F.col("yy") + n * dy * dy).alias("yy"), F.sum(F.col("xy") + n * dx * dy).alias("xy"))
+    return total.select(F.abs(F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))).alias("r"))
+
 
 def mean_neighbour_rank(points: DataFrame, close: DataFrame) -> DataFrame:
     """(quality): mean over test points of the mean rank, as a share of all points, of what should be near them.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.operators import graph, intervals, ordered, search, text, vectors
+from corvina.operators import embedding, graph, intervals, ordered, search, text, vectors
 from corvina.session import table
 
 SQL: dict[str, tuple[str, str]] = {}
@@ -175,9 +175,15 @@ def ml5_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(*[F.round(F.var_samp(F.col("projected")[i]), 6).alias(f"explained_{i}") for i in range(2)])
 
 
+def ml16_embedding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far distances in the first two dimensions follow those in all, over pairs of a label."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+    return embedding.distance_correlation(rows, 2).select(F.round("r", 6).alias("r"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (txt1_keyword_search, jn12_range, jn13_overlap, txt8_trigrams, txt9_fuzzy, fn1_canonical, fn4_indel, ag18_adaptive_histogram, wn14_greedy, gr8_shortest_paths, ml2_one_nn, ml5_pca)
+    for f in (txt1_keyword_search, jn12_range, jn13_overlap, txt8_trigrams, txt9_fuzzy, fn1_canonical, fn4_indel, ag18_adaptive_histogram, wn14_greedy, gr8_shortest_paths, ml2_one_nn, ml5_pca, ml16_embedding_quality)
 }
 ORACLE: dict[str, str] = {
     "txt1_keyword_search": "SELECT p_partkey, p_name, p_brand, p_size FROM part WHERE contains(lower(p_name), 'a') AND contains(lower(p_name), 'e') AND NOT contains(lower(p_name), 'zz') ORDER BY p_size DESC, p_name = '', p_name, p_partkey LIMIT 100",

@@ -199,3 +199,29 @@ def test_widths_stop(spark):
     with pytest.raises(RuntimeError):
         fitting.fit_widths(words, 1e-12, max_rounds=1)
     assert fitting.fit_widths(words.where("false")).count() == 0
+
+
+def test_distance_correlation_as_sql(spark, tmp_path):
+    """As the query's SQL over odd rows, in one block and in many; pairs are not stored."""
+    import duckdb
+
+    from corvina.plans import ORACLE
+
+    rng = np.random.default_rng(4)
+    rows = [(int(i), int(rng.integers(0, 3)), [float(x) for x in rng.normal(size=5).astype("float32")]) for i in range(90)]
+    odd = [(3, 0, [1.0, 2.0, 3.0, 4.0, 5.0]), (3, 1, [1.0, 2.0, 3.0, 4.0, 6.0]), (4, 1, [0.5] * 5), (91, 1, [1.0, None, 2.0, None, 0.0]), (92, 1, [None, None, 1.0]), (93, 2, [None, None]), (94, 2, [1.0]), (95, 2, []), (96, 2, None), (97, None, [1.0] * 5), (None, 1, [1.0] * 5), (98, 0, [1.0, 2.0, 3.0, 4.0, 5.0])]
+    schema = "vec_id long, label int, embedding array<float>"
+    for given in (rows, rows + odd):
+        path = f"{tmp_path}/{len(given)}.parquet"
+        df = spark.createDataFrame(given, schema)
+        df.write.parquet(path)
+        want = duckdb.sql(ORACLE["ml16_embedding_quality"].replace("FROM embeddings", f"FROM '{path}/*.parquet'")).fetchall()[0][0]
+        for block in (7, 1_000):
+            made = embedding.distance_correlation(df.selectExpr("vec_id AS id", "embedding AS v", "label"), 2, block)
+            assert "Generate" not in made._jdf.queryExecution().toString() and abs(made.first().r - want) < 2e-6
+    far = spark.createDataFrame([(i, 0, [1e4 + i * 1e-3, 1e4 + (i % 3) * 1e-3, 1e4 + (i % 7) * 1e-3]) for i in range(40)], "id long, label int, v array<double>")
+    x = np.array([r.v for r in far.collect()])
+    at = np.triu_indices(40, 1)
+    want = [np.sqrt(((x[:, None, :k] - x[None, :, :k]) ** 2).sum(axis=2))[at] for k in (3, 2)]
+    assert abs(embedding.distance_correlation(far, 2).first().r - abs(np.corrcoef(*want)[0, 1])) < 1e-9
+    assert embedding.distance_correlation(far.limit(1), 2).first().r is None and embedding.distance_correlation(far.limit(0), 2).first().r is None
