@@ -19,8 +19,10 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int | None
 
     Each round relaxes the edges out of the nodes that came nearer in the last one, until none does; a path of
     n hops takes n rounds. Where max_rounds is given and nodes still come nearer after it, it raises. Rounds are
-    cut from their history by checkpoints, in the folder that the cluster names; unreachable nodes are absent.
+    cut from their history by checkpoints, in the folder that the cluster names; unreachable nodes are absent. Edges
+    are made once, however many rounds read them.
     """
+    edges = cut(edges.select("a", "b", "cost"))
     if not edges.where("cost < 0").isEmpty():
         raise ValueError("costs must be zero or more")
     best = sources.select(F.col("node"), F.lit(0.0).alias("distance"), F.lit(-1).cast("long").alias("previous")).distinct()

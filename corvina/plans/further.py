@@ -137,7 +137,7 @@ u AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(d) AS d FROM e GROUP BY
 
 def neighbour_edges(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     """(a, b, d) of each vector and its k nearest others."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.lit(0).alias("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(0).alias("label"))
     near = vectors.nearest(rows, rows, k + 1).where("test_id <> train_id")
     by = near.withColumn("d", F.sqrt("distance")).groupBy("test_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "train_id"))), 1, k).alias("x"))
     return by.select(F.col("test_id").alias("a"), F.explode("x").alias("x")).select("a", F.col("x.train_id").alias("b"), F.col("x.d").alias("d"))

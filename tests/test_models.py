@@ -274,3 +274,28 @@ def test_principal_components(spark):
     centred = x - x.mean(axis=0)
     axes = np.linalg.svd(centred, full_matrices=False)[2][:2]
     assert np.allclose(np.abs(got), np.abs(centred @ axes.T), atol=1e-6)
+
+
+def test_paths_make_their_edges_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "a long, b long, cost double").mapInArrow(count, "a long, b long, cost double")
+    found = graph.shortest_paths(edges, spark.createDataFrame([(0,)], "node long"))
+    assert {(r.node, r.distance) for r in found.collect()} == {(i, float(i)) for i in range(7)} and made.value == 6
+
+
+def test_closest_rows_of_many(monkeypatch):
+    """Against plain sorting, with copies, far from the origin, with more columns than give the bound, and with few rows."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(vectors, "FIRST", 32)
+    for m, scale in ((rng.normal(size=(300, 7)), 1.0), (rng.integers(0, 3, (300, 3)).astype(float), 1.0), (rng.normal(size=(300, 7)) * 1e-3 + 1e3, 1.0), (rng.normal(size=(300, 4)), 1e20), (rng.normal(size=(3, 2)), 1.0), (np.zeros((90, 2)), 1.0)):
+        m, q, ids = m * scale, (m * scale)[::3], rng.permutation(len(m)) + 5
+        r, c, d = vectors._closest(m, ids, q, 6)
+        want = [(i, ids[j]) for i, x in enumerate(q) for j in np.lexsort((ids, ((m - x) ** 2).sum(axis=1)))[:6]]
+        assert list(zip(r.tolist(), ids[c].tolist(), strict=True)) == want
+        assert np.array_equal(d, ((m[c] - q[r]) ** 2).sum(axis=1))
