@@ -118,19 +118,84 @@ def distance_correlation(rows: DataFrame, dims: int, block: int = BLOCK) -> Data
     return total.select(F.abs(F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy"))).alias("r"))
 
 
-def mean_neighbour_rank(points: DataFrame, close: DataFrame) -> DataFrame:
-    """(quality): mean over test points of the mean rank, as a share of all points, of what should be near them.
+#: Of mean_class_rank(): tests of a group, at about, and points of a block; a task holds a group's tests, their class mates and a block, each so many.
+TESTS, POINTS = 2_048, 131_072
 
-    `points` is (id, v), `close` (test, near) the held-out neighbours. Each test point is ranked against all
-    points; there are as many distances as test points times points, so `close` states a bounded query set.
-    Ties go to the smaller id, and the point itself has rank 0.
+
+def _smaller_ids(d: np.ndarray, ids: np.ndarray, far: np.ndarray, names: np.ndarray) -> int:
+    """How many pairs there are of a point (d, ids) and one of far and names at the same distance with a larger id."""
+    values = np.unique(far)
+    at = np.minimum(np.searchsorted(values, d), len(values) - 1)
+    level = values[at] == d
+    at, ids = at[level], ids[level]
+    known, place = np.unique(np.concatenate((ids, names)), return_inverse=True)
+    mine, theirs = at * len(known) + place[: len(ids)], np.searchsorted(values, far) * len(known)
+    mine.sort()
+    return int((np.searchsorted(mine, theirs + place[len(ids) :]) - np.searchsorted(mine, theirs)).sum())
+
+
+def _rank_sums(tests: dict, near: dict, points: dict) -> list[tuple[int, int, int]]:
+    """(test, sum of the ranks of its class mates among these points, number of mates)."""
+
+    def far(rows: dict, x: float, y: float) -> np.ndarray:
+        d = (x - rows["x"]) * (x - rows["x"]) + (y - rows["y"]) * (y - rows["y"])
+        return np.where(np.isnan(d), np.inf, d)  # unknown ones come last
+
+    out = []
+    of = {k: {c: v[near["label"] == k] for c, v in near.items()} for k in np.unique(tests["label"])}
+    for test, x, y, label in zip(*(tests[c] for c in ("id", "x", "y", "label")), strict=True):
+        mates = of[label]
+        other = mates["id"] != test
+        d, asked, names, here = far(points, x, y), far(mates, x, y)[other], mates["id"][other], mates["here"][other]
+        line, ordered = np.sort(d), np.sort(asked)
+        total = int(np.searchsorted(line, ordered).sum())
+        if int(np.searchsorted(line, ordered, "right").sum()) - total > int(here.sum()):  # some are as far as others than themselves
+            tied = np.searchsorted(line, asked, "right") - np.searchsorted(line, asked) > here
+            total += _smaller_ids(d, points["id"], asked[tied], names[tied])
+        out.append((int(test), total, len(asked)))
+    return out
+
+
+def mean_class_rank(points: DataFrame, tests: DataFrame, group: int = TESTS, block: int = POINTS) -> DataFrame:
+    """(quality): mean over test points of the mean rank, as a share of all points, of the others of their label.
+
+    Both are (id, x, y, label), tests being some of the points. Each test point is ranked against all points, so there
+    are as many distances as test points times points. Tests are grouped by label and points dealt into blocks; a task
+    sorts one block's distances for each test of a group and leaves one sum of ranks, to which the blocks' are added:
+    no distance or rank is stored, and no task holds more than a group, its class mates and a block. Ties go to
+    the smaller id, the point itself has rank 0, points without a place come last. Tests without a label or others of
+    it take no part.
     """
-    total = points.agg(F.count("*").alias("total"))
-    tests = close.select("test").distinct().join(points.select(F.col("id").alias("test"), F.col("v").alias("q")), "test")
-    d = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    far = tests.join(points, F.lit(True)).select("test", F.col("id").alias("near"), d.alias("d"))
-    ranks = far.withColumn("r", F.row_number().over(Window.partitionBy("test").orderBy("d", "near")) - 1)
-    share = ranks.join(close.distinct(), ["test", "near"]).join(F.broadcast(total)).groupBy("test").agg(F.avg(F.col("r") / F.col("total")).alias("m"))
+    tests = tests.where("label is not null and id is not null").withColumn("label", F.col("label").cast("long"))
+    points = points.withColumn("label", F.col("label").cast("long"))
+    total, asked = points.count(), tests.count()
+    groups = max(1, math.ceil(asked / group))
+    hashed = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
+    most = lambda df: df.groupBy(hashed("label", groups, 1)).count().agg(F.max("count")).first()[0] or 1
+    parts, mates, blocks = math.ceil(most(tests) / group), math.ceil(most(points.where("label is not null")) / block), max(1, math.ceil(total / block))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    at = lambda df, role: df.select(F.coalesce(F.col("id").cast("long"), F.lit(2**63 - 1)).alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "label", F.lit(role).alias("role"), "g", hashed("id", blocks, 4).alias("own"), *[F.col(c) for c in ("j", "u", "b")])
+    used = tests.select(hashed("label", groups, 1).alias("g")).distinct()
+    asking = at(tests.withColumn("g", hashed("label", groups, 1)).withColumn("j", hashed("id", parts, 2)).withColumn("u", spread(mates)).withColumn("b", spread(blocks)), 0)
+    near = at(points.where("label is not null and id is not null").withColumn("g", hashed("label", groups, 1)).join(F.broadcast(used), "g").withColumn("j", spread(parts)).withColumn("u", hashed("id", mates, 3)).withColumn("b", spread(blocks)), 1)  # at most a row for each `group` tests
+    every = at(points.join(F.broadcast(used), F.lit(True)).withColumn("j", spread(parts)).withColumn("u", spread(mates)).withColumn("b", hashed("id", blocks, 4)), 2)
+    schema = pa.schema([("test", pa.int64()), ("ranks", pa.int64()), ("mates", pa.int64()), ("b", pa.int32())])
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        b, role = key[3].as_py(), table["role"].to_numpy()
+
+        def rows(k: int) -> dict:
+            kept = table.filter(pa.array(role == k))
+            return {"here": kept["own"].to_numpy() == b} | {c: kept[c].to_numpy() for c in ("id", "x", "y", "label")}
+
+        out = _rank_sums(rows(0), rows(1), rows(2)) if (role == 0).any() and (role == 1).any() else []
+        return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(3)] + [pa.array([b] * len(out), pa.int32())], schema=schema)
+
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * groups * parts * mates * blocks)
+    cells = asking.union(near).union(every).repartition(tasks, "g", "j", "u", "b")
+    sums = cells.groupBy("g", "j", "u", "b").applyInArrow(run, "test long, ranks long, mates long, b int")
+    # A block of class mates is ranked among every block of points, so it is counted with the first of them.
+    share = sums.groupBy("test").agg(F.try_divide(F.sum("ranks"), F.sum(F.when(F.col("b") == 0, F.col("mates"))) * total).alias("m")).where("m is not null") if total else sums.groupBy("test").agg(F.lit(None).cast("double").alias("m"))
     return share.agg(F.avg("m").alias("quality"))
 
 

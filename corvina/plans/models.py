@@ -128,10 +128,8 @@ def ml12_neural_gas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ml17_neighbour_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How near rows of the same label are in the first two dimensions; tested for every fiftieth row."""
-    rows = _vectors(spark, sf_dir)
-    tests = rows.where("id % 50 = 0").select(F.col("id").alias("test"), "label")
-    close = tests.join(rows, "label").where("id <> test").select("test", F.col("id").alias("near"))
-    return embedding.mean_neighbour_rank(rows.select("id", F.slice("v", 1, 2).alias("v")), close).select(F.round("quality", 8).alias("quality"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"), "label")
+    return embedding.mean_class_rank(rows, rows.where("id % 50 = 0")).select(F.round("quality", 8).alias("quality"))
 
 
 def so9_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:

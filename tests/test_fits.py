@@ -225,3 +225,24 @@ def test_distance_correlation_as_sql(spark, tmp_path):
     want = [np.sqrt(((x[:, None, :k] - x[None, :, :k]) ** 2).sum(axis=2))[at] for k in (3, 2)]
     assert abs(embedding.distance_correlation(far, 2).first().r - abs(np.corrcoef(*want)[0, 1])) < 1e-9
     assert embedding.distance_correlation(far.limit(1), 2).first().r is None and embedding.distance_correlation(far.limit(0), 2).first().r is None
+
+
+def test_class_ranks_as_sql(spark, tmp_path):
+    """As the query's SQL, with copies and places unknown, in one task and in many; no distance is sorted by Spark."""
+    import duckdb
+
+    from corvina.plans import ORACLE, QUERIES
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, size=3)], int(rng.integers(0, 3))) for i in range(400)]
+    rows += [(400, None, 1), (401, [1.0], 0), (402, [2.0, 2.0], None), (450, [1.0, 1.0], None), (500, [0.0, 0.0], 77), (None, [0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    path = f"{tmp_path}/embeddings.parquet"
+    df.write.parquet(path)
+    want = duckdb.sql(ORACLE["ml17_neighbour_rank"].replace("FROM embeddings", f"FROM '{path}/*.parquet'")).fetchall()[0][0]
+    made = QUERIES["ml17_neighbour_rank"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().toString()
+    assert "Window" not in plan and made.first().quality == want
+    points = df.selectExpr("vec_id AS id", "get(embedding, 0) AS x", "get(embedding, 1) AS y", "label")
+    assert abs(embedding.mean_class_rank(points, points.where("id % 50 = 0"), 2, 60).first().quality - want) < 1e-8
+    assert embedding.mean_class_rank(points.limit(0), points.limit(0)).first().quality is None
